@@ -12,11 +12,12 @@ therefore found in two levels:
   meets most often.  Regions are joined in memory (``region_links``): distances to the pivot are exact, members
   stand in order of that distance, the triangle inequality leaves a window of them to compare, and further pivots
   are taken from what isn't connected yet until one class is left or every other member has been a pivot.
+* Before sets are sent anywhere, sizes and counts by hash class bound the distance from below (``may_link``).
 * Cells that still hold members of more than one class form regions again, now with all members that the windows
   put there, and are joined the same way.  A pair that links shares a cell; either its classes were joined before
   or it is compared here, so no link between classes is missed.
 
-Equal sets are one node throughout.  Nodes are 64-bit digests of sets, shingles are 64-bit hashes; two different
+Equal sets are one node throughout.  Nodes are 56-bit digests of sets and their sizes' codes, shingles are 64-bit hashes; two different
 sets would have to collide within a pair to change a decision.  Large regions are dealt out in slices by weight,
 so no task holds a whole hot group, and documents of frequent shingles reach their pivots without being gathered.
 """
@@ -24,6 +25,7 @@ so no task holds a whole hot group, and documents of frequent shingles reach the
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,8 +47,42 @@ SLICE, SLICE_WEIGHT = 128, 2_000_000
 MAX_SENT = 4_000_000
 
 
+#: Sizes are coded in eight bits, in steps of this ratio.
+STEP = 1.06
+
+
+def size_code(n: int) -> int:
+    return min(255, int(math.log(n) / math.log(STEP)))
+
+
 def digest(shingles: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+    """A node: 56 bits of the set's digest, and the code of its size in the lowest eight."""
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=7).digest(), "little", signed=True) << 8 | size_code(len(shingles))
+
+
+def code_reach(percent: int) -> int:
+    """Codes of similar sets differ by so much at most."""
+    return int(math.log(100 / percent) / math.log(STEP)) + 1
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Counts of the shingles by the first bits of their hashes, as many classes as leave four to eight in each.
+
+    The sum of absolute differences of two sketches (the finer one folded) is at most the size of the sets' symmetric
+    difference: a lower bound of distance, as distances to common pivots give.
+    """
+    bits = max(3, (len(shingles) - 1).bit_length() - 3)
+    return np.minimum(np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 65535).astype(np.uint16)
+
+
+def _coarser(x: np.ndarray, width: int) -> np.ndarray:
+    return x.reshape(*x.shape[:-1], width, -1).sum(-1, dtype=np.int64) if x.shape[-1] > width else x.astype(np.int64)
+
+
+def may_link(a: np.ndarray, na: int, b: np.ndarray, nb: int, percent: int) -> bool:
+    """Whether the sketches a and b of sets of na and nb leave it possible that the sets link."""
+    width = min(len(a), len(b))
+    return (100 + percent) * int(np.abs(_coarser(a, width) - _coarser(b, width)).sum()) <= (100 - percent) * (na + nb)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list[int], list[int], list[np.ndarray]]]:
@@ -139,8 +175,17 @@ def _cells(n: int, percent: int, ranges: int, hot):
     return run
 
 
-def _members(batches):
-    """The cells with two members or more: cell, member, pivot."""
+def _members(percent: int):
+    """The cells' members (cell, node, pivot) that have another one of similar size beside them."""
+    reach = code_reach(percent)
+
+    def run(batches):
+        yield from _found(batches, reach)
+
+    return run
+
+
+def _found(batches, reach: int):
     names = ["cell", "node", "pivot"]
     h, w = [], []
     for batch in batches:
@@ -158,13 +203,18 @@ def _members(batches):
     h, w = h[order], w[order]
     new = np.concatenate(([True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])))  # equal documents of several chunks
     h, w = h[new], w[new]
+    code = w & 255
+    order = np.lexsort((code, h))
+    h, w, code = h[order], w[order], code[order]
+    beside = (h[1:] == h[:-1]) & (code[1:] - code[:-1] <= reach)
+    near = np.concatenate(([False], beside)) | np.concatenate((beside, [False]))
+    h, w = h[near], w[near]
+    if not len(h):
+        return
     start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    count = np.diff(np.concatenate((start, [len(h)])))
-    shared = np.repeat(count > 1, count)
-    pivot = np.repeat(w[start], count)
+    pivot = np.repeat(np.minimum.reduceat(w, start), np.diff(np.concatenate((start, [len(h)]))))
     for a in range(0, len(h), 1 << 20):
-        s = shared[a : a + (1 << 20)]
-        yield pa.record_batch([pa.array(x[a : a + (1 << 20)][s]) for x in (h.view(np.int64), w, pivot)], names=names)
+        yield pa.record_batch([pa.array(x[a : a + (1 << 20)]) for x in (h.view(np.int64), w, pivot)], names=names)
 
 
 def region_links(sets: list[np.ndarray], classes: list[int], first: int, percent: int) -> list[tuple[int, int]]:
@@ -259,6 +309,75 @@ def _join_regions(percent: int):
     return run
 
 
+def _sketched_pairs(percent: int):
+    """Of rows with the sketches of node and pivot those that may link."""
+
+    def run(batches):
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("n", "sketch", "pivot_n", "pivot_sketch")]
+            keep = [may_link(np.frombuffer(a, np.uint16), na, np.frombuffer(b, np.uint16), nb, percent) for na, a, nb, b in zip(*cols, strict=True)]
+            yield batch.select(["node", "pivot"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _sketched_regions(percent: int):
+    """Over rows sorted by region and slice: the rows that may link to one of another class in the slice, by size and sketch."""
+
+    def near(rows: list) -> list[bool]:
+        m = len(rows)
+        size = np.array([r[4] for r in rows])
+        group = np.array([r[3] for r in rows])
+        sketches = [np.frombuffer(r[5], np.uint16) for r in rows]
+        width = np.array([len(x) for x in sketches])
+        order = np.argsort(size, kind="stable")
+        keep = np.zeros(m, dtype=bool)
+        kinds, counts = np.unique(group, return_counts=True)
+        largest = kinds[counts.argmax()]
+        stacks: dict[tuple[int, int], np.ndarray] = {}
+        for w in np.unique(width).tolist():
+            at = order[width[order] == w]
+            for coarse in (w, w // 2):
+                stacks[w, coarse] = _coarser(np.stack([sketches[i] for i in at]), coarse) if coarse else None
+            stacks[w, -1] = at
+        for i in np.flatnonzero(group != largest).tolist():
+            w = int(width[i])
+            for other in (w // 2, w, 2 * w):
+                if (other, -1) not in stacks:
+                    continue
+                at = stacks[other, -1]
+                sizes = size[at]
+                a, b = np.searchsorted(sizes, [-(-percent * size[i] // 100), 100 * size[i] // percent + 1])
+                if a >= b:
+                    continue
+                common = min(w, other)
+                away = np.abs(stacks[other, common][a:b] - _coarser(sketches[i], common)).sum(1)
+                ok = ((100 + percent) * away <= (100 - percent) * (sizes[a:b] + size[i])) & (group[at[a:b]] != group[i])
+                if ok.any():
+                    keep[i] = True
+                    keep[at[a:b][ok]] = True
+        return keep.tolist()
+
+    def run(batches):
+        at, rows = None, []
+
+        def found():
+            kept = [r for r, k in zip(rows, near(rows), strict=True) if k] if len(rows) > 1 else []
+            return pa.record_batch([pa.array([r[i] for r in kept], pa.int64()) for i in range(4)], names=["node", "pivot", "slice", "class"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("node", "pivot", "slice", "class", "n", "sketch")), strict=True):
+                if row[1:3] != at:
+                    if at:
+                        yield found()
+                    at, rows = row[1:3], []
+                rows.append(row)
+        if at:
+            yield found()
+
+    return run
+
+
 def _sorted_regions(rows: DataFrame) -> DataFrame:
     n = partitions(rows.sparkSession)
     return rows.repartition(n, "pivot", "slice").sortWithinPartitions("pivot", "slice", F.desc("first"), "node")
@@ -313,11 +432,11 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 75) -> Dat
     total = known.agg(F.sum("n")).first()[0] or 0
     ranges = max(partitions(spark), int(total * 4 // (64 << 20)) + 1)
     cells = text.mapInArrow(_cells(n, percent, ranges, hot), "r int, hashes binary, keys binary, pivots binary")
-    members = materialised(cells.repartitionById(ranges, F.col("r")).mapInArrow(_members, "cell long, node long, pivot long"), "cells")
+    members = materialised(cells.repartitionById(ranges, F.col("r")).mapInArrow(_members(percent), "cell long, node long, pivot long"), "cells")
 
     # home regions: the pivot that a node meets most often
     met = members.where("node != pivot").groupBy("node", "pivot").count()
-    homes = materialised(met.groupBy("node").agg(F.max_by("pivot", F.struct("count", -F.col("pivot"))).alias("pivot")), "homes")
+    homes = met.groupBy("node").agg(F.max_by("pivot", F.struct("count", -F.col("pivot"))).alias("pivot"))
     sizes = known.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
     nodes = members.select("node").union(members.select("pivot")).distinct()
     needed = materialised(sizes.join(nodes, "node"), "nodes")
@@ -325,16 +444,19 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 75) -> Dat
 
     def with_sets(batches):
         for _, keys, sets in _chunks(batches, n):
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "sketch", "shingles"])
 
     # a doc_id may stand for several texts: a node is taken once, and only if it is needed
-    sets = materialised(text.join(one, "doc_id", "left_semi").mapInArrow(with_sets, "node long, shingles binary"), "sets")
+    sets = materialised(text.join(one, "doc_id", "left_semi").mapInArrow(with_sets, "node long, n long, sketch binary, shingles binary"), "sets")
     sizes = needed.select("node", "n")
+    sketches, shingles = sets.select("node", "n", "sketch"), sets.select("node", "shingles")
+    of_pivot = sketches.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch"))
+    homes = materialised(homes.join(sketches, "node").join(of_pivot, "pivot").mapInArrow(_sketched_pairs(percent), "node long, pivot long"), "near")
 
     per = materialised(_slices(homes, sizes), "slices")
     rows = homes.join(per, "pivot").select("node", "pivot", F.pmod(F.xxhash64("node"), "slices").alias("slice"), F.lit(False).alias("first"))
     rows = rows.union(per.select(F.col("pivot").alias("node"), "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), F.lit(True)))
-    rows = _with_sets(rows, sets).withColumn("class", F.col("node"))
+    rows = _with_sets(rows, shingles).withColumn("class", F.col("node"))
     links = materialised(_sorted_regions(rows).mapInArrow(_join_regions(percent), "a long, b long"), "links")
     classes = materialised(components(links), "classes")
 
@@ -342,8 +464,9 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 75) -> Dat
     of_class = members.join(size_checked_broadcast(classes, MAX_SENT), "node", "left").withColumn("class", F.coalesce("class", "node"))
     mixed = of_class.groupBy("cell").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("cell")
     window = materialised(of_class.join(mixed, "cell", "left_semi").groupBy("pivot", "node").agg(F.first("class").alias("class")), "windows")
-    blocks = _blocks(window, sizes)
-    rows = _with_sets(blocks, sets)
+    rows = _sorted_regions(_blocks(window, sizes).join(sketches, "node"))
+    rows = materialised(rows.mapInArrow(_sketched_regions(percent), "node long, pivot long, slice long, class long"), "candidates")
+    rows = _with_sets(rows.withColumn("first", F.lit(False)), shingles)
     more = _sorted_regions(rows).mapInArrow(_join_regions(percent), "a long, b long")
     merged = components(links.union(more))
 
