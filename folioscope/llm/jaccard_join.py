@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import materialised, partitions, shingle_set, size_checked_broadcast
 
 #: Shingles gathered in a task before frequent ones are looked for.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 #: A shingle is called frequent if its counts, of this many or more in one chunk, sum to HOT.
 LOCAL, HOT = 4, 48
 #: At most so many of the most frequent shingles are ordered last (the rest keep their place by hash).
