@@ -3,10 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioscope.llm.common import materialised, table
+from folioscope.llm.common import materialised, size_checked_broadcast, table
+from folioscope.llm.decontaminate import without_contaminated
+from folioscope.llm.jaccard_join import MAX_SENT, jaccard_components
+from folioscope.llm.packing import pack
+from folioscope.llm.pii import pseudonymise
+from folioscope.llm.queries import WORD_BPE
+from folioscope.llm.toxicity import without_toxic
 
-STAGES: list = []
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity models reject go."""
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of linked documents the one with the smallest doc_id stays."""
+    gone = materialised(jaccard_components(docs).where("not representative").select("doc_id"), "gone")
+    return docs.join(size_checked_broadcast(gone, MAX_SENT), "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain benchmark items go."""
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by pseudonyms."""
+    return pseudonymise(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 tokens."""
+    return pack(docs, tokenizer=WORD_BPE)
+
+
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("pii", pii), ("packing", packing)]
+#: SQL expresses neither the learnt scores nor the tokens; the stages are tested against plain versions.
 ORACLE_SQL = None
 
 

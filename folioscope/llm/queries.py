@@ -4,17 +4,71 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from folioscope.llm import sql
 from folioscope.llm.common import table
+from folioscope.llm.decontaminate import contamination
+from folioscope.llm.divergence import quality
+from folioscope.llm.html_text import extract
 from folioscope.llm.jaccard_join import jaccard_components
+from folioscope.llm.packing import pack
+from folioscope.llm.pii import pseudonymise
+from folioscope.llm.secrets import scan
+from folioscope.llm.token_counts import revised_counts
+from folioscope.llm.toxicity import toxicity
+from folioscope.llm.url_templates import judge_urls
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BLOCK, ALLOW = ["net/", "example.com/de/"], ["example.net/en/", "org/fr/"]
+#: The revision that op2 counts: a cut in the first third, an insertion in the second, a new end.
+REVISION = [("n div 3", "n div 3 + 17", ""), ("2 * (n div 3)", "2 * (n div 3)", " (revised), it's new "), ("greatest(n - 5, 0)", "n + 100", " end.")]
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_replaced")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revised_counts(table(spark, sf_dir, "documents"), tokenizer=BYTE_BPE, edits=REVISION)
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op5_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES["op6_jaccard_join"] = op6_jaccard_join
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer=WORD_BPE)
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), block=BLOCK, allow=ALLOW).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_pii, op2_token_counts, op3_decontaminate, op4_html_text, op5_divergence, op6_jaccard_join, op7_packing, op8_secrets, op9_toxicity, op10_url_templates)
+}
+ORACLES: dict[str, str] = dict(sql.ORACLES)
+
