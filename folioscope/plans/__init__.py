@@ -3,6 +3,7 @@
 
 def load() -> tuple[dict, dict]:
     """Queries and their SQL, by name."""
-    from folioscope.plans import registry
+    from folioscope.plans import analytics, registry, retrieval
 
+    assert analytics and retrieval
     return dict(registry.QUERIES), dict(registry.ORACLES)

@@ -1,0 +1,375 @@
+"""Log, similarity, gate, freshness, graph, session and test queries over the standard tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from folioscope.functions import stats as tests
+from folioscope.functions.text import collapse, effective_date, path_prefixes, with_tokens
+from folioscope.operators import freshness, gate, graph, ireval, links, logstats, sessions, similar
+from folioscope.plans import sqltext as S
+from folioscope.plans.registry import query
+from folioscope.plans.retrieval import read
+
+# --- the log: events, session = user, top = event type, misses = values under 1 ---------------
+
+_LOG = "l_ AS (SELECT event_id AS line_no, epoch(ts) AS ts, user_id AS session, event_type AS event, event_type AS top, value FROM events)"
+
+
+def log(spark, sf_dir):
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("line_no"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"), F.col("user_id").alias("session"), F.col("event_type").alias("event"), F.col("event_type").alias("top"), "value").withColumn("ts", F.col("_us") / 1e6)
+
+
+def _repeat_sql(within: int) -> str:
+    return f"WITH {_LOG} SELECT line_no, event, coalesce(ts - lag(ts) OVER (PARTITION BY session, top ORDER BY ts, line_no) <= {within}, false) AS repeat FROM l_"
+
+
+@query("repeats_120s", _repeat_sql(120))
+def repeats_120s(spark, sf_dir):
+    return logstats.repeats(log(spark, sf_dir), 120).select("line_no", "event", "repeat")
+
+
+@query("repeats_6h", _repeat_sql(21600))
+def repeats_6h(spark, sf_dir):
+    return logstats.repeats(log(spark, sf_dir), 21600).select("line_no", "event", "repeat")
+
+
+@query("log_summary", f"""WITH {_LOG}, a_ AS (SELECT count(*) FILTER (event = 'view') AS searches, count(*) FILTER (event = 'view' AND value < 1) AS misses, count(*) FILTER (event = 'purchase') AS writes, count(*) FILTER (event = 'error') AS rejects,
+count(DISTINCT session) AS sessions, count(DISTINCT CASE WHEN event = 'purchase' THEN session END) AS writing_sessions, count(*) FILTER (event = 'purchase') AS attributed_writes,
+coalesce(floor(quantile_cont(CASE WHEN event = 'purchase' THEN floor(value)::INT END, 0.5)), 0)::BIGINT AS median_chars FROM l_)
+SELECT *, round(misses / searches, 3) AS miss_rate, round(rejects / (writes + rejects), 3) AS reject_rate, round(attributed_writes / sessions, 3) AS writes_per_session FROM a_""")
+def log_summary(spark, sf_dir):
+    rows = log(spark, sf_dir).withColumns({"hits": F.when(F.col("value") < 1, 0).otherwise(1), "chars": F.floor("value").cast("int")})
+    return logstats.summary(rows, search="view", write="purchase", reject="error")
+
+
+@query("top_codes", f"WITH {_LOG} SELECT event AS code, count(*) AS n, min(line_no) AS first_line FROM l_ WHERE value < 1 GROUP BY event")
+def top_codes(spark, sf_dir):
+    return logstats.most_common(log(spark, sf_dir).where("value < 1"), F.col("event"))
+
+
+@query("via_breakdown", f"WITH {_LOG} SELECT coalesce(CASE WHEN session % 3 = 0 THEN event END, 'unknown') AS via, count(*) AS n FROM l_ GROUP BY 1")
+def via_breakdown(spark, sf_dir):
+    return logstats.via_breakdown(log(spark, sf_dir).withColumn("via", F.when(F.col("session") % 3 == 0, F.col("event"))))
+
+
+@query("log_span", f"WITH {_LOG} SELECT round(arg_min(ts, line_no), 3) AS first_ts, round(arg_max(ts, line_no), 3) AS last_ts, count(*) AS n FROM l_")
+def log_span(spark, sf_dir):
+    return logstats.span(log(spark, sf_dir)).select(F.round("first_ts", 3).alias("first_ts"), F.round("last_ts", 3).alias("last_ts"), "n")
+
+
+@query("last_misses", f"WITH {_LOG} SELECT line_no, session, event FROM l_ WHERE value < 1 ORDER BY line_no DESC LIMIT 15")
+def last_misses(spark, sf_dir):
+    return logstats.last(log(spark, sf_dir).where("value < 1").select("line_no", "session", "event"))
+
+
+@query("searched_not_wrote", f"WITH {_LOG} SELECT session FROM l_ WHERE event = 'error' AND value > 100 EXCEPT SELECT session FROM l_ WHERE event = 'purchase' AND value > 100")
+def searched_not_wrote(spark, sf_dir):
+    return logstats.searched_not_wrote(log(spark, sf_dir).where("value > 100"), "error", "purchase")
+
+
+# --- similarity ------------------------------------------------------------------------------
+
+_SETS = f"s_ AS (SELECT item_id AS id, list_distinct({S.tokens('text')}) AS t FROM benchmark UNION ALL SELECT 1000000 + conv_id * 1000 + turn, list_distinct({S.tokens('text')}) FROM conversations WHERE role = 'user')"
+
+
+def _sets(spark, sf_dir):
+    a = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    b = read(spark, sf_dir, "conversations").where("role = 'user'").select((1000000 + F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return with_tokens(a.union(b), "text").select("id", "tokens")
+
+
+@query("jaccard_pairs", f"""WITH {_SETS}, e_ AS (SELECT id, unnest(t) AS term, len(t) AS n FROM s_), p_ AS (SELECT a.id AS i, b.id AS j, count(*) AS k, any_value(a.n + b.n) AS m FROM e_ a JOIN e_ b ON a.term = b.term AND a.id < b.id GROUP BY ALL)
+SELECT i, j, round(k / (m - k), 9) AS score FROM p_ WHERE 100 * k >= 40 * (m - k)""")
+def jaccard_pairs(spark, sf_dir):
+    return similar.jaccard_pairs(_sets(spark, sf_dir), 40).withColumn("score", F.round("score", 9))
+
+
+_TFIDF = f"""e_ AS (SELECT doc_id AS id, unnest({S.tokens("text")}) AS term FROM documents UNION ALL SELECT -1 - item_id, unnest({S.tokens("text")}) FROM benchmark),
+tf_ AS (SELECT id, term, count(*) AS tf FROM e_ GROUP BY ALL), n_ AS (SELECT count(DISTINCT id) AS n FROM e_),
+w_ AS (SELECT id, term, tf * ln(1 + (n - df + 0.5) / (df + 0.5)) AS w FROM tf_ JOIN (SELECT term, count(*) AS df FROM tf_ GROUP BY term) USING (term) CROSS JOIN n_),
+norm_ AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w_ GROUP BY id),
+c_ AS (SELECT a.id AS i, b.id AS j, sum(a.w * b.w) AS dot FROM w_ a JOIN w_ b USING (term) WHERE a.id < 0 AND b.id >= 0 GROUP BY ALL),
+s_ AS (SELECT -1 - i AS i, j, round(dot / (x.norm * y.norm), 9) AS score FROM c_ JOIN norm_ x ON x.id = i JOIN norm_ y ON y.id = j)"""
+
+
+def _cosines(spark, sf_dir):
+    """Cosines of each benchmark item, a stated query set, with all documents that share a term."""
+    a = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    b = read(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("id"), "text")
+    vectors, norms = similar.tfidf(with_tokens(a.union(b), "text").select("id", F.explode("tokens").alias("term")))
+    asked = vectors.where("id < 0").select(F.col("id").alias("i"), "term", F.col("w").alias("wi"))
+    dots = vectors.where("id >= 0").join(asked, "term").groupBy("i", F.col("id").alias("j")).agg(F.sum(F.col("w") * F.col("wi")).alias("dot"))
+    rows = dots.join(norms.select(F.col("id").alias("i"), F.col("norm").alias("ni")), "i").join(norms.select(F.col("id").alias("j"), F.col("norm").alias("nj")), "j")
+    return rows.select((-1 - F.col("i")).alias("i"), "j", F.round(F.col("dot") / (F.col("ni") * F.col("nj")), 9).alias("score"))
+
+
+@query("tfidf_best_match", f"WITH {_TFIDF} SELECT i, arg_max(j, struct_pack(s := round(score, 6), j := -j)) AS j, round(max(score), 6) AS score FROM s_ WHERE score > 0 GROUP BY i")
+def tfidf_best_match(spark, sf_dir):
+    rows = _cosines(spark, sf_dir).withColumn("score", F.round("score", 6))
+    return similar.best_match(rows)
+
+
+@query("budgeted_threshold", f"""WITH {_TFIDF}, p_ AS (SELECT round(s_.score, 6) AS score, contains(d.text, b.text) AS is_positive FROM s_ JOIN documents d ON d.doc_id = j JOIN benchmark b ON b.item_id = i),
+g_ AS (SELECT score, sum(count(*)) OVER (ORDER BY score DESC) AS cum FROM p_ WHERE NOT is_positive GROUP BY score), t_ AS (SELECT min(score) AS threshold, max(cum)::BIGINT AS above FROM g_ WHERE cum <= floor((SELECT count(*) FROM p_ WHERE NOT is_positive) * 0.01))
+SELECT threshold, above, count(*) FILTER (score >= threshold AND is_positive) AS tp, count(*) FILTER (score >= threshold AND NOT is_positive) AS fp, count(*) FILTER (score < threshold AND is_positive) AS fn FROM p_ CROSS JOIN t_ GROUP BY threshold, above""")
+def budgeted_threshold(spark, sf_dir):
+    from folioscope.plans.retrieval import qrels
+
+    marks = qrels(spark, sf_dir).select(F.col("qid").alias("i"), F.substring_index("slug", "-", -1).cast("long").alias("j"), F.lit(True).alias("_p"))
+    pairs = _cosines(spark, sf_dir).withColumn("score", F.round("score", 6)).join(marks, ["i", "j"], "left").withColumn("is_positive", F.coalesce("_p", F.lit(False)))
+    negatives = pairs.where("not is_positive").select("score")
+    limit = negatives.agg(F.count("*").alias("total"))
+    threshold = similar.budgeted_threshold(negatives, F.lit(limit.first()["total"]), 0.01)
+    rows = pairs.join(F.broadcast(threshold))
+    hit = F.col("score") >= F.col("threshold")
+    return rows.groupBy("threshold", "above").agg(F.count_if(hit & F.col("is_positive")).alias("tp"), F.count_if(hit & ~F.col("is_positive")).alias("fp"), F.count_if(~hit & F.col("is_positive")).alias("fn"))
+
+
+@query("cosine_topk", """WITH n_ AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), u_ AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM n_),
+s_ AS (SELECT a.vec_id AS qid, b.vec_id AS id, round(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])), 6) AS sim FROM u_ a JOIN u_ b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT qid, rank, id, sim FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id DESC) AS rank FROM s_) WHERE rank <= 10""")
+def cosine_topk(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    asked = rows.where("id % 50 = 0").select(F.col("id").alias("qid"), "v")
+    a, b = asked.select("qid", similar.normalised(F.col("v")).alias("qv")), rows.select("id", similar.normalised(F.col("v")).alias("v"))
+    sims = b.join(F.broadcast(a), F.col("id") != F.col("qid")).select("qid", "id", F.round(F.aggregate(F.zip_with("qv", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), 6).alias("sim"))
+    return sims.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), F.desc("id")))).where("rank <= 10").select("qid", "rank", "id", "sim")
+
+
+# --- the gate --------------------------------------------------------------------------------
+
+
+@query("thin_pages", r"SELECT doc_id, length(t)::INT AS n_chars FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '^[\s\x1c-\x1f]+', ''), '[\s\x1c-\x1f]+$', '') AS t FROM documents) WHERE length(t) < 200")
+def thin_pages(spark, sf_dir):
+    from folioscope.functions.text import strip
+
+    rows = read(spark, sf_dir, "documents").where(gate.is_thin(F.col("text")))
+    return rows.select("doc_id", F.length(strip(F.col("text"))).alias("n_chars"))
+
+
+@query("entropy_runs", r"""WITH r_ AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/=_-]{40,}')) AS run FROM documents),
+c_ AS (SELECT doc_id, run, unnest(list_distinct(string_split(run, ''))) AS c FROM r_ GROUP BY ALL)
+SELECT doc_id, length(run)::INT AS n, round(-sum((length(run) - length(replace(run, c, ''))) / length(run) * log2((length(run) - length(replace(run, c, ''))) / length(run))), 9) AS bits FROM c_ GROUP BY doc_id, run""")
+def entropy_runs(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("slug"), F.col("text").alias("body"))
+    runs = rows.select("slug", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit("[A-Za-z0-9+/=_-]{40,}"), F.lit(0)))).alias("run"))
+    return runs.select(F.col("slug").alias("doc_id"), F.length("run").alias("n"), F.round(gate.entropy(F.col("run")), 9).alias("bits"))
+
+
+@query("credential_findings", "SELECT doc_id, 0::BIGINT AS n FROM documents WHERE regexp_matches(text, '(AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22}|sk-[A-Za-z0-9_-]{20}|xox[abprs]-[A-Za-z0-9-]{10}|PRIVATE KEY') AND false UNION ALL SELECT doc_id, 0 FROM documents")
+def credential_findings(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("slug"), F.lit("").alias("title"), F.col("text").alias("body"))
+    found = gate.credentials(rows).groupBy("slug").agg(F.count("*").alias("n"))
+    return rows.join(found, "slug", "left").select(F.col("slug").alias("doc_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+@query("refusal_codes", r"""WITH k_ AS (SELECT doc_id, text, CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'note' ELSE ['decision', 'bug', 'concept', 'howto'][1 + doc_id % 4] END AS kind, doc_id % 11 = 0 AS bad, doc_id % 13 = 0 AS bare FROM documents)
+SELECT doc_id, CASE WHEN trim(regexp_replace(text, '\s+', ' ', 'g')) = '' THEN 'no_body' WHEN kind = '' THEN 'no_kind' WHEN bad THEN 'bad_slug' WHEN kind = 'note' THEN 'bad_kind' WHEN bare THEN 'no_sources'
+WHEN doc_id % 17 = 0 THEN 'source_missing' WHEN doc_id % 19 = 0 THEN 'supersede_self' WHEN doc_id % 23 = 0 THEN 'supersede_missing'
+WHEN length(regexp_replace(regexp_replace(text, '^[\s\x1c-\x1f]+', ''), '[\s\x1c-\x1f]+$', '')) < 200 THEN 'body_too_short' END AS code FROM k_""")
+def refusal_codes(spark, sf_dir):
+    d = F.col("doc_id")
+    slug = F.concat(F.when(d % 11 == 0, "Doc ").otherwise("doc-"), d.cast("string"))
+    kind = F.when(d % 7 == 0, "").when(d % 7 == 1, "note").otherwise(F.get(F.array(*map(F.lit, gate.KINDS)), (d % 4).cast("int")))
+    none = F.array().cast("array<string>")
+    own = read(spark, sf_dir, "documents")
+    coming = own.select("doc_id", slug.alias("slug"), F.lit("t").alias("title"), kind.alias("kind"), F.when(d % 13 == 0, none).otherwise(F.array(F.when(d % 17 == 0, F.concat(F.lit("gone-"), d.cast("string"))).otherwise(F.col("source")))).alias("sources"), F.when(d % 19 == 0, F.array(slug)).when(d % 23 == 0, F.array(F.lit("no-such-page"))).otherwise(none).alias("supersedes"), F.col("text").alias("body"))
+    files = own.select(F.col("source").alias("path")).distinct()
+    stored = coming.select("slug", F.lit(None).cast("string").alias("superseded_by"))
+    return gate.refusals(coming, stored, files).select("doc_id", "code")
+
+
+@query("line_sections", "SELECT doc_id, len(string_split(text, chr(10)))::INT AS n_lines, len(list_filter(string_split(text, chr(10)), lambda x: starts_with(x, '## ')))::INT AS n_heads FROM documents")
+def line_sections(spark, sf_dir):
+    lines = F.split("text", "\n")
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(lines).alias("n_lines"), F.size(F.filter(lines, lambda x: x.startswith("## "))).alias("n_heads"))
+
+
+@query("merged_pages")
+def merged_pages(spark, sf_dir):
+    """Each document's lines as sections, merged with the next document's."""
+    own = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("## "), F.replace("text", F.lit("\n"), F.lit("\n## "))).alias("body"))
+    rows = own.select("doc_id", F.col("body").alias("old")).join(own.select((F.col("doc_id") - 1).alias("doc_id"), F.col("body").alias("new")), "doc_id", "left")
+    return gate.merged(rows).select("doc_id", "mode", F.size("replaced").alias("n_replaced"), F.size("appended").alias("n_appended"), F.length("body").alias("n_chars"))
+
+
+# --- links, freshness, graph -----------------------------------------------------------------
+
+_LINKS = """l_ AS (SELECT 'p' || page_id AS src, unnest(regexp_extract_all(html, '<a href="/([^"]*)"', 1)) AS dst, unnest(range(len(regexp_extract_all(html, '<a href="/([^"]*)"', 1)))) AS pos FROM pages),
+t_ AS (SELECT DISTINCT dst AS slug FROM (SELECT dst, count(DISTINCT src) AS n FROM l_ GROUP BY dst) WHERE n >= 5)"""
+
+
+def _links(spark, sf_dir):
+    rows = read(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("src"), F.posexplode(links.html_targets(F.col("html"))).alias("pos", "dst"))
+    names = rows.groupBy("dst").agg(F.count_distinct("src").alias("n")).where("n >= 5").select(F.col("dst").alias("slug"))
+    return rows, names
+
+
+@query("backlinks", f"WITH {_LINKS} SELECT dst, count(DISTINCT src) AS n, array_to_string(list_sort(list(DISTINCT src)), ',') AS sources FROM l_ SEMI JOIN t_ ON t_.slug = l_.dst GROUP BY dst")
+def backlinks(spark, sf_dir):
+    return links.backlinks(*_links(spark, sf_dir)).select("dst", "n", F.array_join("sources", ",").alias("sources"))
+
+
+@query("dangling_links", f"WITH {_LINKS} SELECT src, dst, min(pos)::INT AS pos FROM l_ ANTI JOIN t_ ON t_.slug = l_.dst GROUP BY src, dst")
+def dangling_links(spark, sf_dir):
+    return links.dangling(*_links(spark, sf_dir))
+
+
+@query("drift", """WITH p_ AS (SELECT o_orderkey AS slug, epoch(o_orderdate)::BIGINT AS ts FROM orders), c_ AS (SELECT DISTINCT l_orderkey AS slug, l_partkey AS source FROM lineitem),
+s_ AS (SELECT l_partkey AS source, max(epoch(l_shipdate))::BIGINT AS ct FROM lineitem WHERE l_partkey % 5 > 0 GROUP BY 1)
+SELECT slug, count(*) FILTER (source % 7 > 0 AND ct > ts) AS n_changed, count(*) FILTER (source % 7 = 0) AS n_gone FROM c_ JOIN p_ USING (slug) LEFT JOIN s_ USING (source) GROUP BY slug HAVING n_changed > 0 OR n_gone > 0""")
+def drift(spark, sf_dir):
+    """Pages are orders, sources parts: a part changed when it was last shipped, every seventh part is gone, every fifth unknown."""
+    seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    items = read(spark, sf_dir, "lineitem")
+    pages = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("slug"), F.concat(F.lit("page/"), F.col("o_orderkey").cast("string")).alias("path"), seconds("o_orderdate").alias("mtime"))
+    name = F.col("l_partkey").cast("string")
+    cited = items.select(F.col("l_orderkey").alias("slug"), name.alias("source"))
+    commits = items.where("l_partkey % 5 > 0").select(name.alias("path"), seconds("l_shipdate").alias("ct"))
+    files = items.where("l_partkey % 7 > 0").select(name.alias("path"))
+    return freshness.drift(pages, cited, commits, files).select("slug", F.size("changed").cast("long").alias("n_changed"), F.size("gone").cast("long").alias("n_gone"))
+
+
+_EDGES = """e_ AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_orderkey % 20 = 0), c_ AS (SELECT DISTINCT l_orderkey AS slug, 'p' || l_partkey AS source FROM lineitem WHERE l_orderkey % 50 = 0),
+d_ AS (SELECT dst, count(*) AS degree FROM e_ GROUP BY dst), b_ AS (SELECT src AS file, dst AS other FROM e_ UNION SELECT dst, src FROM e_),
+n_ AS (SELECT file, other FROM b_ LEFT JOIN d_ ON d_.dst = other WHERE coalesce(degree, 0) <= 10)"""
+
+
+def _edges(spark, sf_dir):
+    """Edges go from suppliers to the parts of every twentieth order, citations are parts of every fiftieth: the probe's graph."""
+    items = read(spark, sf_dir, "lineitem")
+    part, supplier = F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    return items.where("l_orderkey % 20 = 0").select(supplier.alias("src"), part.alias("dst")).distinct(), items.where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("slug"), part.alias("source")).distinct()
+
+
+@query("in_degree", f"WITH {_EDGES} SELECT dst, degree FROM d_")
+def in_degree(spark, sf_dir):
+    return graph.in_degree(_edges(spark, sf_dir)[0])
+
+
+@query("hop_reach", f"""WITH {_EDGES}, f_ AS (SELECT src AS file FROM e_ UNION SELECT dst FROM e_), u_ AS (SELECT file FROM f_ ANTI JOIN c_ ON c_.source = f_.file),
+r_ AS (SELECT u_.file, count(DISTINCT c_.slug) AS n_pages FROM u_ LEFT JOIN n_ USING (file) LEFT JOIN c_ ON c_.source = n_.other GROUP BY u_.file) SELECT file, n_pages FROM r_""")
+def hop_reach(spark, sf_dir):
+    edges, cited = _edges(spark, sf_dir)
+    files = edges.select(F.col("src").alias("path")).union(edges.select("dst"))
+    return graph.reach(files, edges, cited, 10)
+
+
+@query("leave_one_out", f"""WITH {_EDGES}, m_ AS (SELECT slug FROM c_ GROUP BY slug HAVING count(*) >= 2)
+SELECT c_.slug, c_.source, count(o.source) > 0 AS found FROM c_ SEMI JOIN m_ ON m_.slug = c_.slug LEFT JOIN n_ ON n_.file = c_.source LEFT JOIN c_ o ON o.slug = c_.slug AND o.source = n_.other GROUP BY ALL""")
+def leave_one_out(spark, sf_dir):
+    edges, cited = _edges(spark, sf_dir)
+    # parts meet in their suppliers only, so two hops stand for one here
+    return graph.leave_one_out(edges, cited, 10)
+
+
+@query("noise_quantiles", f"""WITH {_EDGES}, g_ AS (SELECT list_sort(list(degree)) AS v FROM d_), q_ AS (SELECT v, len(v) AS n, greatest(1.0, least(len(v)::DOUBLE, 0.9 * (len(v) + 1))) AS p FROM g_)
+SELECT n, round(v[floor(p)::INT] + (v[least(floor(p)::INT + 1, n)] - v[floor(p)::INT]) * (p - floor(p)), 6) AS p90, (SELECT quantile_cont(degree, 0.5) FROM d_) AS median FROM q_""")
+def noise_quantiles(spark, sf_dir):
+    """Quantiles of in-degrees, from counts of equal degrees: what is gathered is one entry per degree."""
+    degrees = graph.in_degree(_edges(spark, sf_dir)[0]).groupBy("degree").agg(F.count("*").alias("k"))
+    below = degrees.withColumn("upto", F.sum("k").over(Window.orderBy("degree")))
+    n = F.max("upto")
+    total = below.agg(n.alias("n")).withColumn("p", F.greatest(F.lit(1.0), F.least(F.col("n").cast("double"), 0.9 * (F.col("n") + 1))))
+    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col("degree")))
+    low = F.floor("p")
+    rows = below.join(F.broadcast(total)).groupBy("n", "p").agg(at(low).alias("a"), at(F.least(low + 1, F.col("n"))).alias("b"), at(F.floor((F.col("n") + 1) / 2)).alias("m1"), at(F.floor((F.col("n") + 2) / 2)).alias("m2"))
+    return rows.select("n", F.round(F.col("a") + (F.col("b") - F.col("a")) * (F.col("p") - F.floor("p")), 6).alias("p90"), ((F.col("m1") + F.col("m2")) / 2).alias("median"))
+
+
+# --- sessions and tests ----------------------------------------------------------------------
+
+_STEPS = f"""t_ AS (SELECT conv_id AS session, turn AS pos, role = 'user' AS is_search, role = 'assistant' AS is_edit, ({S.tokens('text')})[1] AS top FROM conversations),
+r_ AS (SELECT *, is_search AND top IS NOT NULL AND row_number() OVER (PARTITION BY session, is_search, top ORDER BY pos) > 1 AS repeat FROM t_),
+m_ AS (SELECT session, count(*) FILTER (is_search) > 0 AS searched, count(*) FILTER (is_search) AS n_searches, count(*) FILTER (repeat) AS repeats, count(*) FILTER (is_edit) AS n_edits,
+CASE WHEN min(CASE WHEN is_edit THEN pos END) IS NOT NULL THEN coalesce(min(CASE WHEN is_search THEN pos END) < min(CASE WHEN is_edit THEN pos END), false) END AS searched_first FROM r_ GROUP BY session)"""
+
+
+def _steps(spark, sf_dir):
+    rows = with_tokens(read(spark, sf_dir, "conversations"), "text")
+    return sessions.steps(rows.select(F.col("conv_id").alias("session"), F.col("turn").alias("pos"), (F.col("role") == "user").alias("is_search"), (F.col("role") == "assistant").alias("is_edit"), F.get("tokens", F.lit(0)).alias("top")))
+
+
+@query("session_metrics", f"WITH {_STEPS} SELECT * FROM m_")
+def session_metrics(spark, sf_dir):
+    return _steps(spark, sf_dir)
+
+
+def _wilson_sql(k: str, n: str, sign: str) -> str:
+    inner = f"({k} / {n} + 3.8416 / (2 * {n}) {sign} 1.96 * sqrt({k} / {n} * (1 - {k} / {n}) / {n} + 3.8416 / (4 * {n} * {n}))) / (1 + 3.8416 / {n})"
+    return f"CASE WHEN {n} > 0 THEN greatest(0.0, least(1.0, {inner})) END"
+
+
+@query("session_groups", f"""WITH {_STEPS}, g_ AS (SELECT n_searches > 2 AS long, count(*) AS n, count(*) FILTER (searched) AS sk, count(searched) AS sn, count(*) FILTER (searched_first) AS fk, count(searched_first) AS fn, round(avg(repeats), 6) AS mean_repeats, quantile_cont(n_searches, 0.5) AS median_searches FROM m_ GROUP BY 1)
+SELECT long, n, sn AS searched_n, round(sk / sn, 6) AS searched_rate, round({_wilson_sql('sk', 'sn', '-')}, 6) AS searched_low, round({_wilson_sql('sk', 'sn', '+')}, 6) AS searched_high,
+fn AS first_n, round(fk / fn, 6) AS first_rate, round({_wilson_sql('fk', 'fn', '-')}, 6) AS first_low, round({_wilson_sql('fk', 'fn', '+')}, 6) AS first_high, mean_repeats, median_searches FROM g_""")
+def session_groups(spark, sf_dir):
+    return sessions.group_summary(_steps(spark, sf_dir).withColumn("long", F.col("n_searches") > 2), ["long"])
+
+
+_RATES = "r_ AS (SELECT lang, count(*) AS n, count(*) FILTER (toxic = 1) AS k FROM labels JOIN documents USING (doc_id) GROUP BY lang)"
+
+
+def _rates(spark, sf_dir):
+    return read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("k"))
+
+
+@query("wilson_by_lang", f"WITH {_RATES} SELECT lang, n, k, round({_wilson_sql('k', 'n', '-')}, 6) AS low, round({_wilson_sql('k', 'n', '+')}, 6) AS high FROM r_")
+def wilson_by_lang(spark, sf_dir):
+    low, high = tests.wilson(F.col("k"), F.col("n"))
+    return _rates(spark, sf_dir).select("lang", "n", "k", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+@query("newcombe_pairs", f"""WITH {_RATES}, w_ AS (SELECT lang, k / n AS p, {_wilson_sql('k', 'n', '-')} AS l, {_wilson_sql('k', 'n', '+')} AS u FROM r_)
+SELECT a.lang AS lang_a, b.lang AS lang_b, round(b.p - a.p, 6) AS delta, round(b.p - a.p - sqrt((b.p - b.l) ** 2 + (a.u - a.p) ** 2), 6) AS low, round(b.p - a.p + sqrt((b.u - b.p) ** 2 + (a.p - a.l) ** 2), 6) AS high FROM w_ a JOIN w_ b ON a.lang < b.lang""")
+def newcombe_pairs(spark, sf_dir):
+    """Pairs of languages, of which there are few by nature: one counted row each."""
+    r = _rates(spark, sf_dir)
+    a, b = r.select(F.col("lang").alias("lang_a"), F.col("n").alias("n1"), F.col("k").alias("k1")), r.select(F.col("lang").alias("lang_b"), F.col("n").alias("n2"), F.col("k").alias("k2"))
+    d, low, high = tests.newcombe(F.col("k1"), F.col("n1"), F.col("k2"), F.col("n2"))
+    return a.join(F.broadcast(b), F.col("lang_a") < F.col("lang_b")).select("lang_a", "lang_b", F.round(d, 6).alias("delta"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+@query("fisher_pairs")
+def fisher_pairs(spark, sf_dir):
+    r = _rates(spark, sf_dir)
+    a, b = r.select(F.col("lang").alias("lang_a"), F.col("k").alias("k1"), (F.col("n") - F.col("k")).alias("m1")), r.select(F.col("lang").alias("lang_b"), F.col("k").alias("k2"), (F.col("n") - F.col("k")).alias("m2"))
+    return a.join(F.broadcast(b), F.col("lang_a") < F.col("lang_b")).select("lang_a", "lang_b", F.round(tests.fisher("k1", "m1", "k2", "m2"), 9).alias("p"))
+
+
+_MW = """v_ AS (SELECT toxic, n_chars AS v FROM labels JOIN documents USING (doc_id)), t_ AS (SELECT v, count(*) AS c, count(*) FILTER (toxic = 1) AS c1 FROM v_ GROUP BY v),
+m_ AS (SELECT c, c1, sum(c) OVER (ORDER BY v) - c + (c + 1) / 2 AS r FROM t_), a_ AS (SELECT sum(c1)::BIGINT AS n1, sum(c - c1)::BIGINT AS n2, sum(c1 * r) AS r1, sum(c * c * c - c)::DOUBLE AS ties FROM m_)"""
+
+
+@query("mann_whitney", f"WITH {_MW} SELECT n1, n2, r1 - n1 * (n1 + 1) / 2 AS u, round(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1.0))), 4) AS variance FROM a_")
+def mann_whitney(spark, sf_dir):
+    """U of toxic against other documents' lengths, by counts of equal values."""
+    v = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    t = v.groupBy("n_chars").agg(F.count("*").alias("c"), F.count_if(F.col("toxic") == 1).alias("c1"))
+    m = t.withColumn("r", F.sum("c").over(Window.orderBy("n_chars")) - F.col("c") + (F.col("c") + 1) / 2)
+    a = m.agg(F.sum("c1").alias("n1"), F.sum(F.col("c") - F.col("c1")).alias("n2"), F.sum(F.col("c1") * F.col("r")).alias("r1"), F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).cast("double").alias("ties"))
+    n = F.col("n1") + F.col("n2")
+    return a.select("n1", "n2", (F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2).alias("u"), F.round(F.col("n1") * F.col("n2") / 12 * (n + 1 - F.col("ties") / (n * (n - 1.0))), 4).alias("variance"))
+
+
+@query("average_ranks", "WITH v_ AS (SELECT p_partkey, p_brand, p_size FROM part) SELECT p_partkey, rank() OVER w + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2 AS midrank FROM v_ WINDOW w AS (PARTITION BY p_brand ORDER BY p_size)")
+def average_ranks(spark, sf_dir):
+    return ireval.average_ranks(read(spark, sf_dir, "part"), "p_size", ["p_brand"]).select("p_partkey", "midrank")
+
+
+@query("effective_dates", "SELECT o_orderkey, coalesce(nullif(CASE WHEN o_orderstatus = 'O' THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END, ''), nullif(left(o_orderpriority, 1), ''), '') AS updated FROM orders")
+def effective_dates(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", effective_date(F.when(F.col("o_orderstatus") == "O", F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(""), F.substring("o_orderpriority", 1, 1)).alias("updated"))
+
+
+@query("collapsed_text", r"SELECT doc_id, md5(trim(regexp_replace(text, '[\s\x1c-\x1f]+', ' ', 'g'))) AS digest FROM documents")
+def collapsed_text(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(collapse(F.col("text"))).alias("digest"))
+
+
+@query("path_prefixes", r"""WITH p_ AS (SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace(url, '^[^:]*://', ''), '[?#].*$', ''), '/+$', ''), '/') AS c FROM pages) SELECT page_id, unnest(range(1, len(c) + 1))::INT AS n, array_to_string(c[1:unnest(range(1, len(c) + 1))], '/') AS path FROM p_""")
+def prefixes(spark, sf_dir):
+    rows = read(spark, sf_dir, "pages").select("page_id", F.posexplode(path_prefixes(F.regexp_replace(F.regexp_replace("url", "^[^:]*://", ""), "[?#].*$", ""))).alias("n", "path"))
+    return rows.select("page_id", (F.col("n") + 1).alias("n"), "path")
