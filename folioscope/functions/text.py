@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Runs of letters, numbers and underscores; the classes are those of Unicode.
 WORD = r"[\p{L}\p{N}_]+"
@@ -28,12 +29,12 @@ def fold(word: Column) -> Column:
     return F.replace(F.replace(F.lower(word), F.lit("ß"), F.lit("ss")), F.lit("̇"), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _folded_slowly(texts: pd.Series) -> pd.Series:
     import regex
 
@@ -109,7 +110,7 @@ def is_slug(text: Column) -> Column:
     return F.coalesce(text.rlike("^[a-z0-9]+(-[a-z0-9]+)*$"), F.lit(False))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def path_key(paths: pd.Series) -> pd.Series:
     """A path's spelling for comparison: composed, without . and .. and doubled slashes."""
     return paths.map(lambda p: None if p is None else posixpath.normpath(unicodedata.normalize("NFC", p.replace("\\", "/"))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.functions.text import entropy, is_slug, strip
 
@@ -45,13 +46,12 @@ def entropies(pages: DataFrame) -> DataFrame:
     return runs.select("slug", "line", "run_no", F.length("run").alias("n"), entropy(F.col("run")).alias("bits")).withColumn("warn", F.col("bits") >= BITS)
 
 
-def refusals(incoming: DataFrame, pages: DataFrame, files: DataFrame, *, text_is_result: bool = True) -> DataFrame:
+def refusals(incoming: DataFrame, pages: DataFrame, files: DataFrame) -> DataFrame:
     """incoming (slug, title, kind, sources, supersedes, body) with ``code``, the first rule that refuses it, or null.
 
     pages: slug, superseded_by of what is stored; files: path of what exists.  Set tests are semi joins; the chain that
     supersession would close is followed for 20 steps.
     """
-    del text_is_result
     names = pages.select("slug").distinct()
     some = F.array().cast("array<string>")
     gone = incoming.select("slug", F.explode("sources").alias("path")).join(files.select("path").distinct(), "path", "left_anti").select("slug").distinct().withColumn("_source_missing", F.lit(True))
@@ -136,7 +136,9 @@ def merge_bodies(old: str, new: str) -> tuple[str, list[str], list[str]]:
 def merged(pages: DataFrame) -> DataFrame:
     """Rows (slug, old, new) with body, replaced, appended and mode (create, merge, unchanged); Arrow batches of whole rows."""
 
-    @F.pandas_udf("body string, replaced array<string>, appended array<string>")
+    lists = T.ArrayType(T.StringType())
+
+    @F.pandas_udf(T.StructType([T.StructField("body", T.StringType()), T.StructField("replaced", lists), T.StructField("appended", lists)]))
     def one(old: pd.Series, new: pd.Series) -> pd.DataFrame:
         rows = [merge_bodies(o or "", n or "") for o, n in zip(old, new, strict=True)]
         return pd.DataFrame({"body": [r[0] for r in rows], "replaced": [r[1] for r in rows], "appended": [r[2] for r in rows]})

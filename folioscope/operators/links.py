@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _LINK = re.compile(r"\[\[([^\[\]|#\n]+)(?:[#|][^\[\]\n]*)?\]\]")
 _SPAN = re.compile(r"(`+)(?!`).*?(?<!`)\1(?!`)", re.S)
@@ -29,7 +30,7 @@ def links_of(body: str) -> list[str]:
     return [t for x in _LINK.findall(_SPAN.sub(" ", "\n".join(kept))) if (t := x.strip())]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _links(bodies: pd.Series) -> pd.Series:
     return bodies.map(lambda b: [] if b is None else links_of(b))
 

@@ -96,8 +96,8 @@ def lifted(ranked: DataFrame, steps: int = 20) -> DataFrame:
     by pointer doubling: ``steps`` doublings see chains of 2**steps.
     """
     hits = ranked.select("qid", "slug", "rank", "superseded_by")
-    names = hits.select("qid", F.col("slug").alias("_to"))
-    up = hits.join(names, (hits["qid"] == names["qid"]) & (hits["superseded_by"] == names["_to"]), "left").select(hits["qid"], "slug", "rank", F.when(F.col("_to") != F.col("slug"), F.col("_to")).alias("up"))
+    names = hits.select("qid", F.col("slug").alias("superseded_by"), F.lit(True).alias("_in"))
+    up = hits.join(names, ["qid", "superseded_by"], "left").select("qid", "slug", "rank", F.when(F.col("_in") & (F.col("superseded_by") != F.col("slug")), F.col("superseded_by")).alias("up"))
     closure = up.select("qid", F.col("slug").alias("a"), F.col("rank").alias("r"), F.col("slug").alias("b"), F.lit(0).alias("d"))
     front = closure
     for _ in range(steps):

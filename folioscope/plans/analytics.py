@@ -150,7 +150,7 @@ def thin_pages(spark, sf_dir):
 
 
 @query("entropy_runs", r"""WITH r_ AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/=_-]{40,}')) AS run FROM documents),
-c_ AS (SELECT doc_id, run, unnest(list_distinct(string_split(run, ''))) AS c FROM r_ GROUP BY ALL)
+c_ AS (SELECT doc_id, run, unnest(list_distinct(string_split(run, ''))) AS c FROM (SELECT DISTINCT doc_id, run FROM r_))
 SELECT doc_id, length(run)::INT AS n, round(-sum((length(run) - length(replace(run, c, ''))) / length(run) * log2((length(run) - length(replace(run, c, ''))) / length(run))), 9) AS bits FROM c_ GROUP BY doc_id, run""")
 def entropy_runs(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("slug"), F.col("text").alias("body"))

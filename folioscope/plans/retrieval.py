@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -207,7 +209,10 @@ def bootstrap_interval(spark, sf_dir):
     return _interval(ireval.placed(_per(spark, sf_dir).where("n_rel > 0"), F.col("ndcg")))
 
 
-@query("paired_delta", f"""WITH {S.PAGES}, t_ AS ({S.top(S.bm25f())}), {_PER}, t2_ AS ({S.top(S.COUNT)}), {_PER.replace('m_', 'm2_').replace('t_ t', 't2_ t').replace('n_ ', 'n2_ ').replace('per_', 'per2_')},
+_PER2 = re.sub(r"\b(m|n|per)_", r"\g<1>2_", _PER).replace("t_ t", "t2_ t")
+
+
+@query("paired_delta", f"""WITH {S.PAGES}, t_ AS ({S.top(S.bm25f())}), {_PER}, t2_ AS ({S.top(S.COUNT)}), {_PER2},
 v_ AS (SELECT row_number() OVER (ORDER BY qid) - 1 AS place, per_.ndcg - per2_.ndcg AS value FROM per_ JOIN per2_ USING (qid) WHERE per_.n_rel > 0), {_DRAWS}""")
 def paired_delta(spark, sf_dir):
     ix, terms = built(spark, sf_dir)

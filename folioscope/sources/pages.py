@@ -11,6 +11,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FOLDER, ENVIRONMENT = ".memory", "FOLIOSCOPE_DIR"
 MANAGED = ("slug", "title", "kind", "created", "updated", "status", "superseded_by")
@@ -85,10 +86,15 @@ def parse(text: str, path: str) -> dict:
     return row | {"slug": slug, "title": scalar("title") or slug.replace("-", " "), "body": body, "path": path, "extra": {k: as_list(v) for k, v in meta.items() if k not in MANAGED and k not in LISTS}}
 
 
-@F.pandas_udf(SCHEMA)
+def _fields() -> T.StructType:
+    """SCHEMA as a type, which needs no session."""
+    of = {"string": T.StringType(), "array<string>": T.ArrayType(T.StringType()), "map<string,array<string>>": T.MapType(T.StringType(), T.ArrayType(T.StringType()))}
+    return T.StructType([T.StructField(n, of[t]) for n, t in (x.strip().split(" ") for x in SCHEMA.split(", "))])
+
+
+@F.pandas_udf(_fields())
 def _parsed(texts: pd.Series, paths: pd.Series) -> pd.DataFrame:
-    names = [x.strip().split(" ")[0] for x in re.split(r",(?![^<]*>)", SCHEMA)]
-    return pd.DataFrame([parse(t, p) for t, p in zip(texts, paths, strict=True)], columns=names)
+    return pd.DataFrame([parse(t, p) for t, p in zip(texts, paths, strict=True)], columns=_fields().names)
 
 
 def read_pages(spark: SparkSession, store: str) -> DataFrame:
