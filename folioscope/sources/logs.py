@@ -19,7 +19,7 @@ def read_log(spark: SparkSession, path: str, since: str | None = None) -> DataFr
 
     A log is one file whose order matters, so it is read whole, as one row, and cut into lines.
     """
-    lines = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     rows = lines.where(F.trim("line") != "").select(F.col("line_no").cast("long"), F.from_json("line", EVENT).alias("e")).where(F.col("e.ts").isNotNull() & F.col("line").rlike(r'"ts"\s*:\s*"')).select("line_no", "e.*")
     return rows.where(F.col("ts") >= since) if since else rows
 
