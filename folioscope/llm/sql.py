@@ -3,3 +3,18 @@
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op6_jaccard_join"] = r"""
+WITH RECURSIVE w_ AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s_ AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w_),
+e_ AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s_),
+l_ AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e_ a JOIN e_ b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+  HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+r_ AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r_.a, x.b FROM r_ JOIN (SELECT a, b FROM l_ UNION ALL SELECT b, a FROM l_) x ON x.a = r_.b)
+SELECT s_.doc_id, len(s)::BIGINT AS n_shingles, c.component_id FROM s_ JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r_ GROUP BY a) c USING (doc_id)"""
