@@ -93,16 +93,17 @@ def lifted(ranked: DataFrame, steps: int = 20) -> DataFrame:
 
     In the hit list the pointers form a forest.  A hit's place is the least rank of all that lead to it, and within a
     tree its distance to the newest page comes next; pointers to pages outside the list end there.  Chains are followed
-    by pointer doubling: ``steps`` doublings see chains of 2**steps.
+    step by step, ``steps`` at most; the hits are kept in memory meanwhile, so a step costs one join of what has moved.
     """
+    ranked = ranked.cache()
     hits = ranked.select("qid", "slug", "rank", "superseded_by")
     names = hits.select("qid", F.col("slug").alias("superseded_by"), F.lit(True).alias("_in"))
-    up = hits.join(names, ["qid", "superseded_by"], "left").select("qid", "slug", "rank", F.when(F.col("_in") & (F.col("superseded_by") != F.col("slug")), F.col("superseded_by")).alias("up"))
+    up = hits.join(names, ["qid", "superseded_by"], "left").select("qid", "slug", "rank", F.when(F.col("_in") & (F.col("superseded_by") != F.col("slug")), F.col("superseded_by")).alias("up")).cache()
     closure = up.select("qid", F.col("slug").alias("a"), F.col("rank").alias("r"), F.col("slug").alias("b"), F.lit(0).alias("d"))
     front = closure
     for _ in range(steps):
         link = up.select("qid", F.col("slug").alias("b"), F.col("up").alias("nb")).where("nb is not null")
-        front = front.join(link, ["qid", "b"]).select("qid", "a", "r", F.col("nb").alias("b"), (F.col("d") + 1).alias("d"))
+        front = front.join(link, ["qid", "b"]).select("qid", "a", "r", F.col("nb").alias("b"), (F.col("d") + 1).alias("d")).cache()
         if front.isEmpty():
             break
         closure = closure.union(front)
