@@ -95,7 +95,7 @@ def test_tool_calls_and_steps(spark):
 
 
 def test_streamed_repeats_equal_batch(spark, tmp_path):
-    rows = [(i, f"2024-01-01 00:{(i * 37 % 3600) // 60:02d}:{i * 37 % 60:02d}", f"u{i % 3}", f"t{i % 2}") for i in range(90)]
+    rows = [(i, f"2024-01-01 00:{(i * 13 % 3600) // 60:02d}:{i * 13 % 60:02d}", f"u{i % 3}", f"t{i % 2}") for i in range(90)]
     rows.sort(key=lambda r: r[1])
     df = spark.createDataFrame(rows, "event_id long, ts string, session string, top string").withColumn("ts", F.to_timestamp("ts"))
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
