@@ -8,30 +8,30 @@ A document is judged by the ratio normalised by its length, over all its words a
 logistic function of these, fitted on labelled documents that the models of that fit haven't seen, is the score.
 
 Counting and scoring are one pass each over all documents.  The models hold contexts of the toxic class only (in others
-both classes back off alike), so their size is bounded by the labelled sample, of SAMPLE documents at most.
+both classes back off alike), so their size is bounded by the labelled sample, of SAMPLE documents at most.  They are
+sorted arrays; runs of letters are known by 64 bits of a hash.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import materialised
+from folioscope.llm.common import _splitmix, materialised, mix
 
 ORDER = 8
 DISCOUNT = 0.75
-#: A context is modelled if the toxic documents have it so often, in the words of each document; of these at most so many, the most telling ones.
-SEEN, CONTEXTS = 2, 30_000
+#: A context is modelled if the toxic documents have it so often, in the words of each document.
+SEEN = 2
 #: Labelled documents from which the models are fitted (those of least hash, if there are more).
 SAMPLE = 15_000
-#: Words counted in a task before they are passed on, and ratios kept per worker.
-MEMORY = 300_000
+#: Words counted in a task before they are passed on, and ratios kept per worker; letters that are hashed at once.
+MEMORY, LETTERS = 300_000, 200_000
 #: How many of a document's most telling words are looked at, beside all of them; a word's ratio counts up to MOST.
 TOP, MOST = (1, 2, 3, 5), 12.0
 FEATURES = 2 + len(TOP)
@@ -53,73 +53,118 @@ def spelled(word: str) -> str:
     return "^" * (ORDER - 1) + word + "$"
 
 
+_FACTORS = _splitmix(29, ORDER + 1)
+
+
+def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spelled words' letters in a row, the places at which runs end that are counted, and the word of each place."""
+    codes = np.frombuffer("".join(map(spelled, words)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + ORDER
+    word = np.repeat(np.arange(len(words)), size)
+    at = np.flatnonzero(np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size) >= ORDER - 1)
+    return codes, at, word[at]
+
+
+def _run(codes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The hash of the k letters that end at each place."""
+    out = np.full(len(at), k, dtype=np.uint64) * _FACTORS[ORDER]
+    for j in range(k):
+        out += codes[at - j] * _FACTORS[j]
+    return mix(out)
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the sorted keys, and whether the wanted ones are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def _parts(words: list[str]):
+    """The words in lists of about LETTERS letters."""
+    out, n = [], 0
+    for w in words:
+        out.append(w)
+        n += len(w) + ORDER
+        if n > LETTERS:
+            yield out
+            out, n = [], 0
+    if out:
+        yield out
+
+
 class Model:
     """Log ratios of letters in context: of those seen, and of contexts for letters not seen."""
 
-    def __init__(self, grams: dict[str, tuple[int, int]], lower: dict[str, int], totals: dict[str, tuple[int, int]]) -> None:
-        """grams: counts of toxic and ordinary for ORDER letters; lower: numbers of words for fewer; totals: their sum and number by context."""
-        toxic, plain = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
-        for g, (t, p) in grams.items():
-            for table, n in ((toxic, t), (plain, p)):
-                if n:
-                    table[g[:-1]][0] += n
-                    table[g[:-1]][1] += 1
-
-        memory: dict[str, float] = {}
-
-        def shared(g: str) -> float:
-            """The last letter's share after the others, by the lower orders."""
-            out = memory.get(g)
-            if out is None:
-                out = shared(g[1:]) if len(g) > 1 else 1 / 5000  # of all letters there are
-                total, kinds = totals.get(g[:-1], (0, 0))
-                if total:
-                    out = max(lower.get(g, 0) - DISCOUNT, 0) / total + DISCOUNT * kinds / total * out
-                memory[g] = out
-            return out
-
-        self.seen: dict[str, float] = {}
-        self.unseen: dict[str, float] = {}
-        left = {h: [DISCOUNT * table[h][1] / table[h][0] if h in table else 1.0 for table in (toxic, plain)] for h in toxic}
-        self.unseen = {h: float(np.log(a / b)) for h, (a, b) in left.items()}
-        for g, counts in grams.items():
-            if (h := g[:-1]) in toxic:
-                q = shared(g[1:])
-                a, b = ((max(n - DISCOUNT, 0) / table[h][0] if h in table else 0) + rest * q for n, table, rest in zip(counts, (toxic, plain), left[h], strict=True))
-                self.seen[g] = float(np.log(a / b))
+    def __init__(self, grams: np.ndarray, contexts: np.ndarray, toxic: np.ndarray, plain: np.ndarray, shares: np.ndarray) -> None:
+        """Of each run of ORDER letters: its hash and its context's, counts of both classes, the last letter's share by the lower orders."""
+        own, of = np.unique(contexts, return_inverse=True)
+        total = [np.bincount(of, n, len(own)) for n in (toxic, plain)]
+        kinds = [np.bincount(of, n > 0, len(own)) for n in (toxic, plain)]
+        left = [np.where(t > 0, DISCOUNT * k / np.maximum(t, 1), 1.0) for t, k in zip(total, kinds, strict=True)]
+        known = total[0] > 0
+        self.contexts, self.unseen = own[known], np.log(left[0][known] / left[1][known])
+        a, b = (np.maximum(n - DISCOUNT, 0) / np.maximum(t[of], 1) + rest[of] * shares for n, t, rest in zip((toxic, plain), total, left, strict=True))
+        rows = np.flatnonzero(known[of])
+        rows = rows[np.argsort(grams[rows])]
+        self.grams, self.seen = grams[rows], np.log(a[rows] / b[rows])
         self.memory: dict[str, float] = {}
 
-    def ratio(self, word: str) -> float:
-        s = spelled(word)
-        seen, unseen = self.seen, self.unseen
-        total = 0.0
-        for i in range(len(s) - ORDER + 1):
-            g = s[i : i + ORDER]
-            x = seen.get(g)
-            total += unseen.get(g[:-1], 0.0) if x is None else x
-        return total
+    def spell(self, words: list[str]) -> np.ndarray:
+        """The log ratio of each word."""
+        codes, at, word = _letters(words)
+        i, seen = _find(self.grams, _run(codes, at, ORDER))
+        j, known = _find(self.contexts, _run(codes, at - 1, ORDER - 1))
+        x = np.zeros(len(at))
+        x[known] = self.unseen[j[known]]
+        x[seen] = self.seen[i[seen]]
+        return np.bincount(word, x, len(words))
+
+    def learn(self, words: set[str]) -> None:
+        """Ratios of the words, kept until there are more than MEMORY."""
+        known = self.memory
+        if len(known) > MEMORY:
+            known.clear()
+        for new in _parts([w for w in words if w not in known]):
+            known.update(zip(new, self.spell(new).tolist(), strict=True))
 
     def ratios(self, words: list[str]) -> np.ndarray:
-        known = self.memory
-        try:
-            return np.fromiter(map(known.__getitem__, words), dtype=np.float64, count=len(words))
-        except KeyError:
-            if len(known) > MEMORY:
-                known.clear()
-            for w in set(words):
-                if w not in known:
-                    known[w] = self.ratio(w)
-            return np.fromiter(map(known.__getitem__, words), dtype=np.float64, count=len(words))
-
-    def features(self, text: str) -> np.ndarray:
+        self.learn(set(words))
+        return self._known(words)
+
+    def _known(self, words: list[str] | set[str]) -> np.ndarray:
+        return np.array(list(map(self.memory.__getitem__, words)))
+
+    def _features(self, words: list[str]) -> np.ndarray:
         """Ratios normalised by length: per word, per root of the words, and per word of the most telling ones."""
-        words = words_of(text)
         if not words:
             return np.zeros(FEATURES)
-        r = np.minimum(self.ratios(words), MOST)
-        own = np.minimum(self.ratios(list(set(words))), MOST)  # a word that is repeated tells once
+        r = np.minimum(self._known(words), MOST)
+        own = np.minimum(self._known(set(words)), MOST)  # a word that is repeated tells once
         top = np.sort(own)[: -max(TOP) - 1 : -1]
-        return np.array([r.mean(), r.sum() / np.sqrt(len(r)), *(top[:k].sum() / k for k in TOP)])
+        total = r.sum()
+        return np.array([total / len(r), total / np.sqrt(len(r)), *(top[:k].sum() / k for k in TOP)])
+
+    def features(self, texts) -> np.ndarray:
+        """A row of features for each text; words are learnt for many texts at once."""
+        out: list[np.ndarray] = []
+        part: list[list[str]] = []
+        size = 0
+
+        def done() -> None:
+            self.learn(set().union(*part))
+            out.extend(map(self._features, part))
+            part.clear()
+
+        for text in texts:
+            part.append(words_of(text or ""))
+            size += len(text or "")
+            if size > 5 * LETTERS:
+                done()
+                size = 0
+        done()
+        return np.array(out).reshape(-1, FEATURES)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -183,24 +228,47 @@ def _labelled_grams(batches):
 def _lower_grams(wanted):
     def run(batches):
         grams, contexts = wanted.value
-        found: Counter = Counter()
-
-        def out():
-            return pa.record_batch([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64()), pa.array([g in grams for g in found], pa.bool_())], names=["gram", "n", "wanted"])
-
         for batch in batches:
-            for word in batch.column("word").to_pylist():
-                s = spelled(word)
-                own = {s[i - k : i + 1] for i in range(ORDER - 1, len(s)) for k in range(ORDER - 1) if s[i - k : i] in contexts}
-                found.update(own)
-            if len(found) > MEMORY:
-                yield out()
-                found.clear()
-        yield out()
+            for words in _parts(batch.column("word").to_pylist()):
+                codes, at, word = _letters(words)
+                for k in range(1, ORDER):
+                    before = _run(codes, at - 1, k - 1)
+                    own = np.flatnonzero(_find(contexts[k - 1], before)[1])
+                    if len(own):
+                        key = _run(codes, at[own], k)
+                        by = np.argsort(key, kind="stable")  # of equal ones each word's are together
+                        key, before, of = key[by], before[own][by], word[own][by]
+                        first = np.append(True, key[1:] != key[:-1])
+                        once = np.append(True, of[1:] != of[:-1]) | first  # a word that has the letters twice counts once
+                        n = np.add.reduceat(once.astype(np.int64), np.flatnonzero(first))
+                        key = key[first]
+                        yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(before[first].view(np.int64)), pa.array(n), pa.array(_find(grams[k - 1], key)[1])], names=["gram", "context", "n", "wanted"])
 
     return run
 
 
+def _arrays(df: DataFrame) -> list[np.ndarray]:
+    """The columns of a table of longs, the first of which are hashes, in their order."""
+    columns = [c.to_numpy() for c in df.toArrow().columns]
+    by = np.argsort(columns[0].view(np.uint64))
+    return [columns[0].view(np.uint64)[by], *(c[by].astype(np.float64) for c in columns[1:])]
+
+
+def _shares(codes: np.ndarray, at: np.ndarray, lower: DataFrame) -> np.ndarray:
+    """Of each run of ORDER letters the last one's share after the others, by the lower orders."""
+    contexts, total, kinds = _arrays(lower.groupBy("context").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")))
+    grams, n = _arrays(lower.where("wanted").select("gram", "n"))
+    out = np.full(len(at), 1 / 5000)  # of all letters there are
+    for k in range(1, ORDER):
+        i, known = _find(contexts, _run(codes, at - 1, k - 1))
+        j, seen = _find(grams, _run(codes, at, k))
+        own = np.zeros(len(at))
+        own[seen] = n[j[seen]]
+        i = i[known]
+        out[known] = np.maximum(own[known] - DISCOUNT, 0) / total[i] + DISCOUNT * kinds[i] / total[i] * out[known]
+    return out
+
+
 def _fit(docs: DataFrame, labels: DataFrame):
     """The model of all labelled documents of the sample, and the weights of its features."""
     spark = docs.sparkSession
@@ -214,22 +282,19 @@ def _fit(docs: DataFrame, labels: DataFrame):
     words = materialised(counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS)), "words")
     labelled = words.where(" + ".join(COUNTS) + " > 0").mapInArrow(_labelled_grams, "gram string, " + ", ".join(f"{c} long" for c in COUNTS))
     grams = labelled.groupBy("gram").agg(*(F.sum(c).alias(c) for c in COUNTS)).withColumn("context", F.substring("gram", 1, ORDER - 1))
-    toxic, plain = F.col("toxic_a") + F.col("toxic_b"), F.col("plain_a") + F.col("plain_b")
     grams = materialised(grams, "grams")
-    sums = grams.agg(F.sum(toxic).alias("_t"), F.sum(plain).alias("_p"))
-    telling = (toxic + 0.5) * F.abs(F.log((toxic + 0.5) / (F.col("_t") + 1)) - F.log((plain + 0.5) / (F.col("_p") + 1)))
-    often = grams.join(F.broadcast(sums)).groupBy("context").agg(F.sum(toxic).alias("_n"), F.max(telling).alias("_m")).where(F.col("_n") >= SEEN).orderBy(F.desc("_m"), "context").limit(CONTEXTS).select("context")
-    kept = grams.join(F.broadcast(often), "context").select("gram", *COUNTS).toPandas()  # CONTEXTS rows at most
-    rows_of = list(zip(kept["gram"], *(kept[c].tolist() for c in COUNTS), strict=True))
-    suffixes = {g[k:] for g, *_ in rows_of for k in range(1, ORDER)}
-    contexts = {g[:-1] for g in suffixes}
-    lower = words.select("word").mapInArrow(_lower_grams(spark.sparkContext.broadcast((suffixes, contexts))), "gram string, n long, wanted boolean")
-    lower = materialised(lower.groupBy("gram").agg(F.sum("n").alias("n"), F.max("wanted").alias("wanted")), "lower")
-    sums = lower.groupBy(F.expr("substring(gram, 1, length(gram) - 1)").alias("context")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toPandas()
-    totals = dict(zip(sums["context"], zip(sums["n"].tolist(), sums["kinds"].tolist(), strict=True), strict=True))
-    few = lower.where("wanted").select("gram", "n").toPandas()
-    few = dict(zip(few["gram"], few["n"].tolist(), strict=True))
-    first = spark.sparkContext.broadcast(Model({g: (a, b) for g, a, b, _, _ in rows_of}, few, totals))
+    often = grams.groupBy("context").agg(F.sum(F.col("toxic_a") + F.col("toxic_b")).alias("_n")).where(F.col("_n") >= SEEN).select("context")
+    kept = grams.join(often, "context").select("gram", *COUNTS).toArrow()  # bounded by SAMPLE
+    codes = np.concatenate([np.empty(0, dtype=np.uint64), *(np.frombuffer("".join(c.to_pylist()).encode("utf-32-le"), dtype=np.uint32) for c in kept["gram"].chunks)], dtype=np.uint64)
+    at = np.arange(ORDER - 1, len(codes), ORDER)
+    toxic_a, plain_a, toxic_b, plain_b = (kept[c].to_numpy().astype(np.float64) for c in COUNTS)
+    del kept
+    suffixes, contexts = ([np.unique(_run(codes, at - j, k - j)) for k in range(1, ORDER)] for j in (0, 1))
+    lower = words.select("word").mapInArrow(_lower_grams(spark.sparkContext.broadcast((suffixes, contexts))), "gram long, context long, n long, wanted boolean")
+    lower = materialised(lower.groupBy("gram", "context").agg(F.sum("n").alias("n"), F.max("wanted").alias("wanted")), "lower")
+    own = _run(codes, at, ORDER), _run(codes, at - 1, ORDER - 1)
+    shares = _shares(codes, at, lower)
+    first = spark.sparkContext.broadcast(Model(*own, toxic_a, plain_a, shares))
     found = rows.where("kind >= 2").select("text", "kind").mapInArrow(_features(first), "kind int, features array<double>").collect()
     y = np.array([r["kind"] == 2 for r in found], dtype=float)
     if len(set(y.tolist())) < 2:
@@ -241,13 +306,13 @@ def _fit(docs: DataFrame, labels: DataFrame):
     else:
         weights = logistic(np.array([r["features"] for r in found]), y)
     first.destroy()
-    return Model({g: (a + c, b + d) for g, a, b, c, d in rows_of}, few, totals), weights
+    return Model(*own, toxic_a + toxic_b, plain_a + plain_b, shares), weights
 
 
 def _features(model):
     def run(batches):
         for batch in batches:
-            yield pa.record_batch([batch.column("kind"), pa.array([model.value.features(t or "").tolist() for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))], names=["kind", "features"])
+            yield pa.record_batch([batch.column("kind"), pa.array(model.value.features(t.as_py() for t in batch.column("text")).tolist(), pa.list_(pa.float64()))], names=["kind", "features"])
 
     return run
 
@@ -268,7 +333,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3) -> D
         own, w = sent.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            x = np.array([own.features(t.as_py() or "") for t in batch.column(1)]).reshape(-1, FEATURES)
+            x = own.features(t.as_py() for t in batch.column(1))
             score = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -500, 500)))
             yield pa.record_batch([batch.column(0), pa.array([i is not None and fold_of(i) == 2 for i in ids], pa.bool_()), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -283,7 +348,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3)
     def run(batches):
         own, w = sent.value
         for batch in batches:
-            x = np.array([own.features(t.as_py() or "") for t in batch.column("text")]).reshape(-1, FEATURES)
+            x = own.features(t.as_py() for t in batch.column("text"))
             yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -500, 500))) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -298,6 +298,51 @@ def test_toxicity_on_held_out_documents(spark):
     assert kept.columns == ["doc_id", "text", "node", "n"] and sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(i for i, g in got.items() if not g["predicted"])
 
 
+def plain_ratio(word, texts, labels):
+    """The word's log ratio from counts of all contexts that toxic documents have twice or more, by plain tables."""
+    k, d, counts, lower, totals = toxicity.ORDER, toxicity.DISCOUNT, {}, {}, {}
+    grams = lambda w, n: {s[i - n + 1 : i + 1] for s in [toxicity.spelled(w)] for i in range(k - 1, len(s))}
+    for t, y in zip(texts, labels, strict=True):
+        for g in (g for w in set(t.split()) for g in grams(w, k)):
+            counts.setdefault(g[:-1], {}).setdefault(g, [0, 0])[1 - y] += 1
+    for g in (g for w in {w for t in texts for w in t.split()} for n in range(1, k) for g in grams(w, n)):
+        lower[g] = lower.get(g, 0) + 1
+    for g, n in lower.items():
+        x = totals.setdefault(g[:-1], [0, 0])
+        x[0], x[1] = x[0] + n, x[1] + 1
+
+    def share(g):
+        rest = share(g[1:]) if g else 1 / 5000
+        n, kinds = totals.get(g[:-1], (0, 0)) if g else (0, 0)
+        return max(lower.get(g, 0) - d, 0) / n + d * kinds / n * rest if n else rest
+
+    out = 0.0
+    for i in range(k - 1, len(s := toxicity.spelled(word))):
+        g = s[i - k + 1 : i + 1]
+        known = counts.get(g[:-1], {})
+        if sum(n[0] for n in known.values()) >= toxicity.SEEN:
+            p = []
+            for c in (0, 1):
+                n, kinds = sum(x[c] for x in known.values()), sum(x[c] > 0 for x in known.values())
+                p.append((max(known.get(g, (0, 0))[c] - d, 0) / n if n else 0) + (d * kinds / n if n else 1) * share(g[1:]))
+            out += np.log(p[0] / p[1])
+    return out
+
+
+def test_toxicity_counts_all_contexts(spark):
+    """More than 30,000 contexts, none of them left out."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzéß") for _ in range(10))
+    ids = [i for i in range(40) if toxicity.fold_of(i) != 2][:8]
+    many, few = [word() for _ in range(5000)], [word() for _ in range(300)]
+    texts = [" ".join(many), " ".join([*many, *few, "aaaaaaaaaaaa"]), *(" ".join([*few, *r.sample(many, 50)]) for _ in ids[2:])]
+    labels = [int(i < 2) for i in range(len(ids))]
+    model, _ = toxicity._fit(docs(spark, texts, ids), spark.createDataFrame(list(zip(ids, labels, strict=True)), "doc_id long, toxic int"))
+    tried = [*r.sample(many, 20), *r.sample(few, 5), "aaaaaaaaaaaa", "unseen", many[0][:8] + "x", ""]
+    assert len(model.unseen) > 30_000
+    assert np.allclose(model.ratios(tried), [plain_ratio(w, texts, labels) for w in tried], rtol=1e-9, atol=1e-9)
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {g["score"] < 1e-9 for g in toxicity.toxicity(docs(spark, ["a", None]), none).collect()} == {True}
