@@ -3,8 +3,8 @@
 Markup is stripped to a row of blocks, each with its text and the part of it that stands in links.  What a page's own
 markup calls navigation, advertising, forms, notices, comments and so on is left out on the way.  Then the lengths of
 WINDOW neighbouring blocks are summed: where the sum surges from below to above a threshold the text begins, where it
-dives below it ends, and all blocks between are kept, however short.  An article or main element that the page marks
-gives both points at once; otherwise the stretch with most text wins.
+dives below it for the last time it ends, and all blocks between are kept, however short.  An article or main element
+that the page marks gives both points at once.
 """
 
 from __future__ import annotations
@@ -17,10 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-#: A window counts as text from so many characters outside links, and from this share of the page's largest window.
-LEAST, SHARE = 60, 0.1
-#: Stretches of text that lie at most so many blocks apart are one.
-GAP = 3
+#: A window counts as text from so many characters outside links; how long other windows are doesn't matter.
+LEAST = 60
 
 # fixed values: elements of HTML by what they do here
 RAW = frozenset("script style noscript template iframe textarea select object svg math canvas audio video title xmp".split())
@@ -143,27 +141,18 @@ def blocks(page: str) -> _Blocks:
 
 
 def text_region(found: _Blocks) -> tuple[int, int]:
-    """First block and the one after the last of the text, by surge and dive of the window sums."""
+    """First block and the one after the last of the text, by the first surge and the last dive of the window sums."""
     best = max(found.regions, default=0)
     if best:
         at = [i for i, r in enumerate(found.regions) if r == best]
         return at[0], at[-1] + 1
     size = [max(0, len(t) - n) if n < 0.6 * len(t) else 0 for t, n in zip(found.texts, found.linked, strict=True)]
-    sums = [sum(size[i : i + WINDOW]) for i in range(len(size))]
-    least = max(LEAST, SHARE * max(sums, default=0))
-    stretches: list[list[int]] = []
-    for i, s in enumerate(sums):
-        if s >= least:
-            surge = next((j for j in range(i, min(i + WINDOW, len(size))) if size[j]), i)
-            if stretches and surge - stretches[-1][1] <= GAP:
-                stretches[-1][1] = max(stretches[-1][1], surge + 1)
-            else:
-                stretches.append([surge, surge + 1])
-            last = max(j for j in range(i, min(i + WINDOW, len(size))) if size[j])
-            stretches[-1][1] = max(stretches[-1][1], last + 1)
-    if not stretches:
+    text = [i for i in range(len(size)) if sum(size[i : i + WINDOW]) >= LEAST]
+    if not text:
         return 0, len(size) if sum(size) else 0
-    return tuple(max(stretches, key=lambda x: sum(size[x[0] : x[1]])))
+    first = next(i for i in range(text[0], len(size)) if size[i])
+    last = max(i for i in range(text[-1], min(text[-1] + WINDOW, len(size))) if size[i])
+    return first, last + 1
 
 
 def main_text(page: str | None) -> str:

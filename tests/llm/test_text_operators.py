@@ -83,6 +83,14 @@ def test_html(spark):
     assert html_text.main_text("<article><p>" + "a" * 1_000_000 + "<" * 1000) is not None
 
 
+def test_html_long_and_short_blocks():
+    """One very long paragraph and a table of short rows leave the rest of the text as it is."""
+    some = [f"paragraph {i} " + "with ordinary text " * 7 for i in range(6)]
+    parts = [*some[:3], "very long " * 600, *[f"row {i}" for i in range(7)], *some[3:]]
+    page = "<body><ul>" + "<li><a href=/x>link</a></li>" * 9 + "</ul>" + "".join(f"<p>{p}</p>" for p in parts) + "<ul>" + "<li><a href=/x>link</a></li>" * 9 + "</ul></body>"
+    assert html_text.main_text(page) == "\n\n".join(p.strip() for p in parts)
+
+
 # --- divergence ------------------------------------------------------------------------------
 
 
