@@ -3,8 +3,8 @@
 Markup is stripped to a row of blocks, each with its text and the part of it that stands in links.  What a page's own
 markup calls navigation, advertising, forms, notices, comments and so on is left out on the way.  Then the lengths of
 WINDOW neighbouring blocks are summed: where the sum surges from below to above a threshold the text begins, where it
-dives below it for the last time it ends, and all blocks between are kept, however short.  An article or main element
-that the page marks gives both points at once.
+dives below it for the last time it ends, and all blocks between are kept, however short.  Blocks that the page marks as
+article or main are weighted: each counts as a window of text, so short ones begin or end the text too.
 """
 
 from __future__ import annotations
@@ -142,11 +142,8 @@ def blocks(page: str) -> _Blocks:
 
 def text_region(found: _Blocks) -> tuple[int, int]:
     """First block and the one after the last of the text, by the first surge and the last dive of the window sums."""
-    best = max(found.regions, default=0)
-    if best:
-        at = [i for i, r in enumerate(found.regions) if r == best]
-        return at[0], at[-1] + 1
     size = [max(0, len(t) - n) if n < 0.6 * len(t) else 0 for t, n in zip(found.texts, found.linked, strict=True)]
+    size = [max(n, LEAST) if r else n for n, r in zip(size, found.regions, strict=True)]
     text = [i for i in range(len(size)) if sum(size[i : i + WINDOW]) >= LEAST]
     if not text:
         return 0, len(size) if sum(size) else 0
@@ -161,8 +158,7 @@ def main_text(page: str | None) -> str:
         return ""
     found = blocks(page)
     a, b = text_region(found)
-    best = max(found.regions, default=0)
-    return "\n\n".join(t for t, r in zip(found.texts[a:b], found.regions[a:b], strict=True) if not best or r == best)
+    return "\n\n".join(found.texts[a:b])
 
 
 def extract(pages: DataFrame) -> DataFrame:

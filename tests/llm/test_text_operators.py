@@ -91,6 +91,15 @@ def test_html_long_and_short_blocks():
     assert html_text.main_text(page) == "\n\n".join(p.strip() for p in parts)
 
 
+@pytest.mark.parametrize("outer", ["main", "body", "div"])
+def test_html_text_around_a_small_article(outer):
+    some = [f"paragraph {i} " + "with ordinary text " * 7 for i in range(6)]
+    rows = [*(f"<p>{p}</p>" for p in some[:3]), "<article class=card><p>teaser</p></article>", *(f"<p>{p}</p>" for p in some[3:])]
+    links = "<ul>" + "<li><a href=/x>link</a></li>" * 9 + "</ul>"
+    page = f"{links}<{outer}>{''.join(rows)}</{outer}>{links}" if outer != "main" else f"<body>{links}<main>{''.join(rows)}</main>{links}</body>"
+    assert html_text.main_text(page) == "\n\n".join(p.strip() for p in [*some[:3], "teaser", *some[3:]])
+
+
 # --- divergence ------------------------------------------------------------------------------
 
 
