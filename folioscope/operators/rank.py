@@ -64,10 +64,11 @@ def grep_or(pages: DataFrame, terms: DataFrame) -> DataFrame:
     return found.join(F.broadcast(terms), "term").select("qid", "slug").distinct()
 
 
-def top(scored: DataFrame, k: int, order: list[Column] | None = None) -> DataFrame:
-    """The k best per qid with their rank; by default by score (six decimals, higher first), then slug."""
+def top(scored: DataFrame, k: int | None, order: list[Column] | None = None) -> DataFrame:
+    """The k best per qid (None: all) with their rank; by default by score (six decimals, higher first), then slug."""
     by = Window.partitionBy("qid").orderBy(*(order or [F.desc(F.round("score", 6)), F.asc("slug")]))
-    return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= max(k, 0))
+    ranked = scored.withColumn("rank", F.row_number().over(by))
+    return ranked if k is None else ranked.where(F.col("rank") <= max(k, 0))
 
 
 def total_order() -> list[Column]:
@@ -88,29 +89,35 @@ def touching(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     return sources.join(wanted.select("qid", F.regexp_replace("path", "/+$", "").alias("path")), "path").select("qid", "slug").distinct()
 
 
-def lifted(ranked: DataFrame, steps: int = 20) -> DataFrame:
+def lifted(ranked: DataFrame) -> DataFrame:
     """Hits (qid, slug, rank, superseded_by) in the order that puts a replacement just above what it replaces.
 
     In the hit list the pointers form a forest.  A hit's place is the least rank of all that lead to it, and within a
     tree its distance to the newest page comes next; pointers to pages outside the list end there.  Chains are followed
-    step by step, ``steps`` at most; the hits are kept in memory meanwhile, so a step costs one join of what has moved.
+    to their end by doubling: each step, written to the shared folder, makes the pointers twice as long, for the hits
+    that point or are pointed to.  Pointers in a circle have no newest page; they end after as many steps as a chain of
+    all pointers would take.
     """
-    ranked = ranked.cache()
-    hits = ranked.select("qid", "slug", "rank", "superseded_by")
-    names = hits.select("qid", F.col("slug").alias("superseded_by"), F.lit(True).alias("_in"))
-    up = hits.join(names, ["qid", "superseded_by"], "left").select("qid", "slug", "rank", F.when(F.col("_in") & (F.col("superseded_by") != F.col("slug")), F.col("superseded_by")).alias("up")).cache()
-    closure = up.select("qid", F.col("slug").alias("a"), F.col("rank").alias("r"), F.col("slug").alias("b"), F.lit(0).alias("d"))
-    front = closure
-    for _ in range(steps):
-        link = up.select("qid", F.col("slug").alias("b"), F.col("up").alias("nb")).where("nb is not null")
-        front = front.join(link, ["qid", "b"]).select("qid", "a", "r", F.col("nb").alias("b"), (F.col("d") + 1).alias("d")).cache()
-        if front.isEmpty():
+    from folioscope.llm.common import materialised
+
+    ranked = materialised(ranked, "ranked")
+    hits = ranked.select("qid", "slug", "rank")
+    names = hits.select("qid", F.col("slug").alias("superseded_by"))
+    links = ranked.where("superseded_by <> slug").join(names, ["qid", "superseded_by"], "left_semi").select("qid", "slug", F.col("rank").alias("low"), F.col("superseded_by").alias("jump"), F.lit(1).cast("long").alias("depth"))
+    links = materialised(links, "links")
+    ends = links.select("qid", F.col("jump").alias("slug")).distinct().join(links, ["qid", "slug"], "left_anti").join(hits, ["qid", "slug"])
+    # low: the least rank of those less than so many steps below; jump: the page so many steps above; depth: steps to it, or to the end
+    state = materialised(links.union(ends.select("qid", "slug", "rank", F.lit(None).cast("string"), F.lit(0).cast("long"))), "lift")
+    for _ in range(links.count().bit_length() + 1):
+        moving = state.where("jump is not null")
+        if moving.isEmpty():
             break
-        closure = closure.union(front)
-    reach = closure.groupBy("qid", F.col("b").alias("slug")).agg(F.min("r").alias("key"))
-    depth = closure.groupBy("qid", F.col("a").alias("slug")).agg(F.max("d").alias("depth"))
-    out = ranked.join(reach, ["qid", "slug"]).join(depth, ["qid", "slug"])
-    return out.withColumn("lifted", F.row_number().over(Window.partitionBy("qid").orderBy("key", "depth", "rank"))).drop("key", "depth")
+        above = state.select("qid", F.col("slug").alias("jump"), F.col("jump").alias("_jump"), F.col("depth").alias("_depth"))
+        below = moving.groupBy("qid", F.col("jump").alias("slug")).agg(F.min("low").alias("_low"))
+        rows = state.join(above, ["qid", "jump"], "left").join(below, ["qid", "slug"], "left")
+        state = materialised(rows.select("qid", "slug", F.least("low", "_low").alias("low"), F.col("_jump").alias("jump"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")), "lift")
+    out = ranked.join(state.select("qid", "slug", F.col("low").alias("_key"), F.col("depth").alias("_depth")), ["qid", "slug"], "left")
+    return out.withColumn("lifted", F.row_number().over(Window.partitionBy("qid").orderBy(F.coalesce("_key", "rank"), F.coalesce("_depth", F.lit(0)), "rank"))).drop("_key", "_depth")
 
 
 def fused(first: DataFrame, second: DataFrame, k: int = 10, constant: int = 60) -> DataFrame:

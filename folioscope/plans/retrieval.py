@@ -143,9 +143,12 @@ SELECT qid, lifted AS rank, slug, score FROM (SELECT qid, slug, round(score, 6)
 
 @query("superseded_topk", _LIFT)
 def superseded_topk(spark, sf_dir):
-    """Demotion of superseded pages, the total order, the lift within the first 200, then the cut."""
+    """Demotion of superseded pages, the total order, the lift over all hits, then the cut.
+
+    The SQL states the same for hits within the first 200 and chains of up to 20 steps.
+    """
     scored = rank.bm25f(*built(spark, sf_dir)).join(superseded(spark, sf_dir), "slug").withColumn("score", rank.demoted(F.col("score"), F.col("superseded_by"))).withColumn("touched", F.lit(False))
-    hits = rank.top(scored, 200, rank.total_order())
+    hits = rank.top(scored, None, rank.total_order())
     return rank.lifted(hits).where("lifted <= 10").select("qid", F.col("lifted").alias("rank"), "slug", F.round("score", 6).alias("score"))
 
 

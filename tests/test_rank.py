@@ -87,6 +87,27 @@ def test_lift_equals_the_sequential_rule(spark):
     assert got == want
 
 
+def test_lift_follows_chains_to_their_end(spark):
+    """A chain of 70, oldest first in the list, a circle, and a hit that points nowhere."""
+    n = 70
+    rows = [(1, f"p{i}", i + 1, f"p{i + 1}" if i + 1 < n else None) for i in range(n)] + [(1, "z", n + 1, None), (2, "a", 1, "b"), (2, "b", 2, "a"), (2, "c", 3, "c")]
+    got = rank.lifted(spark.createDataFrame(rows, "qid int, slug string, rank int, superseded_by string")).orderBy("qid", "lifted").collect()
+    assert [r["slug"] for r in got if r["qid"] == 1] == [f"p{i}" for i in reversed(range(n))] + ["z"]
+    assert sorted(r["slug"] for r in got if r["qid"] == 2) == ["a", "b", "c"]
+
+
+def test_lift_of_a_replacement_far_down(spark, tmp_path):
+    """The page is found by its name; the copy that replaces it ranks below 250 others."""
+    from folioscope.plans import load
+
+    text = "foo " + "with many other words " * 20
+    rows = [(17, text), (900, text), *((i, f"foo foo foo {i}") for i in range(1000, 1250))]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "17 foo")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = load()[0]["superseded_topk"](spark, str(tmp_path)).orderBy("rank").collect()
+    assert [r["slug"] for r in got][:2] == ["doc-900", "doc-17"] and len(got) == 10
+
+
 def test_fusion(spark):
     a = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "qid int, slug string, rank int")
     b = spark.createDataFrame([(1, "y", 1), (1, "z", 2)], "qid int, slug string, rank int")
