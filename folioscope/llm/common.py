@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,10 @@ from pyspark.sql import functions as F
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
+#: Bytes that a task gathers before it writes them as a row group.
+ROW_GROUP = 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, which is set here only where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='folioscope-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -29,14 +39,55 @@ def shared_dir(spark: SparkSession) -> str:
 def materialised(df: DataFrame, tag: str) -> DataFrame:
     """Written as Parquet to the shared folder and read again: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_row_keys(docs: DataFrame, name: str) -> DataFrame:
+    """The frame with a string column that no two rows share: file and place of a row.
+
+    Rows that don't come from files are written first, since numbers that Spark gives them would change if a lost executor
+    changed the splits.
+    """
+    key = F.concat_ws(":", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index"))
+    try:
+        return docs.withColumn(name, key)
+    except AnalysisException:
+        return materialised(docs, "rows").withColumn(name, key)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# --- Python workers --------------------------------------------------------------------------
+
+
+def texts(column: pa.Array) -> Iterator[str | None]:
+    """The strings of a column, one by one; bytes that aren't UTF-8 become U+FFFD."""
+    for x in column:
+        try:
+            yield x.as_py()
+        except UnicodeDecodeError:
+            yield x.as_buffer().to_pybytes().decode("utf-8", "replace")
+
+
+def lean(run: Callable) -> Callable:
+    """A function for mapInArrow that gives its memory back when it ends: workers are reused by tasks of other kinds."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return wrapped
+
+
 # --- word hashes -----------------------------------------------------------------------------
 
 _M64 = (1 << 64) - 1
@@ -56,7 +107,7 @@ def _splitmix(seed: int, n: int) -> np.ndarray:
 
 _BYTE = _splitmix(11, 256)
 _BASE = 0x5851F42D4C957F2D
-_CHUNK = 1 << 22
+_CHUNK = 1 << 18
 _power = _unpower = np.ones(1, dtype=np.uint64)
 
 
