@@ -33,20 +33,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import materialised, partitions, shingle_set, size_checked_broadcast
+from folioscope.llm.common import lean, materialised, partitions, shingle_set, size_checked_broadcast, texts
 
 #: Shingles gathered in a task before frequent ones are looked for.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: A shingle is called frequent if its counts, of this many or more in one chunk, sum to HOT.
-LOCAL, HOT = 4, 48
+LOCAL, HOT = 3, 48
 #: At most so many of the most frequent shingles are ordered last (the rest keep their place by hash).
 MAX_HOT = 1_000_000
 #: A slice of a region: members, shingles.
-SLICE, SLICE_WEIGHT = 128, 2_000_000
+SLICE, SLICE_WEIGHT = 128, 1_000_000
+#: Bytes of window entries in one range of hashes.
+RANGE = 32 << 20
 #: Nodes that may be broadcast; beyond it a shuffled join takes their place.
-MAX_SENT = 4_000_000
+MAX_SENT = 500_000
 
 
+PROFILE = ["doc_id", "row", "key", "n", "hash", "count"]
 #: Sizes are coded in eight bits, in steps of this ratio.
 STEP = 1.06
 
@@ -85,13 +88,14 @@ def may_link(a: np.ndarray, na: int, b: np.ndarray, nb: int, percent: int) -> bo
     return (100 + percent) * int(np.abs(_coarser(a, width) - _coarser(b, width)).sum()) <= (100 - percent) * (na + nb)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list[int], list[int], list[np.ndarray]]]:
-    """Ids, digests and sets of the documents that have words, CHUNK shingles at a time; documents without get digest 0 and an empty set."""
+def _chunks(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list[tuple], list[int], list[np.ndarray]]]:
+    """Other columns, digests and sets of the rows, whose text is the last column, CHUNK shingles at a time; texts without words get digest 0 and an empty set."""
     ids, keys, sets, size = [], [], [], 0
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found = shingle_set(text.as_py(), n)
-            ids.append(doc)
+        *others, last = batch.columns
+        for *row, text in zip(*(c.to_pylist() for c in others), texts(last), strict=True):
+            found = shingle_set(text, n)
+            ids.append(row)
             keys.append(digest(found) if len(found) else 0)
             sets.append(found)
             size += len(found)
@@ -112,27 +116,35 @@ def _profile(n: int):
 
     def run(batches):
         for ids, keys, sets in _chunks(batches, n):
-            sizes = [len(s) for s in sets]
             none = [None] * len(ids)
-            yield pa.record_batch([pa.array(x, t) for x, t in ((ids, pa.int64()), ([k if s else None for k, s in zip(keys, sizes, strict=True)], pa.int64()), (sizes, pa.int64()), (none, pa.int64()), (none, pa.int64()))], names=["doc_id", "key", "n", "hash", "count"])
+            columns = [r[0] for r in ids], [r[1] for r in ids], [k if len(s) else None for k, s in zip(keys, sets, strict=True)], [len(s) for s in sets], none, none
+            yield pa.record_batch([pa.array(x, pa.string() if c == "row" else pa.int64()) for c, x in zip(PROFILE, columns, strict=True)], names=PROFILE)
             nodes, own = _distinct(keys, sets)
-            if len(own) < LOCAL:
-                continue
-            every = np.concatenate(own)
-            whose = np.repeat(nodes, [len(s) for s in own])
-            order = np.argsort(every)
-            every, whose = every[order], whose[order]
-            start = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-            count = np.diff(np.concatenate((start, [len(every)])))
-            least = np.minimum.reduceat(whose, start)
-            often = count >= LOCAL
-            m = int(often.sum())
-            if m:
-                yield pa.record_batch([pa.nulls(m, pa.int64()), pa.array(least[often]), pa.nulls(m, pa.int64()), pa.array(every[start[often]].view(np.int64)), pa.array(count[often].astype(np.int64))], names=["doc_id", "key", "n", "hash", "count"])
+            del ids, keys, sets, columns
+            if len(own) >= LOCAL:
+                yield _frequent(nodes, own)
+            del nodes, own
 
     return run
 
 
+def _frequent(nodes: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+    """The shingles that LOCAL or more of the sets have, with their counts and the smallest node of each."""
+    every = np.concatenate(sets)
+    order = np.argsort(every)
+    every = every[order]
+    start = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+    count = np.diff(np.concatenate((start, [len(every)])))
+    often = count >= LOCAL
+    start, count = start[often], count[often]
+    hashes = every[start].view(np.int64)
+    del every
+    whose = nodes[np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order[np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())]]]
+    least = np.minimum.reduceat(whose, np.cumsum(count) - count) if len(count) else whose
+    none = pa.nulls(len(count), pa.int64())
+    return pa.record_batch([none, pa.nulls(len(count), pa.string()), pa.array(least), none, pa.array(hashes), pa.array(count.astype(np.int64))], names=PROFILE)
+
+
 def window_length(n: int, percent: int) -> int:
     """How many elements of a set of n, in the global order, a similar set must meet."""
     return n - -(-percent * n // 100) + 1
@@ -145,6 +157,7 @@ def _cells(n: int, percent: int, ranges: int, hot):
         frequent, rank, pivot = hot.value
         for _, keys, sets in _chunks(batches, n):
             nodes, own = _distinct(keys, sets)
+            del keys, sets
             cold_h, cold_k, hot_rows = [], [], {}
             for key, s in zip(nodes.tolist(), own, strict=True):
                 k = window_length(len(s), percent)
@@ -161,12 +174,15 @@ def _cells(n: int, percent: int, ranges: int, hot):
                 cold_h.append(cold)
                 cold_k.append(np.full(len(cold), key, dtype=np.int64))
             rows = []
+            del own
             if cold_h:
                 h, w = np.concatenate(cold_h), np.concatenate(cold_k)
+                del cold_h, cold_k
                 order = np.argsort(h)
                 h, w = h[order], w[order]
                 cut = np.searchsorted(((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32), np.arange(ranges + 1))
                 rows += [(r, h[a:b].tobytes(), w[a:b].tobytes(), None) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+                del h, w, order
             for r, found in hot_rows.items():
                 at = np.concatenate([x for _, x in found])
                 rows.append((r, frequent[at].tobytes(), np.repeat(np.array([k for k, _ in found]), [len(x) for _, x in found]).tobytes(), pivot[at].tobytes()))
@@ -190,31 +206,35 @@ def _found(batches, reach: int):
     h, w = [], []
     for batch in batches:
         for a, b, p in zip(batch.column("hashes"), batch.column("keys"), batch.column("pivots"), strict=True):
-            cell, node = np.frombuffer(a.as_buffer(), dtype=np.uint64), np.frombuffer(b.as_buffer(), dtype=np.int64)
+            cell, node = np.frombuffer(a.as_buffer(), dtype=np.uint64), np.frombuffer(b.as_buffer(), dtype=np.uint64)
             if p.is_valid:
-                yield pa.record_batch([pa.array(cell.view(np.int64)), pa.array(node), pa.array(np.frombuffer(p.as_buffer(), dtype=np.int64))], names=names)
+                yield pa.record_batch([pa.array(cell.view(np.int64)), pa.array(node.view(np.int64)), pa.array(np.frombuffer(p.as_buffer(), dtype=np.int64))], names=names)
             else:
                 h.append(cell.copy())
-                w.append(node.copy())
+                w.append(node >> np.uint64(8) | node << np.uint64(56))  # the size's code leads
+        del batch
     if not h:
         return
-    h, w = np.concatenate(h), np.concatenate(w)
+    h = np.concatenate(h)
+    w = np.concatenate(w)
     order = np.lexsort((w, h))
     h, w = h[order], w[order]
-    new = np.concatenate(([True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])))  # equal documents of several chunks
-    h, w = h[new], w[new]
-    code = w & 255
-    order = np.lexsort((code, h))
-    h, w, code = h[order], w[order], code[order]
+    del order
+    code = (w >> np.uint64(56)).astype(np.int16)
+    same = h[1:] == h[:-1]
+    new = np.concatenate(([True], ~same | (w[1:] != w[:-1])))  # equal documents of several chunks
+    h, w, code = h[new], w[new], code[new]
     beside = (h[1:] == h[:-1]) & (code[1:] - code[:-1] <= reach)
     near = np.concatenate(([False], beside)) | np.concatenate((beside, [False]))
     h, w = h[near], w[near]
+    del code, same, new, beside, near
     if not len(h):
         return
+    w = (w << np.uint64(8) | w >> np.uint64(56)).view(np.int64)
     start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
     pivot = np.repeat(np.minimum.reduceat(w, start), np.diff(np.concatenate((start, [len(h)]))))
-    for a in range(0, len(h), 1 << 20):
-        yield pa.record_batch([pa.array(x[a : a + (1 << 20)]) for x in (h.view(np.int64), w, pivot)], names=names)
+    for a in range(0, len(h), 1 << 18):
+        yield pa.record_batch([pa.array(x[a : a + (1 << 18)]) for x in (h.view(np.int64), w, pivot)], names=names)
 
 
 def region_links(sets: list[np.ndarray], classes: list[int], first: int, percent: int) -> list[tuple[int, int]]:
@@ -294,13 +314,13 @@ def _join_regions(percent: int):
             return pa.record_batch([pa.array([nodes[i] for i, _ in links], pa.int64()), pa.array([nodes[j] for _, j in links], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for region, piece, node, group, blob in zip(*(batch.column(c).to_pylist() for c in ("pivot", "slice", "node", "class", "shingles")), strict=True):
+            for region, piece, node, group, blob in zip(*(batch.column(c).to_pylist() for c in ("pivot", "slice", "node", "class")), batch.column("shingles"), strict=True):
                 if (region, piece) != at:
                     if at:
                         yield found()
                     at, sets, nodes, classes = (region, piece), [], [], []
                 if node not in nodes[:1]:  # the pivot may stand among the members too
-                    sets.append(np.frombuffer(blob, dtype=np.uint64))
+                    sets.append(np.frombuffer(blob.as_buffer(), dtype=np.uint64))
                     nodes.append(node)
                     classes.append(group)
         if at:
@@ -411,18 +431,21 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 75) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 75, row: str | None = None) -> DataFrame:
     """Classes of documents that are linked, directly or through others, by Jaccard similarity of ``percent`` or more.
 
-    docs: doc_id, text; other columns are ignored.  Returns doc_id, n_shingles (long), component_id (the smallest
-    doc_id of the class) and representative (whether this is the row to keep), one row per row of docs.
+    docs: doc_id, text; other columns are ignored, but for the one that ``row`` names, which no two rows share.  Returns
+    doc_id, row (string, null without that column), n_shingles (long), component_id (the smallest doc_id of the class)
+    and representative, one row per row of docs.  Of each class one row is representative, that of the smallest doc_id
+    and then row; without a column for rows all that have this doc_id.
     A null or wordless text has no shingles and is a class of its own.  Repeated doc_ids are kept as rows.
     An empty table gives an empty result.  A null doc_id counts as larger than all others within its class.
     """
     spark = docs.sparkSession
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = materialised(text.mapInArrow(_profile(n), "doc_id long, key long, n long, hash long, count long"), "profile")
-    known = profile.where("hash is null").select("doc_id", F.col("key").alias("node"), "n")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(row) if row else F.lit(None)).cast("string").alias("row"), F.col("text").cast("string").alias("text"))
+    profile = materialised(text.mapInArrow(lean(_profile(n)), "doc_id long, row string, key long, n long, hash long, count long"), "profile")
+    known = profile.where("hash is null").select("doc_id", "row", F.col("key").alias("node"), "n")
+    text = text.drop("row")
     frequent = profile.where("hash is not null").groupBy("hash").agg(F.sum("count").alias("c"), F.min("key").alias("pivot")).where(F.col("c") >= HOT)
     hot = frequent.orderBy(F.desc("c"), "hash").limit(MAX_HOT).toPandas()
     table = (hot["hash"].to_numpy(np.int64).view(np.uint64), -np.arange(len(hot)), hot["pivot"].to_numpy(np.int64))
@@ -430,9 +453,9 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 75) -> Dat
     hot = spark.sparkContext.broadcast(tuple(x[order] for x in table))  # ranks: the rarer of the frequent come first
 
     total = known.agg(F.sum("n")).first()[0] or 0
-    ranges = max(partitions(spark), int(total * 4 // (64 << 20)) + 1)
-    cells = text.mapInArrow(_cells(n, percent, ranges, hot), "r int, hashes binary, keys binary, pivots binary")
-    members = materialised(cells.repartitionById(ranges, F.col("r")).mapInArrow(_members(percent), "cell long, node long, pivot long"), "cells")
+    ranges = max(partitions(spark), int(total * 4 // RANGE) + 1)  # a window has a fourth of the shingles, with 16 bytes each
+    cells = text.mapInArrow(lean(_cells(n, percent, ranges, hot)), "r int, hashes binary, keys binary, pivots binary")
+    members = materialised(cells.repartitionById(ranges, F.col("r")).mapInArrow(lean(_members(percent)), "cell long, node long, pivot long"), "cells")
 
     # home regions: the pivot that a node meets most often
     met = members.where("node != pivot").groupBy("node", "pivot").count()
@@ -447,17 +470,17 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 75) -> Dat
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "sketch", "shingles"])
 
     # a doc_id may stand for several texts: a node is taken once, and only if it is needed
-    sets = materialised(text.join(one, "doc_id", "left_semi").mapInArrow(with_sets, "node long, n long, sketch binary, shingles binary"), "sets")
+    sets = materialised(text.join(one, text["doc_id"].eqNullSafe(one["doc_id"]), "left_semi").mapInArrow(lean(with_sets), "node long, n long, sketch binary, shingles binary"), "sets")
     sizes = needed.select("node", "n")
     sketches, shingles = sets.select("node", "n", "sketch"), sets.select("node", "shingles")
     of_pivot = sketches.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch"))
-    homes = materialised(homes.join(sketches, "node").join(of_pivot, "pivot").mapInArrow(_sketched_pairs(percent), "node long, pivot long"), "near")
+    homes = materialised(homes.join(sketches, "node").join(of_pivot, "pivot").mapInArrow(lean(_sketched_pairs(percent)), "node long, pivot long"), "near")
 
     per = materialised(_slices(homes, sizes), "slices")
     rows = homes.join(per, "pivot").select("node", "pivot", F.pmod(F.xxhash64("node"), "slices").alias("slice"), F.lit(False).alias("first"))
     rows = rows.union(per.select(F.col("pivot").alias("node"), "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), F.lit(True)))
     rows = _with_sets(rows, shingles).withColumn("class", F.col("node"))
-    links = materialised(_sorted_regions(rows).mapInArrow(_join_regions(percent), "a long, b long"), "links")
+    links = materialised(_sorted_regions(rows).mapInArrow(lean(_join_regions(percent)), "a long, b long"), "links")
     classes = materialised(components(links), "classes")
 
     # cells with members of several classes: regions again, with all that the windows put there
@@ -465,16 +488,18 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 75) -> Dat
     mixed = of_class.groupBy("cell").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("cell")
     window = materialised(of_class.join(mixed, "cell", "left_semi").groupBy("pivot", "node").agg(F.first("class").alias("class")), "windows")
     rows = _sorted_regions(_blocks(window, sizes).join(sketches, "node"))
-    rows = materialised(rows.mapInArrow(_sketched_regions(percent), "node long, pivot long, slice long, class long"), "candidates")
+    rows = materialised(rows.mapInArrow(lean(_sketched_regions(percent)), "node long, pivot long, slice long, class long"), "candidates")
     rows = _with_sets(rows.withColumn("first", F.lit(False)), shingles)
-    more = _sorted_regions(rows).mapInArrow(_join_regions(percent), "a long, b long")
+    more = _sorted_regions(rows).mapInArrow(lean(_join_regions(percent)), "a long, b long")
     merged = components(links.union(more))
 
     owner = known.join(merged, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    least = owner.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    out = owner.join(least, "class", "left")
-    component = F.coalesce("least", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("representative"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    several = owner.where("class is not null").groupBy("class").agg(first.alias("first"), F.count("*").alias("_m")).where("_m > 1").drop("_m")
+    several = materialised(several, "firsts")
+    out = owner.join(size_checked_broadcast(several, MAX_SENT), "class", "left")
+    chosen = F.col("first").isNull() | (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & F.col("first.row").eqNullSafe(F.col("row")))
+    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"), chosen.alias("representative"))
 
 
 def _blocks(window: DataFrame, sizes: DataFrame) -> DataFrame:
