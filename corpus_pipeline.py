@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import materialised, size_checked_broadcast, table
+from folioscope.llm.common import materialised, size_checked_broadcast, table, with_row_keys
 from folioscope.llm.decontaminate import without_contaminated
 from folioscope.llm.jaccard_join import MAX_SENT, jaccard_components
 from folioscope.llm.packing import pack
@@ -20,9 +20,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the smallest doc_id stays."""
-    gone = materialised(jaccard_components(docs).where("not representative").select("doc_id"), "gone")
-    return docs.join(size_checked_broadcast(gone, MAX_SENT), "doc_id", "left_anti").select(docs.columns)
+    """Of each class of linked documents one row stays, the first one with the smallest doc_id."""
+    rows = with_row_keys(docs, "_row")
+    gone = materialised(jaccard_components(rows, row="_row").where("not representative").select(F.col("row").alias("_row")), "gone")
+    return rows.join(size_checked_broadcast(gone, MAX_SENT), "_row", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
