@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import posixpath
 import unicodedata
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,8 +14,11 @@ from pyspark.sql import types as T
 
 #: Runs of letters, numbers and underscores; the classes are those of Unicode.
 WORD = r"[\p{L}\p{N}_]+"
+BETWEEN = r"[^\p{L}\p{N}_]+"
 #: Where an identifier falls into parts: underscores, and from small letter or digit to capital (Latin and Cyrillic).
 PARTS = "_|(?<=[a-zа-яё0-9])(?=[A-ZА-ЯЁ])"
+#: What a text has that holds such an identifier.
+COMPOUND = "_|[a-zа-яё0-9][A-ZА-ЯЁ]"
 #: Texts with marks to compose, or letters whose folding isn't that of lower() and ß, take the slow way.
 SPECIAL = "[̀-ͯᄀ-ᇿİŉſǰͅͰ-Ͽևༀ-࿿Ꭰ-᏿ᲀ-᲏ẖ-ỿἀ-῿Ω-ÅꙀ-ꟿꬰ-ꮿ豈-ﭏ]"
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
@@ -53,27 +58,32 @@ def _folded_slowly(texts: pd.Series) -> pd.Series:
 
 
 def plain_tokens(text: Column) -> Column:
-    """Tokens of composed text whose folding is plain: each word folded, and if it has several parts each of them too."""
+    """Tokens of composed text whose folding is plain: each word folded, and if it has several parts each of them too.
+
+    A text without identifiers of several parts is folded and cut as a whole.
+    """
 
     def of(w: Column) -> Column:
         parts = F.filter(F.split(w, PARTS), lambda p: p != "")
         return let(parts, lambda p: F.when(F.size(p) > 1, F.concat(F.array(fold(w)), F.transform(p, fold))).otherwise(F.array(fold(w))))
 
-    return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), of))
+    whole = F.coalesce(text, F.lit(""))
+    each = F.flatten(F.transform(F.array_remove(F.split(whole, BETWEEN), ""), of))
+    return F.when(whole.rlike(COMPOUND), each).otherwise(F.array_remove(F.split(fold(whole), BETWEEN), ""))
 
 
-def with_tokens(df: DataFrame, column: str, name: str = "tokens", *, exact: bool = True) -> DataFrame:
-    """The frame with the tokens of a text column, duplicates kept, in order.
+def with_tokens(df: DataFrame, column: str, name: str = "tokens", *, exact: bool = True, **more: str) -> DataFrame:
+    """The frame with the tokens of a text column, duplicates kept, in order; ``more`` names other tokens and their columns.
 
-    Texts without SPECIAL letters, nearly all, stay in the JVM; with ``exact`` the others go to Python in Arrow batches,
-    the rest of such a batch being nulls.
+    With ``exact`` the rows with SPECIAL letters, hardly any, go to Python in Arrow batches; all others stay in the JVM.
     """
-    text = F.col(column)
+    wanted = {name: column} | more
+    plain = {k: plain_tokens(F.col(c)) for k, c in wanted.items()}
     if not exact:
-        return df.withColumn(name, plain_tokens(text))
-    odd = F.coalesce(text.rlike(SPECIAL), F.lit(False))
-    out = df.withColumn("_slow", _folded_slowly(F.when(odd, text)))
-    return out.withColumn(name, F.when(odd, F.col("_slow")).otherwise(plain_tokens(text))).drop("_slow")
+        return df.withColumns(plain)
+    odd = reduce(or_, (F.coalesce(F.col(c).rlike(SPECIAL), F.lit(False)) for c in wanted.values()))
+    slow = {k: F.coalesce(_folded_slowly(F.col(c)), F.array().cast("array<string>")) for k, c in wanted.items()}
+    return df.where(~odd).withColumns(plain).union(df.where(odd).withColumns(slow))
 
 
 def strip(text: Column) -> Column:
@@ -127,24 +137,30 @@ def path_prefixes(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
 
 
+# fixed values: units that stand one space behind their number
+UNITS = "ms|s|secs?|seconds?|mins?|minutes?|kb|mb|gb"
+
+
 def answer_form(text: Column) -> Column:
     """An answer for comparison: lower case, straight quotes, -> for arrows, one space, one between number and unit."""
     plain = F.translate(F.lower(text), "‘’“”", "''\"\"")
-    plain = F.regexp_replace(plain, "[→⟶⇒]", "->")
-    return F.regexp_replace(collapse(plain), r"(\d)\s*([a-z%])", "$1 $2")
+    plain = F.regexp_replace(plain, "[→⟶⇒]|=>", "->")
+    return F.regexp_replace(F.regexp_replace(plain, r"(?U)\s+", " "), rf"(\d)[\s-]*({UNITS})(?![\p{{L}}\p{{N}}_])", "$1 $2")
 
 
 def has_phrase(text: Column, phrases: list[str]) -> Column:
-    """Whether one of the phrases stands in the text on word borders (re: begins a pattern); null without phrases."""
-    import re
-
+    """Whether one of the phrases stands in the answer form of a text on word borders (re: begins a pattern); null without phrases."""
     if not phrases:
         return F.lit(None).cast("boolean")
-    out = F.lit(False)
-    for p in phrases:
-        pattern = p[3:] if p.startswith("re:") else r"(?U)(?<!\w)" + re.sub(r"([^\w\s])", r"\\\1", p) + r"(?!\w)"
-        out = out | text.rlike(pattern)
-    return F.coalesce(out, F.lit(False))
+    form, before, behind = answer_form(F.coalesce(text, F.lit(""))), "(?U)(?<!\\w)", "(?!\\w)"
+    patterns = [F.lit(f"{before}(?:{p[3:]}){behind}") if p.startswith("re:") else F.concat(F.lit(before + "\\Q"), answer_form(F.lit(p)), F.lit("\\E" + behind)) for p in phrases]
+    found = [F.rlike(form, pattern) for pattern in patterns]
+    return reduce(or_, found)
+
+
+def source_key(source: Column) -> Column:
+    """A cited path as code files are named: slashes, and no dots and slashes before it."""
+    return F.regexp_replace(F.replace(F.trim(source), F.lit("\\"), F.lit("/")), "^[./]+", "")
 
 
 def snippet(text: Column, terms: Column, width: int = 140, lead: int = 30) -> Column:

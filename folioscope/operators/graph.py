@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,10 +38,44 @@ def leave_one_out(edges: DataFrame, citations: DataFrame, cap: int | None) -> Da
     return rows.join(hit, ["slug", "source"], "left").select("slug", "source", F.coalesce("_f", F.lit(False)).alias("found"))
 
 
-def quantile_exclusive(values: Column, q: float) -> Column:
-    """Quantile at place q (n + 1) of a sorted array, between neighbours by proportion, within its ends."""
-    n = F.size(values)
-    place = F.greatest(F.lit(1.0), F.least(n.cast("double"), q * (n + 1)))
-    low = F.floor(place).cast("int")
-    a, b = F.get(values, low - 1), F.get(values, F.least(low + 1, n) - 1)
-    return F.when(n > 0, a + (b - a) * (place - low))
+#: Hub caps that a probe tries in turn (None: no cap), and what a cap must reach to pass.
+CAPS = (None, 10, 5)
+REACH, RECALL, GROUP = 0.2, 0.5, 3
+
+
+def median_and_p90(groups: DataFrame, size: str) -> DataFrame:
+    """One row (n, median, p90) of sizes, by counts of equal ones; the last by the exclusive rule."""
+    counts = groups.groupBy(F.col(size).alias("v")).agg(F.count("*").alias("k"))
+    ranked = counts.withColumn("upto", F.sum("k").over(Window.orderBy("v")))  # one row for each different size
+    total = ranked.agg(F.coalesce(F.max("upto"), F.lit(0)).alias("n"))
+    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col("v")))
+    n = F.col("n")
+    place = F.greatest(F.lit(1.0), F.least(n.cast("double"), 0.9 * (n + 1)))
+    low = F.floor(place)
+    out = total.join(F.broadcast(ranked), how="left").groupBy("n").agg(at(F.floor((n + 1) / 2)).alias("m1"), at(F.floor((n + 2) / 2)).alias("m2"), at(low).alias("a"), at(F.least(low + 1, n)).alias("b"))
+    none = F.col("n") == 0
+    return out.select("n", F.when(none, 0.0).otherwise((F.col("m1") + F.col("m2")) / 2).alias("median"), F.when(none, 0.0).otherwise(F.col("a") + (F.col("b") - F.col("a")) * (place - low)).alias("p90"))
+
+
+def probe(files: DataFrame, edges: DataFrame, citations: DataFrame, caps: tuple = CAPS) -> DataFrame:
+    """For each hub cap one row: coverage, reach, median and p90 of non-empty groups, leave-one-out recall and whether it passes.
+
+    files: path; edges: src, dst; citations: slug, source (of current pages, sources that are files).
+    """
+    cited = citations.select("source").distinct()
+    shares = files.select("path").distinct().join(cited.withColumn("_c", F.lit(1)), F.col("path") == F.col("source"), "left").agg(F.coalesce(F.avg(F.coalesce("_c", F.lit(0))), F.lit(0.0)).alias("coverage"))
+    out = None
+    for i, cap in enumerate(caps):
+        groups = reach(files, edges, citations, cap)
+        sizes = median_and_p90(groups.where("n_pages > 0"), "n_pages").select(F.col("median").alias("median_group"), F.col("p90").alias("p90_group"))
+        reached = groups.agg(F.coalesce(F.avg((F.col("n_pages") > 0).cast("double")), F.lit(0.0)).alias("reach"))
+        found = leave_one_out(edges, citations, cap).agg(F.count("*").alias("n_cases"), F.avg(F.col("found").cast("double")).alias("recall"))
+        row = shares.join(reached).join(sizes).join(found).select(F.lit(i).alias("place"), F.lit("inf" if cap is None else str(cap)).alias("cap"), "coverage", "reach", "median_group", "p90_group", "n_cases", "recall")  # one row each
+        out = row if out is None else out.union(row)
+    passes = (F.col("reach") >= REACH) & (F.col("recall") >= RECALL) & (F.col("median_group") <= GROUP)
+    return out.withColumn("passes", F.coalesce(passes, F.lit(False)))
+
+
+def verdict(probed: DataFrame) -> DataFrame:
+    """One row: the first cap that passes, or null."""
+    return probed.agg(F.min_by("cap", F.when(F.col("passes"), F.col("place"))).alias("cap"), F.max("passes").alias("build")).select(F.when(F.col("build"), F.col("cap")).alias("cap"), "build")

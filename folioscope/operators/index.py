@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import with_tokens
+from folioscope.storage import materialised, put_in_place
 
 #: Raised whenever the tokenizer's results change; a stored index of another version is built anew.
-TOKENIZER_VERSION = 1
+TOKENIZER_VERSION = 2
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings (term, slug, title_tf, body_tf), lengths (slug, title_len, body_len), df (term, df), stats (one row)."""
+    """postings (term, slug, title_tf, body_tf, title_len, body_len), lengths (slug, title_len, body_len), df (term, df), stats (one row)."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -23,41 +26,76 @@ class Index:
     stats: DataFrame
 
 
-def build(pages: DataFrame, *, exact: bool = True) -> Index:
-    """Index of pages (slug, title, body); the title field is title and slug.
+def tokenised(pages: DataFrame, *, exact: bool = True) -> DataFrame:
+    """(slug, title_tokens, body_tokens) of pages (slug, title, body); the title field is title and slug."""
+    rows = pages.select("slug", F.concat_ws(" ", "title", "slug").alias("_title"), F.coalesce("body", F.lit("")).alias("_body"))
+    return with_tokens(rows, "_title", "title_tokens", exact=exact, body_tokens="_body").select("slug", "title_tokens", "body_tokens")
+
 
-    Both fields are counted in one aggregation, so the texts are cut once and shuffled only as (term, slug) counts,
-    which the map side combines.
+def of_tokens(rows: DataFrame) -> Index:
+    """The index of tokenised pages.
+
+    Both fields are counted in one aggregation, so what is shuffled is (term, slug) counts, which the map side combines.
     """
-    rows = pages.select("slug", F.concat_ws(" ", "title", "slug").alias("_title"), F.coalesce("body", F.lit("")).alias("_body"))
-    rows = with_tokens(with_tokens(rows, "_title", "title_tokens", exact=exact), "_body", "body_tokens", exact=exact).select("slug", "title_tokens", "body_tokens")
-    lengths = rows.select("slug", F.size("title_tokens").cast("long").alias("title_len"), F.size("body_tokens").cast("long").alias("body_len"))
-    each = rows.select("slug", F.explode(F.concat(F.transform("title_tokens", lambda t: F.struct(t.alias("term"), F.lit(1).alias("t"))), F.transform("body_tokens", lambda t: F.struct(t.alias("term"), F.lit(0).alias("t"))))).alias("x"))
-    postings = each.groupBy(F.col("x.term").alias("term"), "slug").agg(F.sum("x.t").cast("long").alias("title_tf"), F.sum(1 - F.col("x.t")).cast("long").alias("body_tf"))
+    sized = rows.withColumns({"title_len": F.size("title_tokens").cast("long"), "body_len": F.size("body_tokens").cast("long")})
+    lengths = sized.select("slug", "title_len", "body_len")
+    each = sized.select("slug", "title_len", "body_len", F.posexplode(F.concat("title_tokens", "body_tokens")).alias("pos", "term"))
+    in_title = F.count_if(F.col("pos") < F.col("title_len"))
+    postings = each.groupBy("term", "slug").agg(in_title.alias("title_tf"), (F.count("*") - in_title).alias("body_tf"), F.max("title_len").alias("title_len"), F.max("body_len").alias("body_len"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     stats = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("title_len"), F.lit(1.0)).alias("avg_title"), F.coalesce(F.avg("body_len"), F.lit(1.0)).alias("avg_body"))
     return Index(postings, lengths, df, stats)
 
 
+def build(pages: DataFrame, *, exact: bool = True) -> Index:
+    """Index of pages (slug, title, body), built whenever it is read; ``kept`` stores one."""
+    return of_tokens(tokenised(pages, exact=exact))
+
+
+def merged(first: Index, second: Index) -> Index:
+    """The index of two sets of different pages."""
+    stats = first.stats.union(second.stats).agg(F.sum("n").alias("n"), *(F.coalesce(F.try_divide(F.sum(F.col("n") * F.col(c)), F.sum("n")), F.lit(1.0)).alias(c) for c in ("avg_title", "avg_body")))
+    return Index(first.postings.unionByName(second.postings), first.lengths.unionByName(second.lengths), first.df.union(second.df).groupBy("term").agg(F.sum("df").alias("df")), stats)
+
+
 def store(index: Index, path: str, *, fingerprint: str, buckets: int = 32) -> None:
-    """Writes the index as Parquet, postings in ranges of terms so a lookup reads few files; the meta row comes last."""
-    index.postings.repartitionByRange(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    index.df.repartitionByRange(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/df")
-    index.stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-    meta = index.postings.sparkSession.createDataFrame([(TOKENIZER_VERSION, fingerprint)], "tokenizer_version int, fingerprint string")
-    meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    """Writes the index as Parquet, postings in ranges of terms so a lookup reads few files.
+
+    All is written beside the place it takes in the end, so readers see the old index or the new one.
+    """
+    spark = index.postings.sparkSession
+    temporary = f"{path}.{uuid.uuid4().hex}"
+    index.postings.repartitionByRange(buckets, "term").sortWithinPartitions("term").write.parquet(f"{temporary}/postings")
+    index.lengths.write.parquet(f"{temporary}/lengths")
+    written = spark.read.parquet(f"{temporary}/postings")
+    written.groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.parquet(f"{temporary}/df")
+    index.stats.coalesce(1).write.parquet(f"{temporary}/stats")
+    meta = spark.createDataFrame([(TOKENIZER_VERSION, fingerprint)], "tokenizer_version int, fingerprint string")
+    meta.coalesce(1).write.parquet(f"{temporary}/meta")
+    put_in_place(spark, temporary, path)
 
 
 def stored(spark, path: str, *, fingerprint: str) -> Index | None:
     """The stored index if it is of this tokenizer and fingerprint, else None."""
     try:
-        meta = spark.read.parquet(f"{path}/meta").first()
-    except Exception:  # noqa: BLE001  nothing is stored there
+        meta = spark.read.schema("tokenizer_version int, fingerprint string").parquet(f"{path}/meta").first()
+    except AnalysisException:  # nothing is stored there
         return None
     if meta is None or meta["tokenizer_version"] != TOKENIZER_VERSION or meta["fingerprint"] != fingerprint:
         return None
-    return Index(*(spark.read.parquet(f"{path}/{part}") for part in ("postings", "lengths", "df", "stats")))
+    schemas = "term string, slug string, title_tf long, body_tf long, title_len long, body_len long", "slug string, title_len long, body_len long", "term string, df long", "n long, avg_title double, avg_body double"
+    return Index(*(spark.read.schema(s).parquet(f"{path}/{part}") for s, part in zip(schemas, ("postings", "lengths", "df", "stats"), strict=True)))
+
+
+def kept(pages: DataFrame, path: str, *, fingerprint: str) -> Index:
+    """The stored index, built first where there is none of this fingerprint; the texts are cut once."""
+    spark = pages.sparkSession
+    found = stored(spark, path, fingerprint=fingerprint)
+    if found is None:
+        cores = spark.sparkContext.defaultParallelism
+        store(of_tokens(materialised(tokenised(pages), "tokens")), path, fingerprint=fingerprint, buckets=max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        found = stored(spark, path, fingerprint=fingerprint)
+    return found
 
 
 def fingerprint(files: DataFrame) -> str:

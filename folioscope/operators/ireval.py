@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.storage import checked_broadcast
+
 
 def judged(queries: DataFrame, ranked: DataFrame, qrels: DataFrame) -> DataFrame:
     """(qid, rank, hit): every query with its list, hit telling whether the page is relevant; rank is null without hits."""
@@ -42,9 +44,9 @@ def resampled(values: DataFrame, rounds: int = 1000) -> DataFrame:
     """
     n = values.agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
     spark = values.sparkSession
-    draws = spark.range(rounds).withColumnRenamed("id", "rep").join(F.broadcast(values.select(F.col("place").alias("draw")))).join(F.broadcast(n.select("n")))
+    draws = spark.range(rounds).withColumnRenamed("id", "rep").join(checked_broadcast(values.select(F.col("place").alias("draw")))).join(F.broadcast(n.select("n")))
     draws = draws.select("rep", F.pmod(F.pmod(F.col("rep") * 1103515245 + F.col("draw") * 2654435761 + 12345, F.lit(2147483647)) * 48271, F.lit(2147483647)).alias("x"), "n").select("rep", F.pmod("x", "n").alias("place"))
-    means = draws.join(F.broadcast(values), "place").groupBy("rep").agg(F.round(F.avg("value"), 9).alias("m"))
+    means = draws.join(checked_broadcast(values), "place").groupBy("rep").agg(F.round(F.avg("value"), 9).alias("m"))
     ranks = means.withColumn("r", F.row_number().over(Window.orderBy("m", "rep")) - 1)
     low, high = int(rounds * 0.025), int(rounds * 0.975) - 1
     ends = ranks.agg(F.max(F.when(F.col("r") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("r") == high, F.col("m"))).alias("high"))

@@ -2,37 +2,16 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_LINK = re.compile(r"\[\[([^\[\]|#\n]+)(?:[#|][^\[\]\n]*)?\]\]")
-_SPAN = re.compile(r"(`+)(?!`).*?(?<!`)\1(?!`)", re.S)
-
-
-def links_of(body: str) -> list[str]:
-    """Targets in order, duplicates kept; none from fenced lines and code spans."""
-    kept, fence = [], None
-    for line in body.split("\n"):
-        bare = line.lstrip(" ")
-        mark = bare[:1]
-        run = len(bare) - len(bare.lstrip(mark)) if mark in ("`", "~") else 0
-        if fence is None and run >= 3 and len(line) - len(bare) < 4:
-            fence = (mark, run)
-        elif fence is not None:
-            if mark == fence[0] and run >= fence[1] and not bare[run:].strip():
-                fence = None
-        else:
-            kept.append(line)
-    return [t for x in _LINK.findall(_SPAN.sub(" ", "\n".join(kept))) if (t := x.strip())]
-
+from folioscope.functions.markdown import links
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _links(bodies: pd.Series) -> pd.Series:
-    return bodies.map(lambda b: [] if b is None else links_of(b))
+    return bodies.map(lambda b: [] if b is None else links(b))
 
 
 def edges(pages: DataFrame) -> DataFrame:
@@ -46,13 +25,13 @@ def html_targets(html: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit('<a href="/([^"]*)"'), F.lit(1)), lambda x: x)
 
 
-def backlinks(links: DataFrame, names: DataFrame) -> DataFrame:
+def backlinks(edges: DataFrame, names: DataFrame) -> DataFrame:
     """(dst, n, sources): pages that others link to, with the sorted names of those, self-links apart."""
-    real = links.where("src <> dst").select("src", "dst").distinct().join(names.select(F.col("slug").alias("dst")).distinct(), "dst", "left_semi")
+    real = edges.where("src <> dst").select("src", "dst").distinct().join(names.select(F.col("slug").alias("dst")).distinct(), "dst", "left_semi")
     return real.groupBy("dst").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("src")).alias("sources"))
 
 
-def dangling(links: DataFrame, names: DataFrame) -> DataFrame:
+def dangling(edges: DataFrame, names: DataFrame) -> DataFrame:
     """(src, dst, pos): targets that no page has, once each at their first place, self-links apart."""
-    lost = links.where("src <> dst").join(names.select(F.col("slug").alias("dst")).distinct(), "dst", "left_anti")
+    lost = edges.where("src <> dst").join(names.select(F.col("slug").alias("dst")).distinct(), "dst", "left_anti")
     return lost.groupBy("src", "dst").agg(F.min("pos").alias("pos"))

@@ -19,22 +19,30 @@ def median_floor(value: Column) -> Column:
 def repeats(events: DataFrame, within: int = 120) -> DataFrame:
     """The searches with ``repeat``: whether the same session had the same top result within so many seconds before.
 
-    A missing session is one shared session, a missing top result never repeats.
+    A missing session is one shared session, a missing top result never repeats.  So that a session with a great part of
+    the log isn't one task's, its rows are dealt out by stretches of time: a repeat lies in a row's own stretch or the one
+    before, whose rows come along as witnesses.
     """
-    before = F.lag("ts").over(Window.partitionBy("session", "top").orderBy("ts", "line_no"))
-    return events.withColumn("repeat", F.coalesce(F.col("top").isNotNull() & (F.col("ts") - before <= within), F.lit(False)))
+    stretch = F.floor(F.col("ts") / F.lit(max(within, 1) * 16))
+    rows = events.withColumns({"_stretch": stretch, "_own": F.lit(True)})
+    late = F.col("ts") >= (F.col("_stretch") + 1) * F.lit(max(within, 1) * 16) - within
+    witnesses = rows.where(late & F.col("top").isNotNull()).withColumns({"_stretch": F.col("_stretch") + 1, "_own": F.lit(False)})
+    before = F.lag("ts").over(Window.partitionBy("session", "top", "_stretch").orderBy("ts", "line_no"))
+    marked = rows.union(witnesses).withColumn("repeat", F.coalesce(F.col("top").isNotNull() & (F.col("ts") - before <= within), F.lit(False)))
+    return marked.where("_own").drop("_stretch", "_own")
 
 
 def most_common(events: DataFrame, code: Column, missing: str = "?") -> DataFrame:
-    """(code, n): counts, the most common first, ties by first appearance (``first_line``)."""
+    """(code, n, first_line): counts, the most common first, ties by first appearance."""
     return events.select(F.coalesce(code, F.lit(missing)).alias("code"), "line_no").groupBy("code").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line")).orderBy(F.desc("n"), "first_line")
 
 
 def via_breakdown(events: DataFrame) -> DataFrame:
-    """(via, n): nothing if no record says where it came from, else also the unknown ones."""
-    some = events.agg(F.max(F.col("via").isNotNull()).alias("some"))
-    counts = events.groupBy(F.coalesce("via", F.lit("unknown")).alias("via")).agg(F.count("*").alias("n"))
-    return counts.join(F.broadcast(some)).where("some").drop("some")
+    """(via, n): nothing if no record says where it came from, else also the unknown ones; cli, mcp, others, unknown."""
+    counts = events.groupBy(F.coalesce("via", F.lit("unknown")).alias("via")).agg(F.count("*").alias("n"), F.max(F.col("via").isNotNull()).alias("some"))
+    counts = counts.withColumn("some", F.max("some").over(Window.partitionBy(F.lit(1))))  # one row for each place
+    order = F.when(F.col("via") == "cli", 0).when(F.col("via") == "mcp", 1).when(F.col("via") == "unknown", 3).otherwise(2)
+    return counts.where("some").select("via", "n").orderBy(order, "via")
 
 
 def searched_not_wrote(events: DataFrame, search: str, write: str) -> DataFrame:
@@ -64,3 +72,20 @@ def summary(events: DataFrame, *, search: str = "search", write: str = "write",
         median_floor(F.when(is_a(write), F.coalesce("chars", F.lit(0)))).alias("median_chars"),
     )
     return out.withColumns({"miss_rate": ratio(F.col("misses"), F.col("searches")), "reject_rate": ratio(F.col("rejects"), F.col("writes") + F.col("rejects")), "writes_per_session": ratio(F.col("attributed_writes"), F.col("sessions"))})
+
+
+def warning_codes(events: DataFrame, write: str = "write") -> DataFrame:
+    """(code, n, first_line): warnings of writes (warnings: array), the most common first."""
+    rows = events.where(F.col("event") == write).select("line_no", F.explode("warnings").alias("code"))
+    return most_common(rows, F.col("code"))
+
+
+def touching_counts(events: DataFrame, search: str = "search") -> DataFrame:
+    """One row: searches with paths (touching), those of which it is known how many pages they touched, and those that touched none."""
+    asked = (F.col("event") == search) & F.col("touching").isNotNull()
+    return events.agg(F.count_if(asked).alias("touching_searches"), F.count_if(asked & F.col("touched").isNotNull()).alias("touching_measured"), F.count_if(asked & (F.col("touched") == 0)).alias("touching_misses"))
+
+
+def modes(events: DataFrame, write: str = "write") -> DataFrame:
+    """One row: writes by mode."""
+    return events.where(F.col("event") == write).agg(*(F.count_if(F.col("mode") == m).alias(name) for name, m in (("creates", "create"), ("merges", "merge"), ("unchanged", "unchanged"))))

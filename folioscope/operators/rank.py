@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import path_prefixes, with_tokens
+from folioscope.functions.text import BETWEEN, path_prefixes, with_tokens
 from folioscope.operators.index import Index
+from folioscope.storage import checked_broadcast, materialised
 
-#: Rows of query terms up to which they are broadcast to the postings.
-MAX_TERMS = 1_000_000
+#: Letters of a term by which pages' words are looked up in substring search.
+GRAM = 3
 K1, B, TITLE = 1.2, 0.75, 5.0
 DEMOTED = 0.5
 
@@ -20,10 +21,9 @@ def query_terms(queries: DataFrame, *, exact: bool = True) -> DataFrame:
 
 
 def _matches(index: Index, terms: DataFrame) -> DataFrame:
-    """Query terms with their postings, document frequencies, lengths and the corpus averages."""
-    small = F.broadcast(terms) if terms.limit(MAX_TERMS + 1).count() <= MAX_TERMS else terms
-    hits = index.postings.join(small, "term").join(index.df.join(F.broadcast(terms.select("term").distinct()) if small is not terms else terms.select("term").distinct(), "term", "left_semi"), "term")
-    return hits.join(index.lengths, "slug").join(F.broadcast(index.stats))
+    """Query terms with their document frequencies, postings and the corpus averages: one join with the postings."""
+    asked = terms.join(index.df.join(checked_broadcast(terms.select("term").distinct()), "term", "left_semi"), "term")
+    return index.postings.join(checked_broadcast(asked), "term").join(F.broadcast(index.stats))  # one row
 
 
 def bm25f(index: Index, terms: DataFrame, *, title_weight: float = TITLE) -> DataFrame:
@@ -51,17 +51,18 @@ def term_count(index: Index, terms: DataFrame) -> DataFrame:
 def grep_or(pages: DataFrame, terms: DataFrame) -> DataFrame:
     """(qid, slug): pages that contain a term anywhere, as a substring of the lower-cased text.
 
-    Substrings have no key to join on; each page is tested against the distinct terms of all queries, a list whose size
-    is checked.
+    A term has no separators, so it stands within one of the page's words.  Words are looked up by the first GRAM letters
+    of a term, of which each different word has few, and only then compared.
     """
-    distinct = terms.select("term").distinct()
-    if (n := distinct.limit(MAX_TERMS + 1).count()) > MAX_TERMS:
-        raise ValueError(f"more than {MAX_TERMS} terms: run the queries in parts")
-    del n
-    every = F.broadcast(distinct.agg(F.collect_set("term").alias("all")))
     text = F.lower(F.concat_ws(" ", "title", "slug", "body"))
-    found = pages.select("slug", text.alias("text")).join(every).select("slug", F.explode(F.filter("all", lambda t: F.col("text").contains(t))).alias("term"))
-    return found.join(F.broadcast(terms), "term").select("qid", "slug").distinct()
+    words = pages.select("slug", F.explode(F.array_distinct(F.array_remove(F.split(text, BETWEEN), ""))).alias("word"))
+    distinct = words.select("word").distinct()
+    length = F.least(F.length("term"), F.lit(GRAM))
+    asked = terms.select("term").distinct().select("term", F.substr(F.col("term"), F.lit(1), length).alias("gram"))
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("word") - n + 1)), lambda i: F.substr(F.col("word"), i, F.lit(n)))
+    by = distinct.select("word", F.explode(F.array_distinct(F.concat(*(grams(n) for n in range(1, GRAM + 1))))).alias("gram"))
+    found = by.join(checked_broadcast(asked), "gram").where(F.contains("word", F.col("term"))).select("word", "term").distinct()
+    return words.join(found, "word").select("slug", "term").distinct().join(checked_broadcast(terms), "term").select("qid", "slug").distinct()
 
 
 def top(scored: DataFrame, k: int | None, order: list[Column] | None = None) -> DataFrame:
@@ -80,30 +81,57 @@ def demoted(score: Column, superseded_by: Column) -> Column:
     return F.when(superseded_by.isNotNull() & (superseded_by != ""), score * DEMOTED).otherwise(score)
 
 
-def touching(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(qid, slug): pages one of whose sources is a wanted path (qid, path) or lies below it.
+def touched_paths(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(qid, slug, touching): the wanted paths (qid, path) that a page's sources are or lie below, sorted.
 
     A source is given with each directory above it, which makes the prefix test an equality and the join a hash join.
     """
-    sources = pages.select("slug", F.explode("sources").alias("source")).select("slug", F.explode(path_prefixes(F.col("source"))).alias("path"))
-    return sources.join(wanted.select("qid", F.regexp_replace("path", "/+$", "").alias("path")), "path").select("qid", "slug").distinct()
+    sources = pages.select("slug", F.explode("sources").alias("source")).select("slug", F.explode(path_prefixes(F.col("source"))).alias("_key")).distinct()
+    asked = wanted.select("qid", "path", F.regexp_replace("path", "/+$", "").alias("_key"))
+    return sources.join(asked, "_key").groupBy("qid", "slug").agg(F.array_sort(F.collect_set("path")).alias("touching"))
+
+
+def touching(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(qid, slug): pages one of whose sources is a wanted path (qid, path) or lies below it."""
+    return touched_paths(pages, wanted).select("qid", "slug")
+
+
+def chain_ends(pointers: DataFrame) -> DataFrame:
+    """(slug, root): where the chain of pointers (slug, next) that begins at a page ends; pages of and before circles have none.
+
+    Pointers double in length with each step, which is written to the shared folder.
+    """
+    state = materialised(pointers.select("slug", F.col("next").alias("root"), F.col("next").alias("jump")), "chains")
+    for _ in range(state.count().bit_length() + 1):
+        if state.where("jump is not null").isEmpty():
+            break
+        above = state.select(F.col("slug").alias("jump"), F.col("root").alias("_root"), F.col("jump").alias("_jump"))
+        rows = state.join(above, "jump", "left")
+        state = materialised(rows.select("slug", F.coalesce("_root", "root").alias("root"), F.when(F.col("_root").isNotNull(), F.col("_jump")).alias("jump")), "chains")
+    ends = state.where("jump is null").select("slug", "root")
+    return ends.union(ends.select(F.col("root").alias("slug"), "root").distinct().join(state.select("slug"), "slug", "left_anti"))
 
 
-def lifted(ranked: DataFrame) -> DataFrame:
-    """Hits (qid, slug, rank, superseded_by) in the order that puts a replacement just above what it replaces.
+def lifted(ranked: DataFrame, k: int | None = None) -> DataFrame:
+    """Hits (qid, slug, rank, superseded_by) in the order that puts a replacement just above what it replaces, as ``lifted``.
 
     In the hit list the pointers form a forest.  A hit's place is the least rank of all that lead to it, and within a
     tree its distance to the newest page comes next; pointers to pages outside the list end there.  Chains are followed
-    to their end by doubling: each step, written to the shared folder, makes the pointers twice as long, for the hits
-    that point or are pointed to.  Pointers in a circle have no newest page; they end after as many steps as a chain of
-    all pointers would take.
+    to their end by doubling: each step, written to the shared folder, makes the pointers twice as long.  With ``k`` the
+    first k of each query are returned, and only the trees are followed that hold one of the first k ranks: all that
+    comes before them in the result holds one too.  Pointers in a circle have no newest page; they end after as many
+    steps as a chain of all pointers would take.
     """
-    from folioscope.llm.common import materialised
-
     ranked = materialised(ranked, "ranked")
     hits = ranked.select("qid", "slug", "rank")
     names = hits.select("qid", F.col("slug").alias("superseded_by"))
     links = ranked.where("superseded_by <> slug").join(names, ["qid", "superseded_by"], "left_semi").select("qid", "slug", F.col("rank").alias("low"), F.col("superseded_by").alias("jump"), F.lit(1).cast("long").alias("depth"))
+    if k is not None:
+        links = materialised(links, "links")
+        ends = chain_ends(links.select("slug", F.col("jump").alias("next")).distinct())
+        known = links.join(ends, "slug", "left")
+        first = hits.where(F.col("rank") <= k).join(ends, "slug").select("qid", "root").distinct()
+        links = known.join(first, ["qid", "root"], "left_semi").drop("root").unionByName(known.where("root is null").drop("root"))
     links = materialised(links, "links")
     ends = links.select("qid", F.col("jump").alias("slug")).distinct().join(links, ["qid", "slug"], "left_anti").join(hits, ["qid", "slug"])
     # low: the least rank of those less than so many steps below; jump: the page so many steps above; depth: steps to it, or to the end
@@ -116,8 +144,13 @@ def lifted(ranked: DataFrame) -> DataFrame:
         below = moving.groupBy("qid", F.col("jump").alias("slug")).agg(F.min("low").alias("_low"))
         rows = state.join(above, ["qid", "jump"], "left").join(below, ["qid", "slug"], "left")
         state = materialised(rows.select("qid", "slug", F.least("low", "_low").alias("low"), F.col("_jump").alias("jump"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")), "lift")
-    out = ranked.join(state.select("qid", "slug", F.col("low").alias("_key"), F.col("depth").alias("_depth")), ["qid", "slug"], "left")
-    return out.withColumn("lifted", F.row_number().over(Window.partitionBy("qid").orderBy(F.coalesce("_key", "rank"), F.coalesce("_depth", F.lit(0)), "rank"))).drop("_key", "_depth")
+    places = state.select("qid", "slug", F.col("low").alias("_key"), F.col("depth").alias("_depth"))
+    if k is not None:
+        ranked = ranked.where(F.col("rank") <= k).union(ranked.where(F.col("rank") > k).join(places, ["qid", "slug"], "left_semi").select(ranked.columns))
+    out = ranked.join(places, ["qid", "slug"], "left")
+    by = Window.partitionBy("qid").orderBy(F.coalesce("_key", "rank"), F.coalesce("_depth", F.lit(0)), "rank")
+    out = out.withColumn("lifted", F.row_number().over(by)).drop("_key", "_depth")
+    return out if k is None else out.where(F.col("lifted") <= k)
 
 
 def fused(first: DataFrame, second: DataFrame, k: int = 10, constant: int = 60) -> DataFrame:

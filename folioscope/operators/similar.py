@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import let
+from folioscope.storage import checked_broadcast
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -33,13 +35,29 @@ def jaccard_pairs(sets: DataFrame, percent: int) -> DataFrame:
     return full.select("i", "j", both.alias("both"), (F.size("ti") + F.size("tj")).alias("total")).where(100 * F.col("both") >= percent * (F.col("total") - F.col("both"))).select("i", "j", (F.col("both") / (F.col("total") - F.col("both"))).alias("score"))
 
 
-def tfidf(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((id, term, w), (id, norm)) of raw term frequencies times idf, from rows (id, term)."""
-    tf = tokens.groupBy("id", "term").agg(F.count("*").alias("tf"))
-    n = tokens.agg(F.count_distinct("id").alias("n"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    vectors = tf.join(df, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    return vectors, vectors.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+def frequencies(tokens: DataFrame) -> DataFrame:
+    """(id, term, tf) of rows (id, term)."""
+    return tokens.groupBy("id", "term").agg(F.count("*").alias("tf"))
+
+
+def idfs(tf: DataFrame) -> DataFrame:
+    """(term, idf) over all ids that have a term."""
+    n = tf.agg(F.count_distinct("id").alias("n"))
+    return tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+
+
+def cosines(asked: DataFrame, others: DataFrame) -> DataFrame:
+    """(i, j, score): cosines of TF-IDF vectors of a stated query set with all others that share a term; both (id, term, tf).
+
+    Products are made of the queries' terms only, which are few; all other terms count in the norms.
+    """
+    idf = checked_broadcast(idfs(asked.select("id", "term").union(others.select("id", "term"))))
+    weight = F.col("tf") * F.col("idf")
+    norms = lambda tf: tf.join(idf, "term").groupBy("id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
+    mine = asked.join(idf, "term").select(F.col("id").alias("i"), "term", weight.alias("wi"), "idf")
+    dots = others.join(checked_broadcast(mine), "term").groupBy("i", F.col("id").alias("j")).agg(F.sum(weight * F.col("wi")).alias("dot"))
+    rows = dots.join(checked_broadcast(norms(asked).toDF("i", "ni")), "i").join(checked_broadcast(norms(others).toDF("j", "nj")), "j")
+    return rows.select("i", "j", (F.col("dot") / (F.col("ni") * F.col("nj"))).alias("score"))
 
 
 def best_match(scores: DataFrame) -> DataFrame:
@@ -51,13 +69,13 @@ def best_match(scores: DataFrame) -> DataFrame:
 def budgeted_threshold(scores: DataFrame, total: Column, rate: float) -> DataFrame:
     """One row (threshold, above): the least score that floor(total * rate) of ``scores`` or fewer reach; equals stay together.
 
-    Without scores 0; if not even the largest fits, just above it (the next double).
+    Without scores 0; if not even the largest fits, just above it.
     """
     counts = scores.groupBy("score").agg(F.count("*").alias("n"))
     running = counts.withColumn("cum", F.sum("n").over(Window.orderBy(F.desc("score"))))
     limit = F.floor(total * rate)
     out = running.agg(F.min(F.when(F.col("cum") <= limit, F.col("score"))).alias("fit"), F.max("score").alias("top"), F.max(F.when(F.col("cum") <= limit, F.col("cum"))).alias("above"))
-    return out.select(F.when(F.col("top").isNull(), F.lit(0.0)).when(F.col("fit").isNull(), F.col("top") * (1 + 2.220446049250313e-16)).otherwise(F.col("fit")).alias("threshold"), F.coalesce("above", F.lit(0)).alias("above"))
+    return out.select(F.when(F.col("top").isNull(), F.lit(0.0)).when(F.col("fit").isNull(), F.col("top") + F.when(F.col("top") == 0, 1e-9).otherwise(F.abs("top") * 1e-9)).otherwise(F.col("fit")).alias("threshold"), F.coalesce("above", F.lit(0)).alias("above"))
 
 
 def precision_recall(pairs: DataFrame, threshold: Column) -> DataFrame:
@@ -67,19 +85,39 @@ def precision_recall(pairs: DataFrame, threshold: Column) -> DataFrame:
     return out.withColumns({"precision": F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), F.lit(0.0)), "recall": F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fn")), F.lit(0.0))})
 
 
-def normalised(v: Column) -> Column:
-    norm = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, y: a + y * y))
-    wide = F.transform(v, lambda y: y.cast("double"))
-    return let(wide, lambda x: let(norm(x), lambda n: F.when(n > 0, F.transform(x, lambda y: y / n)).otherwise(x)))
+#: Queries that go out at once, and vectors that meet such a block in one task.
+BLOCK, ROWS = 512, 16_384
 
 
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, *, block: int = BLOCK) -> DataFrame:
     """(qid, rank, id, sim): the k vectors (id, v) nearest to each of a stated set of queries (qid, v), itself apart.
 
-    The query set goes out in blocks against all rows, its size checked by the planner's own broadcast limit.
+    Queries are dealt into blocks, and each block meets each block of vectors as one product of matrices, of which the
+    best k a query go on.  Similarities are rounded to six decimals; of equal ones the greater id comes first.
     """
-    a = queries.select("qid", normalised(F.col("v")).alias("qv"))
-    b = vectors.select("id", normalised(F.col("v")).alias("v"))
-    sims = b.join(F.broadcast(a), F.col("id") != F.col("qid")).select("qid", "id", F.round(F.aggregate(F.zip_with("qv", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), 9).alias("sim"))
+    n, m = queries.count(), vectors.count()
+    blocks, parts = max(1, -(-n // block)), max(1, -(-m // ROWS), min(m, 2 * vectors.sparkSession.sparkContext.defaultParallelism))
+    deal = lambda key, of: F.pmod(F.xxhash64(key), F.lit(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    a = queries.select("qid", "v", deal("qid", blocks).alias("a"), every(parts).alias("b"))
+    b = vectors.select("id", "v", every(blocks).alias("a"), deal("id", parts).alias("b"))
+
+    def unit(v: pd.Series) -> np.ndarray:
+        x = np.array(v.tolist(), dtype=np.float64)
+        norm = np.sqrt((x * x).sum(1, keepdims=True))
+        return x / np.where(norm > 0, norm, 1)
+
+    def best(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(rows):
+            return pd.DataFrame({"qid": [], "id": [], "sim": []})
+        sim = np.round(unit(asked["v"]) @ unit(rows["v"]).T, 6)
+        ids, mine = rows["id"].to_numpy(), asked["qid"].to_numpy()
+        sim[mine[:, None] == ids[None, :]] = -np.inf
+        order = np.lexsort((np.broadcast_to(-ids, sim.shape), -sim))[:, :k]
+        top = np.take_along_axis(sim, order, 1)
+        q, c = np.nonzero(np.isfinite(top))
+        return pd.DataFrame({"qid": mine[q], "id": ids[order[q, c]], "sim": top[q, c]})
+
+    found = a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInPandas(best, "qid long, id long, sim double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), F.desc("id")))
-    return sims.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "id", "sim")

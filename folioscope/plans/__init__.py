@@ -3,7 +3,7 @@
 
 def load() -> tuple[dict, dict]:
     """Queries and their SQL, by name."""
-    from folioscope.plans import analytics, registry, retrieval
+    from folioscope.plans import analytics, registry, retrieval, surface
 
-    assert analytics and retrieval
+    assert analytics and retrieval and surface
     return dict(registry.QUERIES), dict(registry.ORACLES)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import is_slug, snippet, with_tokens
 from folioscope.operators import index, ireval, rank
 from folioscope.plans import sqltext as S
 from folioscope.plans.registry import query
+from folioscope.storage import checked_broadcast, shared_dir, spread
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +20,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
     return docs.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("slug"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"), "doc_id", "lang")
 
 
@@ -34,13 +36,15 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.slice(F.split(F.trim(F.regexp_replace("q", r"\s+", " ")), " "), 2, F.greatest(F.lit(1), F.size(F.split(F.trim(F.regexp_replace("q", r"\s+", " ")), " ")) - 2))
     key = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     asked = asked.select("qid", "q", key.alias("word"))
-    keys = F.broadcast(asked) if asked.limit(100_001).count() <= 100_000 else asked
     each = own.select("slug", "body", F.explode(words(F.col("body"))).alias("word"))
-    return each.join(keys, "word").where(F.contains("body", F.col("q"))).select("qid", "slug")
+    return each.join(checked_broadcast(asked), "word").where(F.contains("body", F.col("q"))).select("qid", "slug")
 
 
 def built(spark: SparkSession, sf_dir: str) -> tuple[index.Index, DataFrame]:
-    return index.build(pages(spark, sf_dir)), rank.query_terms(queries(spark, sf_dir))
+    """The index of the documents, stored in the shared folder until their files change, and the queries' terms."""
+    files = spark.read.format("binaryFile").load(f"{sf_dir}/documents.parquet").select("path", "modificationTime", "length")
+    place = f"{shared_dir(spark)}/index-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    return index.kept(pages(spark, sf_dir), place, fingerprint=index.fingerprint(files)), rank.query_terms(queries(spark, sf_dir))
 
 
 TOKENS = S.tokens("text")
@@ -48,7 +52,7 @@ TOKENS = S.tokens("text")
 
 @query("tokens", f"SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct, t[1] AS first_token, t[-1] AS last_token FROM (SELECT doc_id, {TOKENS} AS t FROM documents)")
 def tokens(spark, sf_dir):
-    rows = with_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    rows = with_tokens(spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "text")
     return rows.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.size(F.array_distinct("tokens")).cast("long").alias("n_distinct"), F.get("tokens", F.lit(0)).alias("first_token"), F.try_element_at("tokens", F.lit(-1)).alias("last_token"))
 
 
@@ -120,11 +124,16 @@ SUPERSEDED = "next_ AS (SELECT doc_id, lead(doc_id) OVER (PARTITION BY text ORDE
 
 
 def superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(slug, superseded_by, updated): equal texts form chains; the pointer comes from a sort within small digest groups."""
-    from pyspark.sql import Window
+    """(slug, superseded_by, updated): of equal texts each is superseded by the next doc_id.
 
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    own = docs.withColumn("next", F.lead("doc_id").over(Window.partitionBy("h").orderBy("doc_id")))
+    A group of copies may be large, so its ids are cut into stretches: within one the next id follows by a window, and the
+    last of a stretch is followed by the first of the next one that the group has.
+    """
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h")).withColumn("part", F.floor(F.col("doc_id") / 4096))
+    docs = docs.withColumn("next", F.lead("doc_id").over(Window.partitionBy("h", "part").orderBy("doc_id")))
+    firsts = docs.groupBy("h", "part").agg(F.min("doc_id").alias("first"))
+    after = firsts.withColumn("after", F.lead("first").over(Window.partitionBy("h").orderBy("part"))).where("after is not null").select("h", "part", "after")
+    own = docs.join(after, ["h", "part"], "left").withColumn("next", F.coalesce("next", "after"))
     name = lambda c: F.concat(F.lit("doc-"), F.col(c).cast("string"))
     return own.select(name("doc_id").alias("slug"), name("next").alias("superseded_by"), F.format_string("%04d", F.pmod("doc_id", F.lit(28))).alias("updated"))
 
@@ -134,39 +143,39 @@ s_ AS ({S.bm25f()}),
 o_ AS (SELECT qid, slug, 'doc-' || next AS up, CASE WHEN next IS NOT NULL THEN score * 0.5 ELSE score END AS score, printf('%04d', CAST(split_part(slug, '-', 2) AS BIGINT) % 28) AS updated
   FROM s_ JOIN next_ ON slug = 'doc-' || doc_id),
 r_ AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, updated DESC, slug) AS rank FROM o_),
-h_ AS (SELECT * FROM r_ WHERE rank <= 200),
+h_ AS (SELECT * FROM r_),
 c_ AS (SELECT qid, slug AS a, rank AS r, slug AS b, 0 AS d FROM h_
-  UNION ALL SELECT c_.qid, c_.a, c_.r, n.slug, c_.d + 1 FROM c_ JOIN h_ x ON x.qid = c_.qid AND x.slug = c_.b JOIN h_ n ON n.qid = x.qid AND n.slug = x.up WHERE c_.d < 20),
+  UNION ALL SELECT c_.qid, c_.a, c_.r, n.slug, c_.d + 1 FROM c_ JOIN h_ x ON x.qid = c_.qid AND x.slug = c_.b JOIN h_ n ON n.qid = x.qid AND n.slug = x.up),
 k_ AS (SELECT qid, b AS slug, min(r) AS key FROM c_ GROUP BY qid, b), d_ AS (SELECT qid, a AS slug, max(d) AS depth FROM c_ GROUP BY qid, a)
 SELECT qid, lifted AS rank, slug, score FROM (SELECT qid, slug, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY key, depth, rank) AS lifted FROM h_ JOIN k_ USING (qid, slug) JOIN d_ USING (qid, slug)) WHERE lifted <= 10"""
 
 
 @query("superseded_topk", _LIFT)
 def superseded_topk(spark, sf_dir):
-    """Demotion of superseded pages, the total order, the lift over all hits, then the cut.
-
-    The SQL states the same for hits within the first 200 and chains of up to 20 steps.
-    """
+    """Demotion of superseded pages, the total order, the lift over all hits along whole chains, then the cut."""
     scored = rank.bm25f(*built(spark, sf_dir)).join(superseded(spark, sf_dir), "slug").withColumn("score", rank.demoted(F.col("score"), F.col("superseded_by"))).withColumn("touched", F.lit(False))
     hits = rank.top(scored, None, rank.total_order())
-    return rank.lifted(hits).where("lifted <= 10").select("qid", F.col("lifted").alias("rank"), "slug", F.round("score", 6).alias("score"))
+    return rank.lifted(hits, 10).select("qid", F.col("lifted").alias("rank"), "slug", F.round("score", 6).alias("score"))
 
 
 @query("path_touch", r"""WITH p_ AS (SELECT page_id, 'page-' || page_id AS slug, regexp_replace(regexp_replace(url, '^[^:]*://', ''), '[?#].*$', '') AS source FROM pages),
-w_ AS (SELECT DISTINCT regexp_replace(source, '/[^/]*$', '') AS path FROM p_ WHERE page_id % 10 = 0)
+w_ AS (SELECT DISTINCT regexp_replace(source, '/[^/]*$', '') AS path FROM p_)
 SELECT path AS qid, slug FROM p_ JOIN w_ ON rtrim(source, '/') = path OR starts_with(source, path || '/')""")
 def path_touch(spark, sf_dir):
     own = read(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("slug"), F.regexp_replace(F.regexp_replace("url", "^[^:]*://", ""), "[?#].*$", "").alias("source"))
-    wanted = own.where("page_id % 10 = 0").select(F.regexp_replace("source", "/[^/]*$", "").alias("path")).distinct().select(F.col("path").alias("qid"), "path")
+    wanted = own.select(F.regexp_replace("source", "/[^/]*$", "").alias("path")).distinct().select(F.col("path").alias("qid"), "path")
     return rank.touching(own.select("slug", F.array("source").alias("sources")), wanted)
 
 
-@query("snippets")
+_SNIPPETS = S.snippets(f"""SELECT t_.qid, t_.rank, t_.slug, {S.COLLAPSED.format(text='body')} AS t, terms FROM t_ JOIN pages_ USING (slug) JOIN (SELECT qid, list(term) AS terms FROM terms_ GROUP BY qid) USING (qid)""")
+
+
+@query("snippets", f"WITH {S.PAGES}, t_ AS ({S.top(S.bm25f())}) {_SNIPPETS}")
 def snippets(spark, sf_dir):
     """The best window of each of the ten best pages of a query."""
     best = bm25f_topk(spark, sf_dir)
     terms = rank.query_terms(queries(spark, sf_dir)).groupBy("qid").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    rows = pages(spark, sf_dir).select("slug", "body").join(F.broadcast(best), "slug").join(F.broadcast(terms), "qid")
+    rows = pages(spark, sf_dir).select("slug", "body").join(checked_broadcast(best), "slug").join(checked_broadcast(terms), "qid")
     return rows.select("qid", "rank", "slug", snippet(F.col("body"), F.col("terms")).alias("snippet"))
 
 
@@ -236,7 +245,8 @@ SELECT answerable, count(*) AS n, round(quantile_cont(score, 0.5), 6) AS top_sco
 def calibration(spark, sf_dir):
     ix, terms = built(spark, sf_dir)
     best = _top(rank.bm25f(ix, terms)).where("rank = 1")
-    covered = ix.postings.join(F.broadcast(terms), "term").groupBy("qid", "slug").agg(F.count("*").alias("k")).join(F.broadcast(best), ["qid", "slug"]).join(F.broadcast(terms.groupBy("qid").agg(F.count("*").alias("n"))), "qid")
+    small = checked_broadcast
+    covered = ix.postings.join(small(terms), "term").groupBy("qid", "slug").agg(F.count("*").alias("k")).join(small(best), ["qid", "slug"]).join(small(terms.groupBy("qid").agg(F.count("*").alias("n"))), "qid")
     rows = _per(spark, sf_dir).join(covered.select("qid", "score", (F.col("k") / F.col("n")).alias("covered")), "qid")
     return rows.groupBy((F.col("n_rel") > 0).alias("answerable")).agg(F.count("*").alias("n"), F.round(F.percentile("score", 0.5), 6).alias("top_score"), F.round(F.percentile("covered", 0.5), 6).alias("coverage"))
 
@@ -247,7 +257,7 @@ def stub_share(spark, sf_dir):
     from folioscope.operators.gate import is_thin
 
     thin = pages(spark, sf_dir).select("slug", is_thin(F.col("body")).cast("double").alias("thin"))
-    rows = thin.join(F.broadcast(bm25f_topk(spark, sf_dir)), "slug")
+    rows = thin.join(checked_broadcast(bm25f_topk(spark, sf_dir)), "slug")
     return rows.agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("rank") == 1, F.col("thin"))), 6).alias("first_thin"), F.round(F.avg("thin"), 6).alias("thin_share"))
 
 

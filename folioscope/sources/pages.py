@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 FOLDER, ENVIRONMENT = ".memory", "FOLIOSCOPE_DIR"
 MANAGED = ("slug", "title", "kind", "created", "updated", "status", "superseded_by")
 LISTS = ("sources", "supersedes")
-SCHEMA = "slug string, title string, body string, path string, kind string, created string, updated string, status string, superseded_by string, sources array<string>, supersedes array<string>, extra map<string,array<string>>"
+SCHEMA = "slug string, title string, body string, path string, kind string, created string, updated string, status string, superseded_by string, sources array<string>, supersedes array<string>, extra map<string,array<string>>, extra_lists array<string>"
 
 
 def find_store(start: str = ".") -> Path:
@@ -53,37 +53,42 @@ def page_paths(store: str | Path) -> list[str]:
 
 
 def unquote(value: str) -> str:
+    """Without white space and one pair of equal quotes around it."""
     value = value.strip()
-    return value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else value
+    return m[2] if (m := re.fullmatch(r"(['\"])(.*)\1", value, re.S)) else value
+
+
+#: A front matter line: an entry of a list, or a key and what follows it.  Others (comments too) are passed over.
+_ENTRY = re.compile(r"\s*-\s+(?P<item>.*)|(?!\s*#)(?P<key>[^:]*):(?P<value>.*)")
+
+
+def front_matter(lines: list[str]) -> dict[str, str | list[str]]:
+    """Scalars and lists by key; a key without a value begins a list."""
+    meta: dict[str, str | list[str]] = {}
+    last: list[str] | None = None
+    for m in filter(None, map(_ENTRY.match, lines)):
+        if m["item"] is not None:
+            if last is not None:
+                last.append(unquote(m["item"]))
+            continue
+        value = m["value"].strip()
+        inline = re.fullmatch(r"\[(.*)\]", value, re.S)
+        found = [u for x in inline[1].split(",") if (u := unquote(x))] if inline else unquote(value) if value else []
+        meta[m["key"].strip()] = found
+        last = found if isinstance(found, list) else None
+    return meta
 
 
 def parse(text: str, path: str) -> dict:
     """One page: front matter between --- lines at the very start, then the body."""
-    meta: dict[str, str | list[str]] = {}
-    body = text
-    lines = text.split("\n")
-    if lines[0].rstrip() == "---" and (end := next((i for i, x in enumerate(lines[1:], 1) if x.rstrip() == "---"), None)):
-        body = "\n".join(lines[end + 1 :]).lstrip("\n")
-        key = None
-        for line in lines[1:end]:
-            if m := re.match(r"\s*-\s+(.*)", line):
-                if key is not None and isinstance(meta.get(key), list):
-                    meta[key].append(unquote(m[1]))
-                continue
-            if line.lstrip().startswith("#") or ":" not in line:
-                continue
-            key, _, value = line.partition(":")
-            key, value = key.strip(), value.strip()
-            if value.startswith("[") and value.endswith("]"):
-                meta[key] = [u for x in value[1:-1].split(",") if (u := unquote(x))]
-            else:
-                meta[key] = unquote(value) if value else []
-    scalar = lambda k: (v if isinstance(v, str) and v else None) if (v := meta.get(k)) is not None else None
-    as_list = lambda v: [v] if isinstance(v, str) and v else list(v) if isinstance(v, list) else []
-    stem = Path(path).stem
-    slug = scalar("slug") or stem
-    row = {k: scalar(k) for k in MANAGED} | {k: as_list(meta.get(k)) for k in LISTS}
-    return row | {"slug": slug, "title": scalar("title") or slug.replace("-", " "), "body": body, "path": path, "extra": {k: as_list(v) for k, v in meta.items() if k not in MANAGED and k not in LISTS}}
+    head = re.match(r"---[^\S\n]*\n(?:(.*?)\n)??---[^\S\n]*(?:\n|\Z)", text, re.S)
+    meta, body = (front_matter((head[1] or "").split("\n")), text[head.end() :].lstrip("\n")) if head else ({}, text)
+    scalar = lambda k: v if isinstance(v := meta.get(k), str) and v else None
+    entries = lambda v: v if isinstance(v, list) else [v] if v else []
+    slug = scalar("slug") or Path(path).stem
+    extra = {k: v for k, v in meta.items() if k not in MANAGED and k not in LISTS}
+    row = {k: scalar(k) for k in MANAGED} | {k: entries(meta.get(k)) for k in LISTS}
+    return row | {"slug": slug, "title": scalar("title") or slug.replace("-", " "), "body": body, "path": path, "extra": {k: entries(v) for k, v in extra.items()}, "extra_lists": [k for k, v in extra.items() if isinstance(v, list)]}
 
 
 def _fields() -> T.StructType:
@@ -117,19 +122,33 @@ def find_page(pages: DataFrame, slug: str) -> DataFrame:
 
 
 def rendered(pages: DataFrame) -> Column:
-    """The file of a page: managed fields in order, lists as blocks, other fields sorted, empty ones left out, then the body."""
+    """The file of a page: managed fields in order, lists as blocks, other fields sorted, empty ones left out, then the body.
+
+    Other fields that extra_lists names are lists, however many entries they have.
+    """
     line = lambda k: F.when(F.coalesce(F.col(k), F.lit("")) != "", F.concat(F.lit(f"{k}: "), F.concat(F.lit('"'), F.col(k), F.lit('"')) if k == "title" else F.col(k)))
-    block = lambda k: F.when(F.size(F.coalesce(F.col(k), F.array().cast("array<string>"))) > 0, F.concat(F.lit(f"{k}:\n"), F.array_join(F.transform(k, lambda x: F.concat(F.lit("  - "), x)), "\n")))
-    parts = [*(line(k) for k in MANAGED), *(block(k) for k in LISTS)]
+    entries = lambda head, values: F.concat_ws("\n", head, F.transform(values, lambda x: F.concat(F.lit("  - "), x)))
+    block = lambda k: F.when(F.size(F.coalesce(F.col(k), F.array().cast("array<string>"))) > 0, entries(F.lit(f"{k}:"), F.col(k)))
+    parts = [*(line(k) for k in MANAGED if k in pages.columns), *(block(k) for k in reversed(LISTS) if k in pages.columns)]
     if "extra" in pages.columns:
-        entries = F.array_sort(F.map_entries(F.coalesce("extra", F.expr("cast(map() as map<string,array<string>>)"))))
-        parts.append(F.nullif(F.array_join(F.transform(F.filter(entries, lambda e: F.size(e["value"]) > 0), lambda e: F.when(F.size(e["value"]) == 1, F.concat(e["key"], F.lit(": "), e["value"][0])).otherwise(F.concat(e["key"], F.lit(":\n"), F.array_join(F.transform(e["value"], lambda x: F.concat(F.lit("  - "), x)), "\n")))), "\n"), F.lit("")))
+        fields = F.array_sort(F.map_entries(F.coalesce("extra", F.expr("cast(map() as map<string,array<string>>)"))))
+        is_list = lambda e: (F.array_contains(F.coalesce("extra_lists", F.array().cast("array<string>")), e["key"]) if "extra_lists" in pages.columns else F.lit(False)) | (F.size(e["value"]) > 1)
+        one = lambda e: F.when(is_list(e), entries(F.concat(e["key"], F.lit(":")), e["value"])).when(F.coalesce(F.get(e["value"], F.lit(0)), F.lit("")) != "", F.concat(e["key"], F.lit(": "), e["value"][0]))
+        parts.append(F.nullif(F.array_join(F.array_compact(F.transform(fields, one)), "\n"), F.lit("")))
     return F.concat(F.lit("---\n"), F.concat_ws("\n", *parts), F.lit("\n---\n\n"), F.coalesce("body", F.lit("")))
 
 
-def write_pages(pages: DataFrame, store: str) -> None:
-    """One file per page, each put in place whole.  The folder must be one that executors share."""
-    rows = pages.select("slug", rendered(pages).alias("text"))
+def exported(pages: DataFrame) -> Column:
+    """The file of a page as another notes program takes it: title, type and body."""
+    return F.concat(F.lit("---\ntitle: "), F.col("title"), F.lit("\ntype: note\n---\n\n"), F.coalesce("body", F.lit("")), F.lit("\n"))
+
+
+def write_pages(pages: DataFrame, store: str, text: Column | None = None) -> None:
+    """One file per page, each put in place whole.  The folder must be one that executors share.
+
+    text: what is written of a page, by default ``rendered``.
+    """
+    rows = pages.select("slug", (rendered(pages) if text is None else text).alias("text"))
 
     def put(part) -> None:
         os.makedirs(store, exist_ok=True)
@@ -144,9 +163,14 @@ def write_pages(pages: DataFrame, store: str) -> None:
     rows.foreachPartition(put)
 
 
+def current(pages: DataFrame) -> DataFrame:
+    """Pages that no other supersedes."""
+    return pages.where("superseded_by is null or superseded_by = ''")
+
+
 def retargeted(pages: DataFrame, moves: DataFrame) -> DataFrame:
     """sources renamed by (old, new), first places kept, doubles dropped; superseded pages stay as they are."""
-    each = pages.where("superseded_by is null or superseded_by = ''").select("slug", F.posexplode("sources").alias("pos", "old"))
+    each = current(pages).select("slug", F.posexplode("sources").alias("pos", "old"))
     new = each.join(moves.groupBy("old").agg(F.min("new").alias("new")), "old", "left").select("slug", "pos", F.coalesce("new", "old").alias("source"))
     lists = new.groupBy("slug").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "source"))), lambda x: x["source"])).alias("_sources"))
     return pages.join(lists, "slug", "left").withColumn("sources", F.coalesce("_sources", "sources")).drop("_sources")
