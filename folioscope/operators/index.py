@@ -41,7 +41,7 @@ def of_tokens(rows: DataFrame) -> Index:
     lengths = sized.select("slug", "title_len", "body_len")
     each = sized.select("slug", "title_len", "body_len", F.posexplode(F.concat("title_tokens", "body_tokens")).alias("pos", "term"))
     in_title = F.count_if(F.col("pos") < F.col("title_len"))
-    postings = each.groupBy("term", "slug").agg(in_title.alias("title_tf"), (F.count("*") - in_title).alias("body_tf"), F.max("title_len").alias("title_len"), F.max("body_len").alias("body_len"))
+    postings = each.groupBy("slug", "term").agg(in_title.alias("title_tf"), (F.count("*") - in_title).alias("body_tf"), F.max("title_len").alias("title_len"), F.max("body_len").alias("body_len"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     stats = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("title_len"), F.lit(1.0)).alias("avg_title"), F.coalesce(F.avg("body_len"), F.lit(1.0)).alias("avg_body"))
     return Index(postings, lengths, df, stats)
@@ -59,13 +59,13 @@ def merged(first: Index, second: Index) -> Index:
 
 
 def store(index: Index, path: str, *, fingerprint: str, buckets: int = 32) -> None:
-    """Writes the index as Parquet, postings in ranges of terms so a lookup reads few files.
+    """Writes the index as Parquet, each term in one file and files in order of terms, so a lookup reads few row groups.
 
     All is written beside the place it takes in the end, so readers see the old index or the new one.
     """
     spark = index.postings.sparkSession
     temporary = f"{path}.{uuid.uuid4().hex}"
-    index.postings.repartitionByRange(buckets, "term").sortWithinPartitions("term").write.parquet(f"{temporary}/postings")
+    index.postings.repartition(buckets, "term").sortWithinPartitions("term").write.parquet(f"{temporary}/postings")
     index.lengths.write.parquet(f"{temporary}/lengths")
     written = spark.read.parquet(f"{temporary}/postings")
     written.groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.parquet(f"{temporary}/df")
@@ -93,7 +93,9 @@ def kept(pages: DataFrame, path: str, *, fingerprint: str) -> Index:
     found = stored(spark, path, fingerprint=fingerprint)
     if found is None:
         cores = spark.sparkContext.defaultParallelism
-        store(of_tokens(materialised(tokenised(pages), "tokens")), path, fingerprint=fingerprint, buckets=max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        buckets = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        # a page's tokens are dealt out whole: its terms are then counted where they are, and go to their terms' files at once
+        store(of_tokens(materialised(tokenised(pages), "tokens").repartition(buckets, "slug")), path, fingerprint=fingerprint, buckets=buckets)
         found = stored(spark, path, fingerprint=fingerprint)
     return found
 

@@ -51,7 +51,7 @@ def cosines(asked: DataFrame, others: DataFrame) -> DataFrame:
 
     Products are made of the queries' terms only, which are few; all other terms count in the norms.
     """
-    idf = checked_broadcast(idfs(asked.select("id", "term").union(others.select("id", "term"))))
+    idf = checked_broadcast(idfs(asked.select("id", "term").union(others.select("id", "term"))), 500_000)
     weight = F.col("tf") * F.col("idf")
     norms = lambda tf: tf.join(idf, "term").groupBy("id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
     mine = asked.join(idf, "term").select(F.col("id").alias("i"), "term", weight.alias("wi"), "idf")
