@@ -13,16 +13,17 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import plain_words, window_hashes
+from folioscope.llm.common import lean, materialised, plain_words, texts, window_hashes
 
 #: Words of benchmark items that are sent at once.
-SLICE_WORDS = 5_000_000
+SLICE_WORDS = 500_000
 _MARKS = b".,;:!?\"'()[]{}*#%&$|<>-_"
 
 
@@ -106,16 +107,25 @@ class Seeds:
         return out
 
 
-def _sent(spark, benchmark: DataFrame, least: int) -> list:
-    """The benchmark's seeds on the executors, in slices of SLICE_WORDS words or so."""
+def _slices(benchmark: DataFrame, least: int) -> Iterator[tuple[Seeds, bool]]:
+    """The benchmark's seeds in slices of SLICE_WORDS words or so, one at a time, and whether more follow."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     slices = max(1, math.ceil(1.2 * size / SLICE_WORDS))
-    sent = []
     for k in range(slices):
         own = [(r["item_id"], words_of(r["text"])) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k).collect()]
-        sent.append(spark.sparkContext.broadcast(Seeds([x for x in own if len(x[1]) >= least], least)))
-    return sent
+        yield Seeds([x for x in own if len(x[1]) >= least], least), k + 1 < slices
+
+
+def _passes(rows: DataFrame, benchmark: DataFrame, least: int, step) -> DataFrame:
+    """Rows after step(seeds) for each slice; between slices they are written, so only one slice is anywhere at a time."""
+    for seeds, more in _slices(benchmark, least):
+        sent = rows.sparkSession.sparkContext.broadcast(seeds)
+        rows = rows.mapInArrow(lean(step(sent)), rows.schema)
+        if more:
+            rows = materialised(rows, "slice")
+            sent.destroy()
+    return rows
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, least: int = 5, coverage: float = 0.5) -> DataFrame:
@@ -126,37 +136,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, least: int = 5, cove
     (double, of that item, 0 if none) and n_items (long, how many items).  Null and empty texts are clean; items of fewer
     than ``least`` words cannot be found; with an empty benchmark all is clean; repeated rows are judged alike.
     """
-    sent = _sent(docs.sparkSession, benchmark, least)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0.0).alias("_share"), F.lit(None).cast("long").alias("_item"), F.lit(0).cast("long").alias("_items"))
-    for seeds in sent:  # each pass adds what its slice finds
-        rows = rows.mapInArrow(_judge(seeds, coverage), rows.schema)
+    rows = _passes(rows, benchmark, least, lambda seeds: _judge(seeds, coverage))  # each pass adds what its slice finds
     return rows.select("doc_id", (F.col("_items") > 0).alias("contaminated"), (F.col("_items") == 0).alias("kept"), F.col("_item").alias("item_id"), F.col("_share").alias("coverage"), F.col("_items").alias("n_items"))
 
 
 def _judge(seeds, coverage: float):
     def run(batches):
         for batch in batches:
-            ids, texts, shares, items, counts = batch.columns
+            ids, column, shares, items, counts = batch.columns
             top, more = [], []
-            for text, share, item in zip(texts, shares.to_pylist(), items.to_pylist(), strict=True):
-                found = seeds.value.coverage(words_of(text.as_py()), coverage)
+            for text, share, item in zip(texts(column), shares.to_pylist(), items.to_pylist(), strict=True):
+                found = seeds.value.coverage(words_of(text), coverage)
                 top.append(min([(-c, i) for i, c in found] + ([(-share, item)] if item is not None else []), default=(0.0, None)))
                 more.append(len(found))
-            yield pa.record_batch([ids, texts, pa.array([-c for c, _ in top], pa.float64()), pa.array([i for _, i in top], pa.int64()), pa.array([n + k for n, k in zip(counts.to_pylist(), more, strict=True)], pa.int64())], names=batch.schema.names)
+            yield pa.record_batch([ids, column, pa.array([-c for c, _ in top], pa.float64()), pa.array([i for _, i in top], pa.int64()), pa.array([n + k for n, k in zip(counts.to_pylist(), more, strict=True)], pa.int64())], names=batch.schema.names)
 
     return run
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, least: int = 5, coverage: float = 0.5) -> DataFrame:
     """The rows of docs, all columns, that contain no benchmark item; see ``contamination``."""
-    sent = _sent(docs.sparkSession, benchmark, least)
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for text in batch.column("text"):
-                words = words_of(text.as_py())
-                keep.append(not any(s.value.coverage(words, coverage) for s in sent))
-            yield batch.filter(pa.array(keep, pa.bool_()))
+    def step(seeds):
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array([not seeds.value.coverage(words_of(t), coverage) for t in texts(batch.column("text"))], pa.bool_()))
+
+        return run
 
-    return docs.mapInArrow(run, docs.schema)
+    return _passes(docs, benchmark, least, step)

@@ -6,9 +6,9 @@ by the value of a keyed permutation of its own kind, so equal values become equa
 different values different ones, and the pseudonym is valid again:
 
 * card: a permutation of the digits before the check digit, which is then computed anew;
-* iban: the same for the account part, letter for letter and digit for digit;
+* iban: the same for the account part, letter for letter and digit for digit, also where it is printed in groups of four;
 * ssn, ipv4, date: a permutation of the numbers of all valid values (17 x 4,297 days from 1900 to 2099);
-* phone: of the ten digits after the country code;
+* phone: of the digits after the country code, of North American numbers and those that begin with + and a code;
 * email: of the local part, letter for letter and digit for digit; the domain stays.
 
 Every permutation is a Feistel network of ``ROUNDS`` rounds: one half is shifted by a keyed hash (SHA-256) of the
@@ -27,12 +27,12 @@ _EDGE, _END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 #: One pattern for each kind; they are tried in the order of KINDS.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._+-])[A-Za-z0-9._+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}" + _END,
-    "iban": _EDGE + r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}" + _END,
+    "iban": _EDGE + r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)" + _END,
     "card": r"(?<![\p{L}\p{N}_.-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![\p{L}\p{N}_]|[-.][0-9])",
     "ssn": r"(?<![\p{L}\p{N}_.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}_]|[-.][0-9])",
-    "phone": r"(?<![\p{L}\p{N}_.+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}_]|[-.][0-9])",
+    "phone": r"(?<![\p{L}\p{N}_.+-])(?:\+[0-9]{1,3}(?:[ .-][0-9]{2,8}){2,4}|(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![\p{L}\p{N}_]|[-.][0-9])",
     "ipv4": r"(?<![\p{L}\p{N}_.-])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{L}\p{N}_]|[-.][0-9])",
-    "date": r"(?<![\p{L}\p{N}_./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![\p{L}\p{N}_]|[-./][0-9])",
+    "date": r"(?<![\p{L}\p{N}_./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/(?:19|20)[0-9]{2})(?![\p{L}\p{N}_]|[-./][0-9])",
 }
 
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -112,6 +112,10 @@ def _mod97(s: Column) -> Column:
     return F.aggregate(F.split(s, ""), F.lit(0), step)
 
 
+def _compact(s: Column) -> Column:
+    return F.replace(s, F.lit(" "), F.lit(""))
+
+
 def is_iban(s: Column) -> Column:
     return _mod97(F.concat(F.substr(s, F.lit(5), F.length(s)), F.substr(s, F.lit(1), F.lit(4)))) == 1
 
@@ -130,7 +134,7 @@ def is_ssn(s: Column) -> Column:
 
 
 def _date(s: Column) -> Column:
-    return F.coalesce(F.try_to_date(s, "yyyy-MM-dd"), F.try_to_date(s, "dd/MM/yyyy"))
+    return F.coalesce(F.try_to_date(s, "yyyy-MM-dd"), F.try_to_date(s, "d/M/yyyy"))
 
 
 def _pseudonym(m: Column, key: str) -> Column:
@@ -139,9 +143,10 @@ def _pseudonym(m: Column, key: str) -> Column:
     digits = _digits(m)
     body = feistel_text(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "card")
     card = _put(m, F.concat(body, F.pmod(-_luhn_sum(body, 0), F.lit(10)).cast("string")))
-    account = feistel_text(F.substr(m, F.lit(5), F.length(m)), key, "iban")
+    account = feistel_text(F.substr(_compact(m), F.lit(5), F.length(m)), key, "iban")
     country = F.substr(m, F.lit(1), F.lit(2))
     iban = F.concat(country, F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0"), account)
+    iban = F.when(m.contains(" "), F.regexp_replace(iban, "(.{4})(?=.)", "$1 ")).otherwise(iban)
     octets = _octets(m)
     ip = feistel_number(octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3], 65536, 65536, key, "ipv4")
     octet = lambda by: F.pmod(F.floor(ip / by), F.lit(256)).cast("string")
@@ -150,37 +155,38 @@ def _pseudonym(m: Column, key: str) -> Column:
     new_area = F.floor(ssn / 989901)
     ssn = F.concat_ws("-", F.lpad((new_area + F.when(new_area >= 665, 2).otherwise(1)).cast("string"), 3, "0"), F.lpad((F.floor(F.pmod(ssn, F.lit(989901)) / 9999) + 1).cast("string"), 2, "0"), F.lpad((F.pmod(ssn, F.lit(9999)) + 1).cast("string"), 4, "0"))
     day = F.date_add(F.lit("1900-01-01").cast("date"), feistel_number(F.datediff(_date(m), F.lit("1900-01-01").cast("date")).cast("long"), 17, 4297, key, "date").cast("int"))
-    date = F.when(m.contains("/"), F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "yyyy-MM-dd"))
-    lead = F.length(digits) - 10
-    phone = _put(m, F.concat(F.substr(digits, F.lit(1), lead), feistel_text(F.substr(digits, lead + 1, F.lit(10)), key, "phone")))
+    date = F.when(m.rlike("^[0-9]{2}/[0-9]{2}/"), F.date_format(day, "dd/MM/yyyy")).when(m.contains("/"), F.date_format(day, "d/M/yyyy")).otherwise(F.date_format(day, "yyyy-MM-dd"))
+    lead = F.when(m.rlike(r"^\+[0-9]{1,3}[ .(-]"), F.length(F.regexp_extract(m, "^.([0-9]+)", 1))).otherwise(F.length(digits) - 10)
+    phone = _put(m, F.concat(F.substr(digits, F.lit(1), lead), feistel_text(F.substr(digits, lead + 1, F.length(digits)), key, "phone")))
     local = F.substring_index(m, "@", 1)
     email = F.concat(feistel_text(local, key, "email"), F.substr(m, F.length(local) + 1, F.length(m)))
     return (
         F.when(is_a("email"), email)
-        .when(is_a("iban"), F.when(is_iban(m), iban).otherwise(m))
+        .when(is_a("iban"), F.when(is_iban(_compact(m)), iban).otherwise(m))
         .when(is_a("card"), F.when(is_card(m), card).otherwise(m))
         .when(is_a("ssn"), F.when(is_ssn(m), ssn).otherwise(m))
-        .when(is_a("phone"), phone)
+        .when(is_a("phone"), F.when(F.length(digits).between(8, 15), phone).otherwise(m))
         .when(is_a("ipv4"), F.when(is_ipv4(m), F.concat_ws(".", octet(16777216), octet(65536), octet(256), octet(1))).otherwise(m))
         .when(is_a("date"), F.when(_date(m).isNotNull(), date).otherwise(m))
         .otherwise(m)
     )
 
 
-def pseudonymise(docs: DataFrame, *, key: str = "folioscope", column: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, *, key: str, column: str = "text") -> DataFrame:
     """The documents with personal data in ``column`` replaced by pseudonyms, and ``n_replaced`` (int), how many there were.
 
-    All other columns stay; a column called n_replaced is overwritten.  A null text stays null with 0 replaced, an empty
-    text empty.  Rows are treated one by one, so repeated rows and ids give repeated rows, an empty table an empty one.
+    key: what the permutations depend on; whoever has it can undo them.  All other columns stay, whatever they are called;
+    a column called n_replaced is overwritten.  A null text stays null with 0 replaced, an empty text empty.  Rows are
+    treated one by one, so repeated rows and ids give repeated rows, an empty table an empty one.
     """
+    free = (f"_pii{i}" for i in range(len(docs.columns) + 2) if f"_pii{i}" not in docs.columns)
+    found, new = next(free), next(free)
     text = F.col(column).cast("string")
-    pattern = F.lit(_any())
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
     # the text between the matches, and the matches: as many, and one more
-    table = docs.withColumn("_found", F.when(text.rlike("@|[0-9][0-9.]"), found))
-    table = table.withColumn("_new", F.transform("_found", lambda m: _pseudonym(m, key)))
+    table = docs.withColumn(found, F.when(text.rlike("@|[0-9][0-9./]"), F.regexp_extract_all(text, F.lit(_any()), F.lit(0))))
+    table = table.withColumn(new, F.transform(found, lambda m: _pseudonym(m, key)))
     between = F.split(text, _any(), -1)
-    whole = F.array_join(F.flatten(F.zip_with(between, F.col("_new"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    some = F.size(F.coalesce("_found", F.array().cast("array<string>"))) > 0
-    replaced = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
-    return table.withColumns({"n_replaced": F.when(some, replaced).otherwise(0), column: F.when(some, whole).otherwise(text)}).drop("_found", "_new")
+    whole = F.array_join(F.flatten(F.zip_with(between, F.col(new), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    some = F.size(F.coalesce(found, F.array().cast("array<string>"))) > 0
+    replaced = F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x))
+    return table.withColumns({"n_replaced": F.when(some, replaced).otherwise(0), column: F.when(some, whole).otherwise(text)}).drop(found, new)

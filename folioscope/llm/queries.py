@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import secrets
 from collections.abc import Callable
 
 import public_tokenizers
@@ -22,13 +24,19 @@ from folioscope.llm.url_templates import judge_urls
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+_DRAWN = secrets.token_hex(16)
 BLOCK, ALLOW = ["net/", "example.com/de/"], ["example.net/en/", "org/fr/"]
 #: The revision that op2 counts: a cut in the first third, an insertion in the second, a new end.
 REVISION = [("n div 3", "n div 3 + 17", ""), ("2 * (n div 3)", "2 * (n div 3)", " (revised), it's new "), ("greatest(n - 5, 0)", "n + 100", " end.")]
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The key of pseudonyms: spark.folioscope.pseudonym.key, else FOLIOSCOPE_PSEUDONYM_KEY, else one drawn for this process."""
+    return spark.conf.get("spark.folioscope.pseudonym.key", None) or os.environ.get("FOLIOSCOPE_PSEUDONYM_KEY") or _DRAWN
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_replaced")
+    return pseudonymise(table(spark, sf_dir, "documents"), key=pseudonym_key(spark)).select("doc_id", "text", "n_replaced")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ def test_pii(spark):
         "card 4539 1488 0343 6467 and 4539148803436467, not 4539148803436468", "mail Jo.Doe7@mail3.example.com. again Jo.Doe7@mail3.example.com", "at 192.168.10.5 not 300.1.1.1 or 1.2.3.4.5", "call +1 (487) 555-7209 now",
         "born 1985-02-28, 28/02/1985, not 1985-02-30", "ssn 123-45-6789 not 000-12-3456", "iban DE89370400440532013000 not DE89370400440532013001", None, "", "clean text, CC BY-NC 4.0.", "x" * 200_000 + " 4539148803436467",
     ]
-    rows = pii.pseudonymise(docs(spark, texts)).orderBy("doc_id").collect()
+    rows = pii.pseudonymise(docs(spark, texts), key="one").orderBy("doc_id").collect()
     got = [r["text"] for r in rows]
     assert [r["n_replaced"] for r in rows] == [2, 2, 1, 1, 2, 1, 1, 0, 0, 0, 1]
     assert rows[0].asDict().keys() == {"doc_id", "text", "lang", "words", "hash", "n_replaced"}
@@ -51,7 +51,22 @@ def test_pii(spark):
     assert got[10][:200_000] == "x" * 200_000 and got[10].endswith(b)  # the same card in another text
     other = pii.pseudonymise(docs(spark, texts[:1]), key="another").first()["text"]
     assert other != got[0]
-    assert pii.pseudonymise(docs(spark, [])).count() == 0
+    assert pii.pseudonymise(docs(spark, []), key="one").count() == 0
+
+
+def test_pii_formats_and_names(spark):
+    """Printed IBANs, numbers of other countries, short dates; columns of any name stay; equal rows and null ids are treated alike."""
+    texts = ["iban DE89 3704 0044 0532 0130 00 or DE89370400440532013000", "call +49 30 1234567 or +49.30.1234567, not +49 12 34", "born 5/2/1985 and 05/02/1985, not 31/2/1985"]
+    rows = [(i, t, "a", "b") for i, t in enumerate(texts)] + [(None, texts[0], None, None)] * 2
+    got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string, _pii0 string, _found string"), key="one").collect()
+    assert got[0].asDict().keys() == {"doc_id", "text", "_pii0", "_found", "n_replaced"} and (got[0]["_pii0"], got[0]["_found"]) == ("a", "b")
+    assert [r["n_replaced"] for r in got] == [2, 2, 2, 2, 2] and got[0]["text"] == got[3]["text"] == got[4]["text"]
+    a, b = re.match(r"iban (DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d) or (DE\d{20})$", got[0]["text"]).groups()
+    assert a.replace(" ", "") == b != "DE89370400440532013000"
+    a, b = re.match(r"call (\+49 \d\d \d{7}) or (\+49\.\d\d\.\d{7}), not \+49 12 34$", got[1]["text"]).groups()
+    assert a.replace(" ", ".") == b != "+49.30.1234567"
+    a, b = re.match(r"born (\d{1,2}/\d{1,2}/\d{4}) and (\d\d/\d\d/\d{4}), not 31/2/1985$", got[2]["text"]).groups()
+    assert [int(x) for x in a.split("/")] == [int(x) for x in b.split("/")] != [5, 2, 1985]
 
 
 def test_pii_permutes(spark):
@@ -135,6 +150,33 @@ def test_urls(spark):
     assert [(r["host"], r["path"], r["rule"], r["verdict"]) for r in got] == [tuple(u[1:]) for u in urls]
 
 
+def test_urls_against_plain_rules(spark):
+    """Host, path, rule and the rule's verdict of all urls of the smallest table."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url")
+    block, allow = ["net/", "example.com/de/"], ["example.net/en/", "org/fr/"]
+    got = {r["page_id"]: r for r in url_templates.judge_urls(rows, block=block, allow=allow).collect()}
+    for r in rows.collect():
+        rest = r["url"].split("://", 1)[1] if "://" in (r["url"] or "") else ""
+        whole = re.split("[?#]", rest, maxsplit=1)[0]
+        host, slash, path = whole.partition("/")
+        host, path = host.translate({c: c + 32 for c in range(65, 91)}), slash + path
+        fits = [x for x in block + allow for site, s, p in [x.partition("/")] if (host == site or host.endswith("." + site)) and path.startswith(s + p)]
+        rule = max(fits, key=len, default=None)
+        g = got[r["page_id"]]
+        assert (g["host"], g["path"], g["rule"]) == (host, path, rule) and (rule is None or g["verdict"] == ("block" if rule in block else "allow"))
+
+
+def test_url_labels_reach_other_hosts(spark, monkeypatch):
+    """A template that rules block on some hosts is rejected on a host without labels; salted joins give the same."""
+    rows = [f"http://{h}.net/de/{i}" for h in "abcd" for i in range(6)] + [f"http://x.org/de/{i}" for i in range(3)] + [f"http://x.org/en/{i}" for i in range(3)] + ["http://x.org/de/1"] * 3
+    df = spark.createDataFrame([(i, u) for i, u in enumerate([*rows, None])], "page_id long, url string")
+    judge = lambda: sorted((r["page_id"], r["template"], r["verdict"]) for r in url_templates.judge_urls(df, block=["net/"], allow=["x.org/en/"]).collect())
+    got = judge()
+    assert [v for i, _, v in got if 24 <= i < 27] == ["block"] * 3 and [v for i, _, v in got if 27 <= i < 30] == ["allow"] * 3 and got[-1][2] == "allow"
+    monkeypatch.setattr(url_templates, "MAX_SENT", 0)
+    assert judge() == got
+
+
 def test_url_templates_reject_by_purity(spark):
     """A rule on part of a branch speaks for the rest of its template; other branches stay."""
     rows = [f"http://h.com/shop/item-{i:03d}x" for i in range(60)] + [f"http://h.com/news/{i}/a.html" for i in range(9)] + [f"http://h.com/shop/item-1{i:02d}x/more" for i in range(3)]
@@ -160,6 +202,19 @@ def test_secret_assign(text, want):
     assert sum(k == "assign" for _, k, _ in secrets.base_spans(text)) == want
 
 
+def test_secret_base_columns_against_plain_patterns(spark):
+    """Counts and digests of all documents of the smallest table."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: r for r in secrets.scan(rows.union(rows.where("doc_id < 3"))).collect()}
+    for r in rows.collect():
+        spans = [(m.start(), 0, m.end(), "assign") for m in re.finditer("(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", r["text"], re.I | re.A) if len(m[1]) >= 6]
+        spans += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", r["text"]) if len(m[0]) >= 20]
+        spans += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", r["text"]) if len(m[0]) >= 24]
+        g, listed = got[r["doc_id"]], ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans))
+        assert (g["n_assign"], g["n_access"], g["n_hex"]) == tuple(sum(s[1] == k for s in spans) for k in range(3))
+        assert g["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest() and set(filter(None, listed.split(","))) <= set(g["spans"].split(","))
+
+
 def test_secret_field_and_columns(spark):
     texts = ["my passphrase is hunter2xx99 ok", "call +1 (487) 555-7209 now, card 9890149938096989", None, "", "token=abcdef1234567890", "plain words only " * 50_000]
     got = secrets.scan(docs(spark, texts)).orderBy("doc_id").collect()
@@ -198,3 +253,27 @@ def test_field_finds_held_out_secrets():
         missed += sum(not any(s in x or x in s for x in spans) for s in own)
         false += sum(not any(s in x or x in s for s in own) for x in spans)
     assert found / (found + missed) > 0.9 and false / (found + false) < 0.1
+
+
+def test_stored_field_is_the_trained_one():
+    own, stored = secrets.train(), secrets.trained()
+    assert all(own.spans(t) == stored.spans(t) for t, _ in secrets.sentences(60, seed=3))
+
+
+def test_field_finds_secrets_planted_in_documents(spark):
+    """Secrets that the patterns miss, in documents of the smallest table: all found; hardly anything else is."""
+    r = random.Random(5)
+    of = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    made = [lambda: ("password is ", of("abcdefghijkl", 18)), lambda: ("pwd: ", "Qx@9!rT7zz"), lambda: ('passphrase = "', "river stone cloud lamp"), lambda: ("Authorization: Bearer ", of("abcXYZ0189", 30)), lambda: ("my token ", of("abcXYZ0189", 24))]
+    f = secrets.trained()
+    found = spans = 0
+    rows = [x["text"] for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()]
+    for k, text in enumerate(rows):
+        before, value = made[k % 5]()
+        words = text.split(" ")
+        head = " ".join(words[: len(words) // 2]) + " " + before
+        whole = head + value + ('" ' if before.endswith('"') else " ") + " ".join(words[len(words) // 2 :])
+        got = [s for s in f.spans(whole) if not any(a <= s[0] and s[2] <= b for a, _, b in secrets.base_spans(whole))]
+        found += any(a <= len(head) and len(head) + len(value) <= b for a, _, b in got)
+        spans += len(got)
+    assert found == len(rows) and spans <= 1.05 * found
