@@ -10,7 +10,7 @@ from folioscope.llm.decontaminate import without_contaminated
 from folioscope.llm.jaccard_join import MAX_SENT, jaccard_components
 from folioscope.llm.packing import pack
 from folioscope.llm.pii import pseudonymise
-from folioscope.llm.queries import WORD_BPE
+from folioscope.llm.queries import WORD_BPE, pseudonym_key
 from folioscope.llm.toxicity import without_toxic
 
 
@@ -33,7 +33,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by pseudonyms."""
-    return pseudonymise(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return pseudonymise(docs, key=pseudonym_key(spark)).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
