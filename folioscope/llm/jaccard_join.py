@@ -42,11 +42,11 @@ LOCAL, HOT = 3, 48
 #: At most so many of the most frequent shingles are ordered last (the rest keep their place by hash).
 MAX_HOT = 1_000_000
 #: A slice of a region: members, shingles.
-SLICE, SLICE_WEIGHT = 128, 1_000_000
+SLICE, SLICE_WEIGHT = 256, 1_000_000
 #: Bytes of window entries in one range of hashes.
 RANGE = 32 << 20
 #: Nodes that may be broadcast; beyond it a shuffled join takes their place.
-MAX_SENT = 500_000
+MAX_SENT = 1_000_000
 
 
 PROFILE = ["doc_id", "row", "key", "n", "hash", "count"]
@@ -69,13 +69,29 @@ def code_reach(percent: int) -> int:
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Counts of the shingles by the first bits of their hashes, as many classes as leave four to eight in each.
+    """Counts of the shingles by the first bits of their hashes, as many classes as leave two to four in each.
 
     The sum of absolute differences of two sketches (the finer one folded) is at most the size of the sets' symmetric
     difference: a lower bound of distance, as distances to common pivots give.
     """
-    bits = max(3, (len(shingles) - 1).bit_length() - 3)
-    return np.minimum(np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 65535).astype(np.uint16)
+    bits = max(3, (len(shingles) - 1).bit_length() - 2)
+    return np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """A sketch in half a byte for each class; in four bytes if one of them is too large, which evenly spread hashes hardly ever give."""
+    if counts.max() > 15:
+        return counts.astype(np.uint32).tobytes()
+    pairs = counts.astype(np.uint8).reshape(-1, 2)
+    return (pairs[:, 0] | pairs[:, 1] << 4).tobytes()
+
+
+def unpacked(sketch: bytes, n: int) -> np.ndarray:
+    """The packed sketch of a set of n."""
+    if len(sketch) > 1 << max(3, (n - 1).bit_length() - 2):
+        return np.frombuffer(sketch, np.uint32)
+    pairs = np.frombuffer(sketch, np.uint8)
+    return np.stack((pairs & 15, pairs >> 4), 1).ravel()
 
 
 def _coarser(x: np.ndarray, width: int) -> np.ndarray:
@@ -335,7 +351,7 @@ def _sketched_pairs(percent: int):
     def run(batches):
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("n", "sketch", "pivot_n", "pivot_sketch")]
-            keep = [may_link(np.frombuffer(a, np.uint16), na, np.frombuffer(b, np.uint16), nb, percent) for na, a, nb, b in zip(*cols, strict=True)]
+            keep = [may_link(unpacked(a, na), na, unpacked(b, nb), nb, percent) for na, a, nb, b in zip(*cols, strict=True)]
             yield batch.select(["node", "pivot"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -348,7 +364,7 @@ def _sketched_regions(percent: int):
         m = len(rows)
         size = np.array([r[4] for r in rows])
         group = np.array([r[3] for r in rows])
-        sketches = [np.frombuffer(r[5], np.uint16) for r in rows]
+        sketches = [unpacked(r[5], r[4]) for r in rows]
         width = np.array([len(x) for x in sketches])
         order = np.argsort(size, kind="stable")
         keep = np.zeros(m, dtype=bool)
@@ -467,7 +483,7 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 75, row: s
 
     def with_sets(batches):
         for _, keys, sets in _chunks(batches, n):
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "sketch", "shingles"])
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([packed(sketch(s)) if len(s) else b"" for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "sketch", "shingles"])
 
     # a doc_id may stand for several texts: a node is taken once, and only if it is needed
     sets = materialised(text.join(one, text["doc_id"].eqNullSafe(one["doc_id"]), "left_semi").mapInArrow(lean(with_sets), "node long, n long, sketch binary, shingles binary"), "sets")
