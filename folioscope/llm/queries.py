@@ -8,13 +8,17 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioscope.llm import sql
+from folioscope.llm.centroids import clusters_with_inertia
 from folioscope.llm.common import table
 from folioscope.llm.decontaminate import contamination
 from folioscope.llm.divergence import quality
+from folioscope.llm.exact_dedup import exact_duplicates
 from folioscope.llm.html_text import extract
 from folioscope.llm.jaccard_join import jaccard_components
+from folioscope.llm.merkle import FIELDS, folded, leaf_hash, manifest, proof_text
 from folioscope.llm.packing import pack
 from folioscope.llm.pii import pseudonymise
 from folioscope.llm.secrets import scan
@@ -75,8 +79,28 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), block=BLOCK, allow=ALLOW).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, leaf_hash(*(lowered if f == "text" else F.col(f) for f in FIELDS)))
+    found = manifest(table(spark, sf_dir, "documents"), carry={"tampered": tampered})
+    found = found.select("doc_id", "leaf", "subroot", "root", F.sha2(proof_text(F.col("proof")), 256).alias("proof_sha256"), folded(F.coalesce("tampered", "leaf"), F.col("proof")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters_with_inertia(table(spark, sf_dir, "embeddings"), n=64, k=8, rounds=10, scale=1024, start="3:")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_token_counts, op3_decontaminate, op4_html_text, op5_divergence, op6_jaccard_join, op7_packing, op8_secrets, op9_toxicity, op10_url_templates)
-}
+    f.__name__: f
+    for f in (
+        op1_pii, op2_token_counts, op3_decontaminate, op4_html_text, op5_divergence, op6_jaccard_join, op7_packing, op8_secrets, op9_toxicity, op10_url_templates, op11_merkle_manifest, op12_exact_dedup,
+        op13_centroids,
+    )
+}
 ORACLES: dict[str, str] = dict(sql.ORACLES)
 
