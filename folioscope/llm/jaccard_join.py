@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import lean, materialised, partitions, shingle_set, size_checked_broadcast, texts
+from folioscope.llm.common import lean, materialised, partitions, shingle_set, size_checked_broadcast, texts, with_row_keys
 
 #: Shingles gathered in a task before frequent ones are looked for.
 CHUNK = 1_000_000
@@ -458,10 +458,10 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 75, row: s
     An empty table gives an empty result.  A null doc_id counts as larger than all others within its class.
     """
     spark = docs.sparkSession
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(row) if row else F.lit(None)).cast("string").alias("row"), F.col("text").cast("string").alias("text"))
+    keyed = docs if row else with_row_keys(docs, "_jaccard_row")
+    text = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row or "_jaccard_row").cast("string").alias("row"), F.col("text").cast("string").alias("text"))
     profile = materialised(text.mapInArrow(lean(_profile(n)), "doc_id long, row string, key long, n long, hash long, count long"), "profile")
     known = profile.where("hash is null").select("doc_id", "row", F.col("key").alias("node"), "n")
-    text = text.drop("row")
     frequent = profile.where("hash is not null").groupBy("hash").agg(F.sum("count").alias("c"), F.min("key").alias("pivot")).where(F.col("c") >= HOT)
     hot = frequent.orderBy(F.desc("c"), "hash").limit(MAX_HOT).toPandas()
     table = (hot["hash"].to_numpy(np.int64).view(np.uint64), -np.arange(len(hot)), hot["pivot"].to_numpy(np.int64))
@@ -470,23 +470,23 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 75, row: s
 
     total = known.agg(F.sum("n")).first()[0] or 0
     ranges = max(partitions(spark), int(total * 4 // RANGE) + 1)  # a window has a fourth of the shingles, with 16 bytes each
-    cells = text.mapInArrow(lean(_cells(n, percent, ranges, hot)), "r int, hashes binary, keys binary, pivots binary")
+    cells = text.drop("row").mapInArrow(lean(_cells(n, percent, ranges, hot)), "r int, hashes binary, keys binary, pivots binary")
     members = materialised(cells.repartitionById(ranges, F.col("r")).mapInArrow(lean(_members(percent)), "cell long, node long, pivot long"), "cells")
 
     # home regions: the pivot that a node meets most often
     met = members.where("node != pivot").groupBy("node", "pivot").count()
     homes = met.groupBy("node").agg(F.max_by("pivot", F.struct("count", -F.col("pivot"))).alias("pivot"))
-    sizes = known.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
+    sizes = known.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.min("row").alias("row"))
     nodes = members.select("node").union(members.select("pivot")).distinct()
     needed = materialised(sizes.join(nodes, "node"), "nodes")
-    one = size_checked_broadcast(needed.select("doc_id"), MAX_SENT)
+    one = size_checked_broadcast(needed.select("row"), MAX_SENT)
 
     def with_sets(batches):
         for _, keys, sets in _chunks(batches, n):
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([packed(sketch(s)) if len(s) else b"" for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "sketch", "shingles"])
 
-    # a doc_id may stand for several texts: a node is taken once, and only if it is needed
-    sets = materialised(text.join(one, text["doc_id"].eqNullSafe(one["doc_id"]), "left_semi").mapInArrow(lean(with_sets), "node long, n long, sketch binary, shingles binary"), "sets")
+    # one row of each node that is needed: copies and repeated rows must not meet in a region
+    sets = materialised(text.join(one, "row", "left_semi").select("doc_id", "text").mapInArrow(lean(with_sets), "node long, n long, sketch binary, shingles binary"), "sets")
     sizes = needed.select("node", "n")
     sketches, shingles = sets.select("node", "n", "sketch"), sets.select("node", "shingles")
     of_pivot = sketches.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch"))
@@ -514,8 +514,9 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 75, row: s
     several = owner.where("class is not null").groupBy("class").agg(first.alias("first"), F.count("*").alias("_m")).where("_m > 1").drop("_m")
     several = materialised(several, "firsts")
     out = owner.join(size_checked_broadcast(several, MAX_SENT), "class", "left")
-    chosen = F.col("first").isNull() | (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & F.col("first.row").eqNullSafe(F.col("row")))
-    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"), chosen.alias("representative"))
+    chosen = F.col("first").isNull() | F.col("first.doc_id").eqNullSafe(F.col("doc_id"))
+    chosen, named = (chosen & (F.col("first").isNull() | (F.col("first.row") == F.col("row"))), F.col("row")) if row else (chosen, F.lit(None).cast("string"))
+    return out.select("doc_id", named.alias("row"), F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"), chosen.alias("representative"))
 
 
 def _blocks(window: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -353,6 +353,18 @@ def test_toxicity_without_labels(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+@pytest.mark.parametrize("keyed", [False, True])
+def test_a_thousand_repeats_of_linked_rows(spark, keyed):
+    words = [f"w{i}" for i in range(300)]
+    near, other = " ".join(words), " ".join([*words[:-3], "x", "y", "z"])
+    rows = [(7, near)] * 1_000 + [(3, other)] * 1_000 + [(9, "something else"), (9, near)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_row", F.monotonically_increasing_id())
+    found = jaccard_join.jaccard_components(table, row="_row" if keyed else None).collect()
+    assert len(found) == len(rows) and sorted({(r.doc_id, r.component_id) for r in found}) == [(3, 3), (7, 3), (9, 3), (9, 9)]
+    kept = [r for r in found if r.representative]
+    assert len(kept) == (2 if keyed else 1_001) and {r.doc_id for r in kept} == {3, 9}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
