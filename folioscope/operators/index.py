@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import with_tokens
-from folioscope.storage import materialised, put_in_place
-
-#: Raised whenever the tokenizer's results change; a stored index of another version is built anew.
-TOKENIZER_VERSION = 2
 
 
 @dataclass(frozen=True)
@@ -26,10 +20,10 @@ class Index:
     stats: DataFrame
 
 
-def tokenised(pages: DataFrame, *, exact: bool = True) -> DataFrame:
+def tokenised(pages: DataFrame, *, exact: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """(slug, title_tokens, body_tokens) of pages (slug, title, body); the title field is title and slug."""
-    rows = pages.select("slug", F.concat_ws(" ", "title", "slug").alias("_title"), F.coalesce("body", F.lit("")).alias("_body"))
-    return with_tokens(rows, "_title", "title_tokens", exact=exact, body_tokens="_body").select("slug", "title_tokens", "body_tokens")
+    rows = pages.select("slug", *keep, F.concat_ws(" ", "title", "slug").alias("_title"), F.coalesce("body", F.lit("")).alias("_body"))
+    return with_tokens(rows, "_title", "title_tokens", exact=exact, body_tokens="_body").select("slug", *keep, "title_tokens", "body_tokens")
 
 
 def of_tokens(rows: DataFrame) -> Index:
@@ -48,7 +42,7 @@ def of_tokens(rows: DataFrame) -> Index:
 
 
 def build(pages: DataFrame, *, exact: bool = True) -> Index:
-    """Index of pages (slug, title, body), built whenever it is read; ``kept`` stores one."""
+    """Index of pages (slug, title, body), built whenever it is read; ``segments`` stores and updates one."""
     return of_tokens(tokenised(pages, exact=exact))
 
 
@@ -58,49 +52,21 @@ def merged(first: Index, second: Index) -> Index:
     return Index(first.postings.unionByName(second.postings), first.lengths.unionByName(second.lengths), first.df.union(second.df).groupBy("term").agg(F.sum("df").alias("df")), stats)
 
 
+def fingerprint(files: DataFrame) -> str:
+    """One digest of (path, modificationTime, length) of all page files, whatever their order."""
+    row = files.select(F.xxhash64("path", F.col("modificationTime").cast("long"), "length").cast("decimal(38,0)").alias("h")).agg(F.count("*").alias("n"), F.sum("h").alias("s")).first()
+    return f"{row['n']}:{row['s'] or 0}"
+
+
 def store(index: Index, path: str, *, fingerprint: str, buckets: int = 32) -> None:
-    """Writes the index as Parquet, each term in one file and files in order of terms, so a lookup reads few row groups.
+    """Writes an index as the only segment of a new version; see ``segments``."""
+    from folioscope.operators import segments
 
-    All is written beside the place it takes in the end, so readers see the old index or the new one.
-    """
-    spark = index.postings.sparkSession
-    temporary = f"{path}.{uuid.uuid4().hex}"
-    index.postings.repartition(buckets, "term").sortWithinPartitions("term").write.parquet(f"{temporary}/postings")
-    index.lengths.write.parquet(f"{temporary}/lengths")
-    written = spark.read.parquet(f"{temporary}/postings")
-    written.groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.parquet(f"{temporary}/df")
-    index.stats.coalesce(1).write.parquet(f"{temporary}/stats")
-    meta = spark.createDataFrame([(TOKENIZER_VERSION, fingerprint)], "tokenizer_version int, fingerprint string")
-    meta.coalesce(1).write.parquet(f"{temporary}/meta")
-    put_in_place(spark, temporary, path)
+    segments.store(index, path, fingerprint=fingerprint, buckets=buckets)
 
 
 def stored(spark, path: str, *, fingerprint: str) -> Index | None:
-    """The stored index if it is of this tokenizer and fingerprint, else None."""
-    try:
-        meta = spark.read.schema("tokenizer_version int, fingerprint string").parquet(f"{path}/meta").first()
-    except AnalysisException:  # nothing is stored there
-        return None
-    if meta is None or meta["tokenizer_version"] != TOKENIZER_VERSION or meta["fingerprint"] != fingerprint:
-        return None
-    schemas = "term string, slug string, title_tf long, body_tf long, title_len long, body_len long", "slug string, title_len long, body_len long", "term string, df long", "n long, avg_title double, avg_body double"
-    return Index(*(spark.read.schema(s).parquet(f"{path}/{part}") for s, part in zip(schemas, ("postings", "lengths", "df", "stats"), strict=True)))
-
-
-def kept(pages: DataFrame, path: str, *, fingerprint: str) -> Index:
-    """The stored index, built first where there is none of this fingerprint; the texts are cut once."""
-    spark = pages.sparkSession
-    found = stored(spark, path, fingerprint=fingerprint)
-    if found is None:
-        cores = spark.sparkContext.defaultParallelism
-        buckets = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        # a page's tokens are dealt out whole: its terms are then counted where they are, and go to their terms' files at once
-        store(of_tokens(materialised(tokenised(pages), "tokens").repartition(buckets, "slug")), path, fingerprint=fingerprint, buckets=buckets)
-        found = stored(spark, path, fingerprint=fingerprint)
-    return found
-
+    """The stored index if it is of this tokenizer and fingerprint, else None; see ``segments``."""
+    from folioscope.operators import segments
 
-def fingerprint(files: DataFrame) -> str:
-    """One digest of (path, modificationTime, length) of all page files, whatever their order."""
-    row = files.select(F.xxhash64("path", F.col("modificationTime").cast("long"), "length").cast("decimal(38,0)").alias("h")).agg(F.count("*").alias("n"), F.sum("h").alias("s")).first()
-    return f"{row['n']}:{row['s'] or 0}"
+    return segments.stored(spark, path, fingerprint=fingerprint)

@@ -3,7 +3,7 @@
 
 def load() -> tuple[dict, dict]:
     """Queries and their SQL, by name."""
-    from folioscope.plans import analytics, registry, retrieval, surface
+    from folioscope.plans import analytics, registry, retrieval, surface, upkeep
 
-    assert analytics and retrieval and surface
+    assert analytics and retrieval and surface and upkeep
     return dict(registry.QUERIES), dict(registry.ORACLES)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import is_slug, snippet, with_tokens
-from folioscope.operators import index, ireval, rank
+from folioscope.operators import index, ireval, rank, segments
 from folioscope.plans import sqltext as S
 from folioscope.plans.registry import query
 from folioscope.storage import checked_broadcast, shared_dir, spread
@@ -40,11 +40,14 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.join(checked_broadcast(asked), "word").where(F.contains("body", F.col("q"))).select("qid", "slug")
 
 
+def index_place(spark: SparkSession, sf_dir: str) -> str:
+    return f"{shared_dir(spark)}/index-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+
+
 def built(spark: SparkSession, sf_dir: str) -> tuple[index.Index, DataFrame]:
-    """The index of the documents, stored in the shared folder until their files change, and the queries' terms."""
+    """The index of the documents, stored in the shared folder and brought up when their files change, and the queries' terms."""
     files = spark.read.format("binaryFile").load(f"{sf_dir}/documents.parquet").select("path", "modificationTime", "length")
-    place = f"{shared_dir(spark)}/index-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
-    return index.kept(pages(spark, sf_dir), place, fingerprint=index.fingerprint(files)), rank.query_terms(queries(spark, sf_dir))
+    return segments.kept(pages(spark, sf_dir), index_place(spark, sf_dir), fingerprint=index.fingerprint(files)), rank.query_terms(queries(spark, sf_dir))
 
 
 TOKENS = S.tokens("text")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,13 +33,51 @@ def materialised(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def put_in_place(spark: SparkSession, temporary: str, path: str) -> None:
-    """A folder that was written whole takes the place of another."""
-    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (temporary, path))
-    files = source.getFileSystem(spark._jsc.hadoopConfiguration())
+def _path(spark: SparkSession, path: str):
+    """A path and its file system."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def names_in(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Names and times of change (milliseconds) in a folder, in order; none where there is no folder."""
+    folder, files = _path(spark, path)
+    return sorted((x.getPath().getName(), x.getModificationTime()) for x in files.listStatus(folder)) if files.exists(folder) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file."""
+    file, files = _path(spark, path)
+    stream = files.open(file)
+    try:
+        scanner = spark._jvm.java.util.Scanner(stream, "UTF-8").useDelimiter("\\A")
+        return scanner.next() if scanner.hasNext() else ""
+    finally:
+        stream.close()
+
+
+def put_new_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Puts a small text file in place whole, unless there is one of this name already; False then."""
+    target, files = _path(spark, path)
+    temporary = spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{uuid.uuid4().hex}")
+    stream = files.create(temporary)
+    stream.write(text.encode())
+    stream.close()
+    gateway = spark.sparkContext._gateway
+    none = gateway.new_array(gateway.jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration()).rename(files.makeQualified(temporary), files.makeQualified(target), none)
+    except Py4JJavaError as e:
+        files.delete(temporary, False)
+        if "FileAlreadyExists" not in str(e.java_exception):
+            raise
+        return False
+    return True
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target, files = _path(spark, path)
     files.delete(target, True)
-    if not files.rename(source, target):
-        raise OSError(f"{temporary} can't be moved to {path}")
 
 
 def checked_broadcast(df: DataFrame, rows: int = MAX_SENT) -> DataFrame:
