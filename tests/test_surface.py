@@ -6,28 +6,63 @@ import subprocess
 import numpy as np
 from pyspark.sql import functions as F
 
+from folioscope.functions.shell import commands, matches_glob
 from folioscope.operators import corpora, duplicates, imports, index, logstats, rank, search, similar, toolcalls
 from folioscope.sources import git, logs, pages
 
 
-def test_shell_lines():
-    assert toolcalls.simple_commands("A=1 B=2 grep -E 'a|b' x && cd y\nls | wc; echo \"a;b\"") == [["grep", "-E", "a|b", "x"], ["cd", "y"], ["ls"], ["wc"], ["echo", "a;b"]]
-    assert toolcalls.simple_commands("cat <<E\nrm x") == [["cat"]]
-    assert toolcalls.simple_commands("it's a") == [["it's", "a"]]
-    assert toolcalls.simple_commands("A=1") == []
-
-
-def test_globs():
-    yes = [("*.md", "a.md"), ("**/*.md", "a.md"), ("**/*.md", "x/y/a.md"), ("a?.{md,txt}", "ab.txt"), ("**", "x/y"), ("{a", "{a")]
-    no = [("*.md", "x/a.md"), ("a?", "a/"), ("*.md", "a.mdx")]
-    assert all(toolcalls.glob_regex(g).match(p) for g, p in yes) and not any(toolcalls.glob_regex(g).match(p) for g, p in no)
-
-
-def test_scans_from_the_root_and_above():
-    judge = lambda name, given, root=None: toolcalls.judged(name, given, None, root, frozenset(["folioscope"]), "search")[2]
-    assert judge("Grep", {"path": "/p"}, "/p/q") and not judge("Grep", {"path": "/p/q/src"}, "/p/q") and judge("Grep", {"path": ".."}, "/p/q")
-    assert judge("Bash", {"command": "cd .memory && grep -n x a.md"}) and not judge("Bash", {"command": "grep x .memory_"[:8]})
-    assert judge("Bash", {"command": "find / -path '*/.memory/*'"}) and not judge("Bash", {"command": "find src -name '*.md'"}, "/p")
+def one(spark, make, *values):
+    """What a column of literals is for each value or tuple of values."""
+    return [spark.range(1).select(make(*(F.lit(x).cast("string") for x in (v if isinstance(v, tuple) else (v,)))).alias("x")).first()["x"] for v in values]
+
+
+def test_shell_lines(spark):
+    lines = {
+        "A=1 B=2 grep -E 'a|b' x && cd y\nls | wc; echo \"a;b\"": [["grep", "-E", "a|b", "x"], ["cd", "y"], ["ls"], ["wc"], ["echo", "a;b"]],
+        "cat <<E\nrm x": [["cat"]],
+        "it's a": [["it's", "a"]],
+        "A=1": [],
+        "": [],
+        "  ;; \n": [],
+        "ls # it's a note; rm x\ncat a#b": [["ls"], ["cat", "a#b"]],
+        "echo 'it'\"'\"'s' \"a \\\"b\\\" c\" d\\ e": [["echo", "it's", 'a "b" c', "d e"]],
+        "grep '' . 2>/dev/null || true": [["grep", "", ".", "2", ">", "/dev/null"], ["true"]],
+        "(cd x && ls) & find . \\( -name 'a b' \\)": [["cd", "x"], ["ls"], ["find", ".", "(", "-name", "a b", ")"]],
+        "say \"it's; fine | here": [["say", '"it\'s;', "fine"], ["here"]],
+        "x='a;b' y": [["y"]],
+    }
+    assert one(spark, commands, *lines) == list(lines.values())
+    assert one(spark, commands, None) == [[]]
+    long = "echo " + "'quoted' word\\ more; " * 50_000
+    assert one(spark, lambda c: F.size(commands(c)), long) == [50_000]
+
+
+def test_globs(spark):
+    yes = [("*.md", "a.md"), ("**/*.md", "a.md"), ("**/*.md", "x/y/a.md"), ("a?.{md,txt}", "ab.txt"), ("**", "x/y"), ("{a", "{a"), ("a.b", "a.b"), ("{x\\E,y}", "x\\E"), ("(a)+", "(a)+")]
+    no = [("*.md", "x/a.md"), ("a?", "a/"), ("*.md", "a.mdx"), ("a.b", "axb"), ("", "a")]
+    assert all(one(spark, lambda g, p: matches_glob(p, g), *yes)) and not any(one(spark, lambda g, p: matches_glob(p, g), *no))
+
+
+def judged(spark, cases):
+    """(is_search, is_edit, scans, reads) of calls (name, input, root or error)."""
+    rows = [(i, name, given, *(rest if rest else (None,))) for i, (name, given, *rest) in enumerate(cases)]
+    found = toolcalls.classified(spark.createDataFrame([(*r, None) for r in rows], "i int, name string, input map<string,string>, root string, error boolean"), search_tool="search").orderBy("i").collect()
+    return ["".join(x for x, f in zip("sewr", (r.is_search, r.is_edit, r.scans, r.reads)) if f) for r in found]
+
+
+def test_scans_from_the_root_and_above(spark):
+    sh = lambda line: ("Bash", {"command": line})
+    cases = [
+        (("Grep", {"path": "/p"}, "/p/q"), "w"), (("Grep", {"path": "/p/q/src"}, "/p/q"), ""), (("Grep", {"path": ".."}, "/p/q"), "w"), (("Grep", {"path": "../q/./x/.."}, "/p/q"), "w"), (("Grep", {"path": ".."}), ""),
+        (sh("cd .memory && grep -n x a.md"), "w"), (sh("grep x .memory_"[:8]), ""), (sh("find / -path '*/.memory/*'"), "w"), ((*sh("find src -name '*.md'"), "/p"), ""), ((*sh("find /p -name '*.md' -print"), "/p"), "w"),
+        (sh("cd .memory; cd ..; cat a"), ""), (sh("cd .memory; cat a; find . -name '*.py'"), "r"), (sh("grep -rl x"), "w"), (sh("grep -l x"), ""), (sh("grep -e r -e .memory src"), ""), (sh("grep --regexp=x .memory"), "w"),
+        (sh("rg x"), ""), (sh("rg -uu x"), "w"), (sh("git grep x -- .memory"), "w"), (sh("git grep x .memory"), "w"), (sh("git grep .memory"), ""), (sh("echo 'grep -r x .'"), ""), (sh("X=1 folioscope search y | sed -n 1p .memory/a.md"), "sr"),
+        (("search", {}), "s"), ((None, None), ""), (("Edit", {"file_path": "a/.memory/x"}), ""), (("Edit", {"notebook_path": "n"}), "e"), (("Read", {"file_path": ".memory/a"}), "r"), (("LS", {"path": "."}), ""), (("LS", {"path": ".memory"}), "w"),
+        (("Glob", {"pattern": "**/*.md"}), "w"), (("Glob", {"pattern": "*.md"}), ""), (("Glob", {}), "w"), (("Grep", {"glob": "*.md"}), "w"), (("Grep", {"glob": "src/*.md"}), ""), (("Grep", {"type": "py"}), ""), (("Grep", {"pattern": ".memory", "path": "src"}), ""),
+    ]
+    assert judged(spark, [c for c, _ in cases]) == [want for _, want in cases]
+    plan = toolcalls.classified(spark.createDataFrame([], "name string, input map<string,string>, error boolean"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_imports(spark):
