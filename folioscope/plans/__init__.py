@@ -3,7 +3,7 @@
 
 def load() -> tuple[dict, dict]:
     """Queries and their SQL, by name."""
-    from folioscope.plans import analytics, calls, registry, retrieval, surface, upkeep
+    from folioscope.plans import analytics, calls, pairs, registry, retrieval, surface, upkeep
 
-    assert analytics and calls and retrieval and surface and upkeep
+    assert analytics and calls and pairs and retrieval and surface and upkeep
     return dict(registry.QUERIES), dict(registry.ORACLES)
