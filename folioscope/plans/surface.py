@@ -422,6 +422,9 @@ def _code(spark, sf_dir):
     python = text("import os, src.p", n(3, 4), ".m", n(3, 0), "\nfrom . import m", n(12, 0), ", helper\nfrom nowhere import thing\n")
     script = text("import React from 'react';\nimport {a} from \"./t", n(3, 0), "\";\nexport * from './t", n(6, 0), ".ts';\nconst x = require('../no/where');\n")
     rust = text("pub mod r", n(99999999, 0), ";\nuse crate::r", n(3, 0), "::{self, Thing};\nuse std::fmt;\n")
+    # the documents' own texts stand in comments before and after the statements
+    prose = lambda mark: F.concat(F.lit(mark), F.replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\p{Cntrl}&&[^\n]]", " "), F.lit("\n"), F.lit("\n" + mark)), F.lit("\n"))
+    python, script, rust = (F.concat(prose(mark), own, prose(mark)) for mark, own in (("# ", python), ("// ", script), ("// ", rust)))
     path = F.when(i % 3 == 0, text("src/p", n(0, 4), "/m", n(0, 0), ".py")).when(i % 3 == 1, text("web/t", n(0, 0), ".ts")).otherwise(text("src/r", n(0, 0), ".rs"))
     return read(spark, sf_dir, "documents").select(path.alias("path"), F.when(i % 3 == 0, python).when(i % 3 == 1, script).otherwise(rust).alias("text"))
 

@@ -80,6 +80,21 @@ def test_imports(spark):
     assert {r["language"]: (r["seen"], r["resolved"]) for r in seen.collect()} == {"python": (6, 5), "ts/js": (5, 4), "rust": (6, 4)}
 
 
+def test_imports_in_odd_places(spark):
+    rows = {
+        "a.py": "from b.c import *\nif x:\n    import b.c as q, nowhere\ntext = 'import d'\n", "b/__init__.py": "from ...up import y\nfrom . import c\n", "b/c.py": None, "d.py": "", "src/d.py": "", "up.py": "", "e.py": "import d",
+        "w/x.mjs": "import{a}from'./y';export{b}from \"../w/z.jsx\";import type {T} from './t';a.require('./no');const q=await import( './y' );import '../../out'", "w/y.js": "", "w/y.ts": "", "w/z.jsx": "", "w/t/index.tsx": "", "out.js": "",
+        "src/main.rs": "pub mod a;\n    use crate::a::b::Thing;\nuse crate::{a, c};\nuse std::fmt;\nuse crate::a::*;\nmod inline { }\n", "src/a.rs": "use self::b::X;\nuse super::c::{self, d::E};", "src/a/b.rs": "", "src/c/mod.rs": "", "none.txt": "import a",
+    }
+    found, seen = imports.edges(spark.createDataFrame(list(rows.items()), "path string, text string"))
+    assert sorted((r["src"], r["dst"]) for r in found.collect()) == sorted([
+        ("a.py", "b/c.py"), ("b/__init__.py", "b/c.py"), ("b/__init__.py", "up.py"), ("e.py", "d.py"),
+        ("w/x.mjs", "w/y.ts"), ("w/x.mjs", "w/z.jsx"), ("w/x.mjs", "w/t/index.tsx"),
+        ("src/main.rs", "src/a.rs"), ("src/main.rs", "src/a/b.rs"), ("src/main.rs", "src/c/mod.rs"), ("src/a.rs", "src/a/b.rs"), ("src/a.rs", "src/c/mod.rs"),
+    ])
+    assert {r["language"]: (r["seen"], r["resolved"]) for r in seen.collect()} == {"python": (5, 5), "ts/js": (5, 4), "rust": (5, 5)}
+
+
 def test_search_surface(spark):
     long = "words and words " * 20
     own = spark.createDataFrame([("a", "Tab", "tab " + long, "2024", "", None, ["src/x.py"]), ("b", "Other", "tab tab", "2025", "", None, []), ("c", "Third", long, "", "2023", "a", ["src/ui/y.py"])], "slug string, title string, body string, updated string, created string, superseded_by string, sources array<string>")
