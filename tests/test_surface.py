@@ -1,13 +1,15 @@
 """Search output, tool calls, imports, duplicates, corpora, sources that git and logs are."""
 
 import json
+import os
 import subprocess
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from folioscope.functions.shell import commands, matches_glob
-from folioscope.operators import corpora, duplicates, imports, index, logstats, rank, search, similar, toolcalls
+from folioscope.functions.text import path_key
+from folioscope.operators import corpora, duplicates, freshness, imports, index, logstats, rank, search, similar, toolcalls
 from folioscope.sources import git, logs, pages
 
 
@@ -160,6 +162,37 @@ def test_git(spark, tmp_path):
     assert [r["path"] for r in git.commits(spark, str(tmp_path / "src")).collect()] == ["é.py"]
 
 
+def test_git_history_in_ranges(spark, tmp_path):
+    run = lambda *w, at=1_600_000_000: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=x", "-c", "user.email=x@x", *w], check=True, capture_output=True, env=os.environ | {"GIT_COMMITTER_DATE": f"{at} +0000"})
+    run("init", "-b", "main")
+    (tmp_path / "pages").mkdir()
+    names = ["pages/a.md", "b c.py", "e\u0301.py", "d\"q.py"]
+    for i in range(40):
+        name = names[i % 4] if i < 30 else "busy.py"
+        (tmp_path / name).write_text(str(i))
+        run("add", ".")
+        run("commit", "-m", str(i), at=1_600_000_000 + i)
+    run("checkout", "-b", "side", "HEAD~5")
+    (tmp_path / "side.py").write_text("s")
+    run("add", ".")
+    run("commit", "-m", "side", at=1_600_000_050)
+    run("checkout", "main")
+    run("merge", "--no-ff", "side", "-m", "merge", at=1_600_000_060)
+    whole = git.commits(spark, str(tmp_path), step=7)
+    assert whole.rdd.getNumPartitions() == 6
+    want = {"pages/a.md": 28, "b c.py": 29, "\u00e9.py": 26, "d\"q.py": 27, "busy.py": 39, "side.py": 50}
+    assert {r.path: r.ct - 1_600_000_000 for r in freshness.last_commits(whole).collect()} == want
+    assert whole.where("path = 'busy.py'").count() == 10 and whole.where(F.col("path").isin("\u00e9.py", "none")).count() == 7
+    assert [r.path for r in git.commits(spark, str(tmp_path / "pages")).distinct().select("path").distinct().collect()] == ["a.md"]
+    wanted = spark.createDataFrame([(p,) for p in ["busy.py", "b c.py", "never.py", None]], "path string")
+    assert {r.path: r.ct - 1_600_000_000 for r in git.newest(spark, str(tmp_path), wanted, first=4).collect()} == {"busy.py": 39, "b c.py": 29}
+    assert git.newest(spark, str(tmp_path / "none"), wanted) is None
+    pages = spark.createDataFrame([("a", "pages/a.md", 0.0)], "slug string, path string, mtime double")
+    cited = spark.createDataFrame([("a", p) for p in ["busy.py", "\u00e9.py", "b c.py", "gone.py"]], "slug string, source string")
+    files = git.tracked_files(spark, str(tmp_path)).select(path_key("path").alias("path"))
+    assert [tuple(r) for r in freshness.drift(pages, cited, whole, files).collect()] == [("a", ["b c.py", "busy.py"], ["gone.py"])]
+
+
 def test_corpora(spark):
     own = spark.createDataFrame([(i, f"p{i}", f"Title {i}", "body") for i in range(10)], "place long, slug string, title string, body string")
     made = corpora.stubs(own)
