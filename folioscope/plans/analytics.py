@@ -73,7 +73,7 @@ def searched_not_wrote(spark, sf_dir):
 
 # --- similarity ------------------------------------------------------------------------------
 
-_SETS = f"s_ AS (SELECT item_id AS id, list_distinct({S.tokens('text')}) AS t FROM benchmark UNION ALL SELECT 1000000 + conv_id * 1000 + turn, list_distinct({S.tokens('text')}) FROM conversations WHERE role = 'user')"
+_SETS = f"s_ AS (SELECT item_id AS id, list_distinct({S.tokens('text')}) AS t FROM benchmark UNION ALL SELECT 1000000 + conv_id * 1000 + turn, list_distinct({S.tokens('text')}) FROM conversations)"
 
 
 def _sets(spark, sf_dir):

@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import re
 import stat
-import uuid
 from pathlib import Path
 
 import pandas as pd
@@ -13,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioscope.sources import sink
+
 FOLDER, ENVIRONMENT = ".memory", "FOLIOSCOPE_DIR"
 MANAGED = ("slug", "title", "kind", "created", "updated", "status", "superseded_by")
 LISTS = ("sources", "supersedes")
@@ -144,23 +145,12 @@ def exported(pages: DataFrame) -> Column:
 
 
 def write_pages(pages: DataFrame, store: str, text: Column | None = None) -> None:
-    """One file per page, each put in place whole.  The folder must be one that executors share.
+    """One file per page, each put in place whole once all are written; see ``sink``.  The folder must be one that executors share.
 
-    text: what is written of a page, by default ``rendered``.
+    text: what is written of a page, by default ``rendered``.  Slugs must differ; of equal ones any stays.
     """
-    rows = pages.select("slug", (rendered(pages) if text is None else text).alias("text"))
-
-    def put(part) -> None:
-        os.makedirs(store, exist_ok=True)
-        for r in part:
-            if "/" in r["slug"] or r["slug"].startswith("."):
-                raise ValueError(f"not a slug: {r['slug']}")
-            temporary = os.path.join(store, f".{r['slug']}.{uuid.uuid4().hex}")
-            with open(temporary, "w", encoding="utf-8") as f:
-                f.write(r["text"])
-            os.replace(temporary, os.path.join(store, f"{r['slug']}.md"))
-
-    rows.foreachPartition(put)
+    sink.use(pages.sparkSession)
+    pages.select("slug", (rendered(pages) if text is None else text).alias("text")).write.format("page_files").mode("append").save(store)
 
 
 def current(pages: DataFrame) -> DataFrame:
