@@ -34,10 +34,14 @@ def matches(index: Index, pages: DataFrame, queries: DataFrame, wanted: DataFram
     return rows.withColumns({"touching": F.coalesce("touching", _empty()), "score": rank.demoted(F.col("score"), F.col("superseded_by"))})
 
 
-def hits(found: DataFrame, k: int = 10) -> DataFrame:
-    """The first k hits of each query by the total order, replacements lifted; thin pages are none."""
-    ranked = rank.top(found.where(~F.col("thin")), None, rank.total_order())
-    return rank.lifted(ranked, k).drop("rank").withColumnRenamed("lifted", "rank").select("qid", "rank", "slug", "score", "updated", "superseded_by", "touching")
+def hits(found: DataFrame, k: int = 10, roots: DataFrame | None = None) -> DataFrame:
+    """The first k hits of each query by the total order, replacements lifted; thin pages are none.
+
+    roots: ``rank.tree_roots`` of the pages; without them they are taken from the hits' own pointers.
+    """
+    thick = found.where(~F.col("thin"))
+    roots = rank.tree_roots(thick.select("slug", "superseded_by").distinct()) if roots is None else roots
+    return rank.lifted_top(thick, k, rank.total_order(), roots).drop("rank").withColumnRenamed("lifted", "rank").select("qid", "rank", "slug", "score", "updated", "superseded_by", "touching")
 
 
 def skipped(found: DataFrame) -> DataFrame:

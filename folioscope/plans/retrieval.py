@@ -156,9 +156,9 @@ SELECT qid, lifted AS rank, slug, score FROM (SELECT qid, slug, round(score, 6)
 @query("superseded_topk", _LIFT)
 def superseded_topk(spark, sf_dir):
     """Demotion of superseded pages, the total order, the lift over all hits along whole chains, then the cut."""
-    scored = rank.bm25f(*built(spark, sf_dir)).join(superseded(spark, sf_dir), "slug").withColumn("score", rank.demoted(F.col("score"), F.col("superseded_by"))).withColumn("touched", F.lit(False))
-    hits = rank.top(scored, None, rank.total_order())
-    return rank.lifted(hits, 10).select("qid", F.col("lifted").alias("rank"), "slug", F.round("score", 6).alias("score"))
+    pointers = superseded(spark, sf_dir)
+    scored = rank.bm25f(*built(spark, sf_dir)).join(pointers, "slug").withColumn("score", rank.demoted(F.col("score"), F.col("superseded_by"))).withColumn("touched", F.lit(False))
+    return rank.lifted_top(scored, 10, rank.total_order(), rank.tree_roots(pointers)).select("qid", F.col("lifted").alias("rank"), "slug", F.round("score", 6).alias("score"))
 
 
 @query("path_touch", r"""WITH p_ AS (SELECT page_id, 'page-' || page_id AS slug, regexp_replace(regexp_replace(url, '^[^:]*://', ''), '[?#].*$', '') AS source FROM pages),

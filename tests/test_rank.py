@@ -126,6 +126,18 @@ def test_metrics(spark):
     assert {r["type"]: r["n"] for r in ireval.by_type(ireval.metrics(q, ranked, rel), kinds).collect()} == {"all": 3, "k": 1, "other": 2}
 
 
+def test_lift_of_the_first_trees_equals_that_of_all_hits(spark):
+    r = random.Random(12)
+    up = {f"s{i}": r.choice([None, "", f"s{i}", f"s{r.randrange(60)}", f"s{i + 1}", "gone"]) for i in range(60)}
+    rows = [(q, s, round(r.random(), 1), up[s], r.random() < 0.1, str(r.randrange(3))) for q in range(6) for s in up if r.random() < (1.0 if q == 0 else 0.6)]
+    hits = spark.createDataFrame(rows, "qid int, slug string, score double, superseded_by string, touched boolean, updated string")
+    roots = rank.tree_roots(spark.createDataFrame(list(up.items()), "slug string, superseded_by string"))
+    for k in (1, 4, 100):
+        want = rank.lifted(rank.top(hits, None, rank.total_order()), k).select("qid", "lifted", "slug").collect()
+        assert sorted(rank.lifted_top(hits, k, rank.total_order(), roots).select("qid", "lifted", "slug").collect()) == sorted(want)
+    assert rank.lifted_top(hits, 0, rank.total_order(), roots).count() == 0
+
+
 def test_index_is_stored_with_its_version(spark, tmp_path):
     ix = index.build(frame(spark))
     index.store(ix, str(tmp_path / "ix"), fingerprint="f1", buckets=2)
