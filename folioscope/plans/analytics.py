@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from folioscope.functions import stats as tests
@@ -10,7 +12,8 @@ from folioscope.operators import freshness, gate, graph, ireval, links, logstats
 from folioscope.plans import sqltext as S
 from folioscope.plans.registry import query
 from folioscope.plans.retrieval import built, read
-from folioscope.storage import checked_broadcast, spread
+from folioscope.storage import checked_broadcast, shared_dir, spread
+from folioscope.streaming import summary
 
 # --- the log: events, session = user, top = event type, misses = values under 1 ---------------
 
@@ -35,13 +38,34 @@ def repeats_6h(spark, sf_dir):
     return logstats.repeats(log(spark, sf_dir), 21600).select("line_no", "event", "repeat")
 
 
-@query("log_summary", f"""WITH {_LOG}, a_ AS (SELECT count(*) FILTER (event = 'view') AS searches, count(*) FILTER (event = 'view' AND value < 1) AS misses, count(*) FILTER (event = 'purchase') AS writes, count(*) FILTER (event = 'error') AS rejects,
+_SUMMARY = f"""WITH {_LOG}, a_ AS (SELECT count(*) FILTER (event = 'view') AS searches, count(*) FILTER (event = 'view' AND value < 1) AS misses, count(*) FILTER (event = 'purchase') AS writes, count(*) FILTER (event = 'error') AS rejects,
 count(DISTINCT session) AS sessions, count(DISTINCT CASE WHEN event = 'purchase' THEN session END) AS writing_sessions, count(*) FILTER (event = 'purchase') AS attributed_writes,
 coalesce(floor(quantile_cont(CASE WHEN event = 'purchase' THEN floor(value)::INT END, 0.5)), 0)::BIGINT AS median_chars FROM l_)
-SELECT *, round(misses / searches, 3) AS miss_rate, round(rejects / (writes + rejects), 3) AS reject_rate, round(attributed_writes / sessions, 3) AS writes_per_session FROM a_""")
+SELECT *, round(misses / searches, 3) AS miss_rate, round(rejects / (writes + rejects), 3) AS reject_rate, round(attributed_writes / sessions, 3) AS writes_per_session FROM a_"""
+
+
+_KINDS = {"search": "view", "write": "purchase", "reject": "error"}
+
+
+def _summed(spark, sf_dir):
+    return log(spark, sf_dir).withColumns({"hits": F.when(F.col("value") < 1, 0).otherwise(1), "chars": F.floor("value").cast("int")})
+
+
+@query("log_summary", _SUMMARY)
 def log_summary(spark, sf_dir):
-    rows = log(spark, sf_dir).withColumns({"hits": F.when(F.col("value") < 1, 0).otherwise(1), "chars": F.floor("value").cast("int")})
-    return logstats.summary(rows, search="view", write="purchase", reject="error")
+    return logstats.summary(_summed(spark, sf_dir), **_KINDS)
+
+
+@query("streamed_summary", _SUMMARY)
+def streamed_summary(spark, sf_dir):
+    """The whole log as a stream of files, a batch each, of which one comes twice; folded on the way."""
+    place = f"{shared_dir(spark)}/summary-{uuid.uuid4().hex}"
+    rows = _summed(spark, sf_dir).select("event", "session", "hits", "chars")
+    rows.repartition(5).write.parquet(f"{place}/log")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/log")
+    run = summary.adder(f"{place}/sums", every=2, **_KINDS)
+    source.writeStream.foreachBatch(lambda batch, n: (run(batch, n), run(batch, n))[0]).option("checkpointLocation", f"{place}/stream").trigger(availableNow=True).start().awaitTermination()
+    return summary.summary(spark, f"{place}/sums")
 
 
 @query("top_codes", f"WITH {_LOG} SELECT event AS code, count(*) AS n, min(line_no) AS first_line FROM l_ WHERE value < 1 GROUP BY event")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import is_slug, snippet, with_tokens
@@ -28,16 +28,34 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("q"))
 
 
+def _words(text: str) -> Column:
+    return F.filter(F.split(F.regexp_replace(text, r"\s+", " "), " "), lambda w: w != "")
+
+
+def containing(pages: DataFrame, asked: DataFrame) -> DataFrame:
+    """(qid, slug): pages (slug, body) that contain a query's whole text (qid, q), which has a word at least.
+
+    A query of three words or more has an inner one, which no page has cut: its longest is looked up among the pages' words. One
+    or two words may stand within longer ones: they are looked up by the first letters of the longer. What is found is compared.
+    """
+    asked = asked.withColumn("_w", _words("q")).where("size(_w) > 0")
+    longest = lambda words: F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    whole = asked.where("size(_w) > 2").select("qid", longest(F.slice("_w", F.lit(2), F.size("_w") - 2)).alias("word"))
+    cut = asked.where("size(_w) < 3").select("qid", F.substr(longest(F.col("_w")), F.lit(1), F.lit(rank.GRAM)).alias("gram"))
+    words = pages.select("slug", F.explode(F.array_distinct(_words("body"))).alias("word"))
+    found = words.join(checked_broadcast(whole), "word").select("qid", "slug")
+    if not cut.isEmpty():
+        grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("word") - n + 1)), lambda i: F.substr(F.col("word"), i, F.lit(n)))
+        pieces = words.select("word").distinct().select("word", F.explode(F.array_distinct(F.concat(*(grams(n) for n in range(1, rank.GRAM + 1))))).alias("gram"))
+        hit = pieces.join(checked_broadcast(cut), "gram").select("word", "qid").distinct()
+        found = found.union(words.join(hit, "word").select("qid", "slug"))
+    rows = found.distinct().join(checked_broadcast(asked.select("qid", "q")), "qid").join(pages.select("slug", "body"), "slug")
+    return rows.where(F.contains("body", F.col("q"))).select("qid", "slug")
+
+
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that contain a query's whole text.  Found by the words of the query that fewest pages have, then compared."""
-    own, asked = pages(spark, sf_dir), queries(spark, sf_dir)
-    words = lambda text: F.array_distinct(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "))
-    # the first and last word may be cut within one of the page's words, so an inner one is the key
-    inner = F.slice(F.split(F.trim(F.regexp_replace("q", r"\s+", " ")), " "), 2, F.greatest(F.lit(1), F.size(F.split(F.trim(F.regexp_replace("q", r"\s+", " ")), " ")) - 2))
-    key = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    asked = asked.select("qid", "q", key.alias("word"))
-    each = own.select("slug", "body", F.explode(words(F.col("body"))).alias("word"))
-    return each.join(checked_broadcast(asked), "word").where(F.contains("body", F.col("q"))).select("qid", "slug")
+    """Pages that contain a query's whole text."""
+    return containing(pages(spark, sf_dir), queries(spark, sf_dir))
 
 
 def index_place(spark: SparkSession, sf_dir: str) -> str:

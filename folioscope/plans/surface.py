@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import answer_form, has_phrase, path_key, source_key, title_of_slug, unquoted, with_tokens
 from folioscope.operators import corpora, duplicates, freshness, graph, imports, index, ireval, links, logstats, rank, search, sessions, similar, toolcalls
+from folioscope.plans import analytics
 from folioscope.plans import sqltext as S
 from folioscope.plans.analytics import _LOG, _TFIDF, _cosines, _wilson_sql, log
-from folioscope.plans.registry import query
+from folioscope.plans.registry import ORACLES, query
 from folioscope.plans.retrieval import SUPERSEDED, _top, built, pages, qrels, queries, read, superseded
 from folioscope.sources import pages as store
 from folioscope.storage import checked_broadcast, spread
@@ -440,10 +441,10 @@ def import_counts(spark, sf_dir):
     return imports.edges(_code(spark, sf_dir))[1]
 
 
-@query("graph_verdict", "SELECT CASE WHEN b THEN cap END AS cap, b AS build FROM (SELECT arg_min(cap, place) FILTER (passes) AS cap, bool_or(passes) AS b FROM (SELECT 0 AS place, 'inf' AS cap, false AS passes UNION ALL SELECT 1, '10', true UNION ALL SELECT 2, '5', true))")
+@query("graph_verdict", f"SELECT CASE WHEN b THEN cap END AS cap, b AS build FROM (SELECT arg_min(cap, place) FILTER (passes) AS cap, bool_or(passes) AS b FROM ({ORACLES['graph_probe']}))")
 def graph_verdict(spark, sf_dir):
-    """The first cap that passes, of one that doesn't and two that do."""
-    return graph.verdict(spark.createDataFrame([(0, "inf", False), (1, "10", True), (2, "5", True)], "place int, cap string, passes boolean"))
+    """The first cap of the probe that passes."""
+    return graph.verdict(analytics.graph_probe(spark, sf_dir))
 
 
 # --- duplicates ------------------------------------------------------------------------------
