@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.operators.index import Index, of_tokens, tokenised
-from folioscope.storage import MAX_SENT, checked_broadcast, materialised, names_in, put_new_text, read_text, remove
+from folioscope.storage import MAX_SENT, ROW_GROUP, checked_broadcast, materialised, names_in, put_new_text, read_text, remove
 
 #: Raised whenever the tokenizer's results change; a stored index of another version is built anew.
 TOKENIZER_VERSION = 2
 #: Segments of like size that may stand at the end before they are merged.
 FAN = 8
+#: Gone pages up to which their rows are looked for by name.
+FEW = 1_000
 
 POSTINGS = "term string, slug string, title_tf long, body_tf long, title_len long, body_len long"
 PAGES = "slug string, stamp long, title_len long, body_len long, terms array<string>"
@@ -135,12 +137,14 @@ def refresh(pages: DataFrame, path: str, *, fingerprint: str | None = None) -> d
             added = of_tokens(tokens.repartition(buckets, "slug"))
             _write_postings(added.postings, folder, buckets)
             size = lambda c: F.size(c).cast("long")
-            tokens.select("slug", "stamp", size("title_tokens").alias("title_len"), size("body_tokens").alias("body_len"), F.array_distinct(F.concat("title_tokens", "body_tokens")).alias("terms")).write.parquet(f"{folder}/pages")
+            tokens.select("slug", "stamp", size("title_tokens").alias("title_len"), size("body_tokens").alias("body_len"), F.array_distinct(F.concat("title_tokens", "body_tokens")).alias("terms")).sortWithinPartitions("slug").write.option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/pages")
             sums = _sums(spark.read.schema(PAGES).parquet(f"{folder}/pages"))
             df = spark.read.schema(POSTINGS).parquet(f"{folder}/postings").groupBy("term").agg(F.count("*").alias("df"))
             if by_segment:
                 gone.write.parquet(f"{folder}/gone")
-                left = _live(spark, before, "pages", PAGES, named=True).join(checked_broadcast(gone), ["segment", "slug"], "left_semi")
+                left, few = _live(spark, before, "pages", PAGES, named=True), gone.select("slug").limit(FEW + 1).collect()
+                left = left.where(F.col("slug").isin([r["slug"] for r in few])) if len(few) <= FEW else left  # reaches the files, which are sorted by slug
+                left = left.join(checked_broadcast(gone), ["segment", "slug"], "left_semi")
                 left = materialised(left, "left")
                 sums = tuple(a - b for a, b in zip(sums, _sums(left), strict=True))
                 df = df.unionByName(left.select(F.explode("terms").alias("term"), F.lit(-1).cast("long").alias("df"))).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
@@ -172,7 +176,7 @@ def merge(spark: SparkSession, path: str, number: int, version: dict, *, fan: in
     part = version | {"segments": [s for s in version["segments"] if s["folder"] in some]}
     folder, buckets = f"{path}/segments/{uuid.uuid4().hex}", _buckets(spark)
     _write_postings(_live(spark, part, "postings", POSTINGS), folder, buckets)
-    _live(spark, part, "pages", PAGES).write.parquet(f"{folder}/pages")
+    _live(spark, part, "pages", PAGES).sortWithinPartitions("slug").write.option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/pages")
     _df(spark, [s["folder"] for s in part["segments"]]).sortWithinPartitions("term").write.parquet(f"{folder}/df")
     first = min(i for i, s in enumerate(version["segments"]) if s["folder"] in some)
     rest = [s for s in version["segments"] if s["folder"] not in some]
