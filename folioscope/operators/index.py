@@ -12,12 +12,16 @@ from folioscope.functions.text import with_tokens
 
 @dataclass(frozen=True)
 class Index:
-    """postings (term, slug, title_tf, body_tf, title_len, body_len), lengths (slug, title_len, body_len), df (term, df), stats (one row)."""
+    """postings (term, slug, title_tf, body_tf, title_len, body_len), lengths (slug, title_len, body_len), df (term, df), stats (one row).
+
+    A stored index also has a column ``tier`` in its postings, and tiers (term, tier, n, most, flat); see ``topk``.
+    """
 
     postings: DataFrame
     lengths: DataFrame
     df: DataFrame
     stats: DataFrame
+    tiers: DataFrame | None = None
 
 
 def tokenised(pages: DataFrame, *, exact: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -49,7 +53,7 @@ def build(pages: DataFrame, *, exact: bool = True) -> Index:
 def merged(first: Index, second: Index) -> Index:
     """The index of two sets of different pages."""
     stats = first.stats.union(second.stats).agg(F.sum("n").alias("n"), *(F.coalesce(F.try_divide(F.sum(F.col("n") * F.col(c)), F.sum("n")), F.lit(1.0)).alias(c) for c in ("avg_title", "avg_body")))
-    return Index(first.postings.unionByName(second.postings), first.lengths.unionByName(second.lengths), first.df.union(second.df).groupBy("term").agg(F.sum("df").alias("df")), stats)
+    return Index(first.postings.drop("tier").unionByName(second.postings.drop("tier")), first.lengths.unionByName(second.lengths), first.df.union(second.df).groupBy("term").agg(F.sum("df").alias("df")), stats)
 
 
 def fingerprint(files: DataFrame) -> str:

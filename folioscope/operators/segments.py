@@ -10,8 +10,9 @@ A version is one small text file that is put in place whole and never replaced:
 and plans that are still running keep their segments. Of two writers one finds the next number taken and begins again on the
 other's result. ``vacuum`` removes what the last versions no longer name.
 
-Layout: ``versions/<number>.json``; ``segments/<name>/`` with ``postings`` (sorted by term, each term in one file), ``pages``
-(slug, stamp, lengths, distinct terms), ``df`` (signed), ``gone`` (segment, slug).
+Layout: ``versions/<number>.json``; ``segments/<name>/`` with ``postings`` (sorted by term and tier, each tier of a term in one
+file), ``tiers`` (rows and greatest weights of each; see ``topk``), ``pages`` (slug, stamp, lengths, distinct terms), ``df``
+(signed), ``gone`` (segment, slug).
 
 Pages have a slug each, title, body (null: empty) and may have ``stamp`` (long); else it is a hash of the three.
 """
@@ -26,22 +27,24 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.operators import topk
 from folioscope.operators.index import Index, of_tokens, tokenised
 from folioscope.storage import MAX_SENT, ROW_GROUP, checked_broadcast, materialised, names_in, put_new_text, read_text, remove
 
-#: Raised whenever the tokenizer's results change; a stored index of another version is built anew.
-TOKENIZER_VERSION = 2
+#: Raised whenever the tokenizer's results or the layout change; a stored index of another version is built anew.
+TOKENIZER_VERSION = 3
 #: Segments of like size that may stand at the end before they are merged.
 FAN = 8
 #: Gone pages up to which their rows are looked for by name.
 FEW = 1_000
 
-POSTINGS = "term string, slug string, title_tf long, body_tf long, title_len long, body_len long"
+POSTINGS = "term string, slug string, title_tf long, body_tf long, title_len long, body_len long, tier int"
+TIERS = "term string, tier int, n long, most double, flat double"
 PAGES = "slug string, stamp long, title_len long, body_len long, terms array<string>"
 DF = "term string, df long"
 GONE = "segment string, slug string"
 
-#: What a version says: its segments in order, each with its folder, pages, how many of them are gone; folders that list gone
+#: What a version says: its segments in order, each with its folder, pages, how many of them are gone, mean lengths; folders that list gone
 #: pages; live pages and the sums of their lengths; what the version's refresh cut and dropped.
 NOTHING = {"tokenizer": TOKENIZER_VERSION, "fingerprint": None, "segments": [], "lists": [], "n": 0, "title": 0, "body": 0, "cut": 0, "dropped": 0}
 
@@ -93,11 +96,30 @@ def opened(spark: SparkSession, version: dict) -> Index:
     n = version["n"]
     stats = spark.createDataFrame([(n, version["title"] / n if n else 1.0, version["body"] / n if n else 1.0)], "n long, avg_title double, avg_body double")
     lengths = _live(spark, version, "pages", PAGES).select("slug", "title_len", "body_len")
-    return Index(_live(spark, version, "postings", POSTINGS), lengths, _df(spark, [s["folder"] for s in version["segments"]]), stats.coalesce(1))
+    return Index(_live(spark, version, "postings", POSTINGS), lengths, _df(spark, [s["folder"] for s in version["segments"]]), stats.coalesce(1), _tiers(spark, version))
 
 
-def _write_postings(postings: DataFrame, folder: str, buckets: int) -> None:
-    postings.repartition(buckets, "term").sortWithinPartitions("term").write.parquet(f"{folder}/postings")
+def _tiers(spark: SparkSession, version: dict) -> DataFrame:
+    """What any live row of a tier weighs at most, with the mean lengths of now; the rows include those of gone pages."""
+    found, n = [spark.createDataFrame([], TIERS)], version["n"]
+    for s in version["segments"]:
+        most, flat = topk.growth(*s["mean"], *((version["title"] / n, version["body"] / n) if n else (1.0, 1.0)))
+        found.append(spark.read.schema(TIERS).parquet(f"{s['folder']}/tiers").withColumns({"most": F.col("most") * most, "flat": F.col("flat") * flat}))
+    rows = reduce(DataFrame.unionByName, found)
+    return rows if len(found) < 3 else rows.groupBy("term", "tier").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.max("flat").alias("flat"))
+
+
+def _mean(n: int, title: int, body: int) -> list[float]:
+    return [title / n, body / n] if n else [1.0, 1.0]
+
+
+def _write_postings(postings: DataFrame, folder: str, buckets: int, mean: list[float]) -> DataFrame:
+    """Writes postings by term and tier, and their tiers; gives the tiers. A term's rows are as many files' as it has tiers."""
+    spark, rows = postings.sparkSession, topk.with_tiers(postings.drop("tier"), *mean)
+    rows.drop("most", "flat").repartition(buckets, "term", "tier").sortWithinPartitions("term", "tier", "slug").write.parquet(f"{folder}/postings")
+    written = topk.with_tiers(spark.read.schema(POSTINGS).parquet(f"{folder}/postings").drop("tier"), *mean)
+    written.groupBy("term", "tier").agg(F.count("*").alias("n"), F.max("most").alias("most"), F.max("flat").alias("flat")).sortWithinPartitions("term").write.parquet(f"{folder}/tiers")
+    return spark.read.schema(TIERS).parquet(f"{folder}/tiers")
 
 
 def _sums(pages: DataFrame) -> tuple[int, int, int]:
@@ -135,11 +157,11 @@ def refresh(pages: DataFrame, path: str, *, fingerprint: str | None = None) -> d
             buckets = _buckets(spark) if n_cut < 0 else min(_buckets(spark), 1 + n_cut // 1_000)
             # a page's tokens are dealt out whole: its terms are then counted where they are, and go to their terms' files at once
             added = of_tokens(tokens.repartition(buckets, "slug"))
-            _write_postings(added.postings, folder, buckets)
             size = lambda c: F.size(c).cast("long")
             tokens.select("slug", "stamp", size("title_tokens").alias("title_len"), size("body_tokens").alias("body_len"), F.array_distinct(F.concat("title_tokens", "body_tokens")).alias("terms")).sortWithinPartitions("slug").write.option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/pages")
             sums = _sums(spark.read.schema(PAGES).parquet(f"{folder}/pages"))
-            df = spark.read.schema(POSTINGS).parquet(f"{folder}/postings").groupBy("term").agg(F.count("*").alias("df"))
+            n_cut, mean = sums[0], _mean(*sums)
+            df = _write_postings(added.postings, folder, buckets, mean).groupBy("term").agg(F.sum("n").alias("df"))
             if by_segment:
                 gone.write.parquet(f"{folder}/gone")
                 left, few = _live(spark, before, "pages", PAGES, named=True), gone.select("slug").limit(FEW + 1).collect()
@@ -149,9 +171,8 @@ def refresh(pages: DataFrame, path: str, *, fingerprint: str | None = None) -> d
                 sums = tuple(a - b for a, b in zip(sums, _sums(left), strict=True))
                 df = df.unionByName(left.select(F.explode("terms").alias("term"), F.lit(-1).cast("long").alias("df"))).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
             df.sortWithinPartitions("term").write.parquet(f"{folder}/df")
-            n_cut = tokens.count() if n_cut < 0 else n_cut
             segments = [s | {"gone": s["gone"] + by_segment.get(s["folder"], 0)} for s in before["segments"]]
-            version |= {"segments": [*segments, {"folder": folder, "pages": n_cut, "gone": 0}], "lists": [*before["lists"], *([folder] if by_segment else [])], "cut": n_cut}
+            version |= {"segments": [*segments, {"folder": folder, "pages": n_cut, "gone": 0, "mean": mean}], "lists": [*before["lists"], *([folder] if by_segment else [])], "cut": n_cut}
             version |= {k: before[k] + x for k, x in zip(("n", "title", "body"), sums, strict=True)}
         if _commit(spark, path, number + 1, version):
             return merge(spark, path, number + 1, version) if n_cut or by_segment else version
@@ -175,12 +196,13 @@ def merge(spark: SparkSession, path: str, number: int, version: dict, *, fan: in
         return version
     part = version | {"segments": [s for s in version["segments"] if s["folder"] in some]}
     folder, buckets = f"{path}/segments/{uuid.uuid4().hex}", _buckets(spark)
-    _write_postings(_live(spark, part, "postings", POSTINGS), folder, buckets)
     _live(spark, part, "pages", PAGES).sortWithinPartitions("slug").write.option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/pages")
+    mean = _mean(*_sums(spark.read.schema(PAGES).parquet(f"{folder}/pages")))
+    _write_postings(_live(spark, part, "postings", POSTINGS), folder, buckets, mean)
     _df(spark, [s["folder"] for s in part["segments"]]).sortWithinPartitions("term").write.parquet(f"{folder}/df")
     first = min(i for i, s in enumerate(version["segments"]) if s["folder"] in some)
     rest = [s for s in version["segments"] if s["folder"] not in some]
-    merged = {"folder": folder, "pages": sum(s["pages"] - s["gone"] for s in part["segments"]), "gone": 0}
+    merged = {"folder": folder, "pages": sum(s["pages"] - s["gone"] for s in part["segments"]), "gone": 0, "mean": mean}
     after = version | {"segments": [*rest[:first], merged, *rest[first:]]}
     after["lists"] = version["lists"] if any(s["gone"] for s in rest) else []
     return after if _commit(spark, path, number + 1, after) else version
@@ -209,13 +231,14 @@ def vacuum(spark: SparkSession, path: str, *, keep: int = 2, grace: float = 3600
 def store(index: Index, path: str, *, fingerprint: str, buckets: int = 32) -> None:
     """Writes an index as the only segment of a new version. Its pages have no stamps, so a refresh takes all of them as changed."""
     spark, folder = index.postings.sparkSession, f"{path}/segments/{uuid.uuid4().hex}"
-    _write_postings(index.postings, folder, buckets)
+    mean = _mean(*_sums(index.lengths))
+    tiers = _write_postings(index.postings, folder, buckets, mean)
     written = spark.read.schema(POSTINGS).parquet(f"{folder}/postings")
     terms = written.groupBy("slug").agg(F.collect_set("term").alias("terms"))
     index.lengths.join(terms, "slug", "left").select("slug", F.lit(None).cast("long").alias("stamp"), "title_len", "body_len", F.coalesce("terms", F.array().cast("array<string>")).alias("terms")).write.parquet(f"{folder}/pages")
-    written.groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.parquet(f"{folder}/df")
+    tiers.groupBy("term").agg(F.sum("n").alias("df")).sortWithinPartitions("term").write.parquet(f"{folder}/df")
     n, title, body = _sums(spark.read.schema(PAGES).parquet(f"{folder}/pages"))
-    version = NOTHING | {"fingerprint": fingerprint, "segments": [{"folder": folder, "pages": n, "gone": 0}], "n": n, "title": title, "body": body, "cut": n}
+    version = NOTHING | {"fingerprint": fingerprint, "segments": [{"folder": folder, "pages": n, "gone": 0, "mean": mean}], "n": n, "title": title, "body": body, "cut": n}
     while not _commit(spark, path, latest(spark, path)[0] + 1, version):
         pass
 
