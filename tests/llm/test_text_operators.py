@@ -115,6 +115,49 @@ def test_html_text_around_a_small_article(outer):
     assert html_text.main_text(page) == "\n\n".join(p.strip() for p in [*some[:3], "teaser", *some[3:]])
 
 
+LONG = "<p>" + "some ordinary text " * 9 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='page has-sidebar'><article><h1>Head</h1>{LONG}</article><div class=sidebar>side</div></div>",
+        f"<div id='content-no-ads'><article><h1>Head</h1>{LONG}</article></div>",
+        f"<article><h1>Head</h1><div class='related-work'>{LONG}</div></article>",
+        f"<article><h1>Head</h1><section id='social-history'>{LONG}</section></article>",
+        f"<article><h1>Head</h1><section id='search-algorithms'>{LONG}</section></article>",
+        f"<article><h2 id='notice-of-appeal'>Head</h2>{LONG}</article>",
+        f"<div class='sidebar'><article><h1>Head</h1>{LONG}</article></div>",
+        f"<div class=notice>x</div><div class=notice><h1>Head</h1>{LONG}{LONG}</div>".replace(LONG + LONG, LONG),
+        f"<article><h1>Head</h1><div class='top-ad-slot'>Buy now</div>{LONG}<div class='comments'><article class=comment>{LONG}{LONG}</article></div></article>",
+        f"<p class=comments-count-9>9</p><h1>Head</h1>{LONG}<div class='my-related-thing'>{'<p>short</p>' * 2}</div>".replace("<h1>Head</h1>", "<p>Head</p>"),
+    ],
+)
+def test_html_names_weigh(page):
+    """Names never take the text with them: neither of what holds most of it, nor by a part of a name within an article."""
+    assert html_text.main_text(page) == "Head\n\n" + ("some ordinary text " * 9).strip()
+
+
+def test_html_windows_as_defined():
+    """First surge and last dive by their definition, on pages without marks."""
+    r = random.Random(7)
+    for _ in range(300):
+        sizes = [r.choice([3, 10, 25, 70, 200]) for _ in range(r.randrange(1, 14))]
+        found = html_text.blocks("".join(f"<p>{'x' * n}</p>" for n in sizes))
+        sums = [sum(sizes[i : i + html_text.WINDOW]) for i in range(len(sizes))]
+        high = [i for i, n in enumerate(sums) if n >= html_text.LEAST]
+        want = (high[0], min(high[-1] + html_text.WINDOW, len(sizes))) if high else (0, len(sizes))
+        assert html_text.text_region(found) == want and html_text.weights(found) == [0] * len(sizes)
+
+
+def test_html_deep_and_odd(spark):
+    """Thousands of nested names, elements that cross, bytes that aren't UTF-8."""
+    assert html_text.main_text("<div class=ad>" * 20_000 + "buy" + "</div>" * 20_000 + f"<article>{LONG}</article>") == ("some ordinary text " * 9).strip()
+    assert html_text.main_text(f"<div class=ad><p class=menu>a</div>b</p><article>{LONG}</article>").endswith("text")
+    odd = spark.createDataFrame([(1, "u", bytearray(b"<article><p>a\xffb</p></article>"))], "page_id long, url string, html binary")
+    assert html_text.extract(odd).first()["text"] == "a\ufffdb"
+
+
 # --- divergence ------------------------------------------------------------------------------
 
 
