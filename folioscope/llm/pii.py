@@ -7,8 +7,9 @@ different values different ones, and the pseudonym is valid again:
 
 * card: a permutation of the digits before the check digit, which is then computed anew;
 * iban: the same for the account part, letter for letter and digit for digit, also where it is printed in groups of four;
+  of the length that its country has, so words and numbers behind it are none of it;
 * ssn, ipv4, date: a permutation of the numbers of all valid values (17 x 4,297 days from 1900 to 2099);
-* phone: of the digits after the country code, of North American numbers and those that begin with + and a code;
+* phone: of the digits after the country code, of North American numbers and those that begin with + and a code, also without separators;
 * email: of the local part, letter for letter and digit for digit; the domain stays.
 
 Every permutation is a Feistel network of ``ROUNDS`` rounds: one half is shifted by a keyed hash (SHA-256) of the
@@ -21,18 +22,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 6
+# fixed values: lengths of IBANs and the countries that have them
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT",
+    26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC",
+}
+# fixed values: country codes of one and of two digits; others have three
+CALLING_CODES = r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 KINDS = ("email", "iban", "card", "ssn", "phone", "ipv4", "date")
 
 _EDGE, _END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+
+
+def _iban() -> str:
+    """IBANs of the length that their country has, whole or in groups of four; then, of any country, of any length."""
+    known = []
+    for n, countries in IBAN_LENGTHS.items():
+        groups, rest = divmod(n - 4, 4)
+        printed = f"(?: [A-Z0-9]{{4}}){{{groups}}}" + (f" [A-Z0-9]{{{rest}}}" if rest else "")
+        known.append(f"(?:{'|'.join(countries.split())})[0-9]{{2}}(?:[A-Z0-9]{{{n - 4}}}|{printed}){_END}")
+    return _EDGE + "(?:" + "|".join([*known, r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)" + _END]) + ")"
+
+
 #: One pattern for each kind; they are tried in the order of KINDS.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._+-])[A-Za-z0-9._+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}" + _END,
-    "iban": _EDGE + r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)" + _END,
+    "iban": _iban(),
     "card": r"(?<![\p{L}\p{N}_.-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![\p{L}\p{N}_]|[-.][0-9])",
     "ssn": r"(?<![\p{L}\p{N}_.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}_]|[-.][0-9])",
-    "phone": r"(?<![\p{L}\p{N}_.+-])(?:\+[0-9]{1,3}(?:[ .-][0-9]{2,8}){2,4}|(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![\p{L}\p{N}_]|[-.][0-9])",
+    "phone": r"(?<![\p{L}\p{N}_.+-])(?:\+[0-9]{1,3}(?:[ .-][0-9]{2,8}){2,4}|\+[1-9][0-9]{7,14}|(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![\p{L}\p{N}_]|[-.][0-9])",
     "ipv4": r"(?<![\p{L}\p{N}_.-])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{L}\p{N}_]|[-.][0-9])",
-    "date": r"(?<![\p{L}\p{N}_./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/(?:19|20)[0-9]{2})(?![\p{L}\p{N}_]|[-./][0-9])",
+    "date": r"(?<![\p{L}\p{N}_./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/(?:19|20)[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.(?:19|20)[0-9]{2})(?![\p{L}\p{N}_]|[-./][0-9])",
 }
 
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -134,7 +154,7 @@ def is_ssn(s: Column) -> Column:
 
 
 def _date(s: Column) -> Column:
-    return F.coalesce(F.try_to_date(s, "yyyy-MM-dd"), F.try_to_date(s, "d/M/yyyy"))
+    return F.coalesce(F.try_to_date(s, "yyyy-MM-dd"), F.try_to_date(F.translate(s, ".", "/"), "d/M/yyyy"))
 
 
 def _pseudonym(m: Column, key: str) -> Column:
@@ -155,8 +175,10 @@ def _pseudonym(m: Column, key: str) -> Column:
     new_area = F.floor(ssn / 989901)
     ssn = F.concat_ws("-", F.lpad((new_area + F.when(new_area >= 665, 2).otherwise(1)).cast("string"), 3, "0"), F.lpad((F.floor(F.pmod(ssn, F.lit(989901)) / 9999) + 1).cast("string"), 2, "0"), F.lpad((F.pmod(ssn, F.lit(9999)) + 1).cast("string"), 4, "0"))
     day = F.date_add(F.lit("1900-01-01").cast("date"), feistel_number(F.datediff(_date(m), F.lit("1900-01-01").cast("date")).cast("long"), 17, 4297, key, "date").cast("int"))
-    date = F.when(m.rlike("^[0-9]{2}/[0-9]{2}/"), F.date_format(day, "dd/MM/yyyy")).when(m.contains("/"), F.date_format(day, "d/M/yyyy")).otherwise(F.date_format(day, "yyyy-MM-dd"))
-    lead = F.when(m.rlike(r"^\+[0-9]{1,3}[ .(-]"), F.length(F.regexp_extract(m, "^.([0-9]+)", 1))).otherwise(F.length(digits) - 10)
+    short = F.when(m.rlike("^[0-9]{2}[/.][0-9]{2}[/.]"), F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "d/M/yyyy"))
+    date = F.when(m.contains("/"), short).when(m.contains("."), F.translate(short, "/", ".")).otherwise(F.date_format(day, "yyyy-MM-dd"))
+    lead = F.when(m.rlike(r"^\+[0-9]{1,3}[ .(-]"), F.length(F.regexp_extract(m, "^.([0-9]+)", 1)))
+    lead = lead.when(m.startswith("+"), F.length(F.regexp_extract(m, rf"^\+({CALLING_CODES}|[0-9]{{3}})", 1))).otherwise(F.length(digits) - 10)
     phone = _put(m, F.concat(F.substr(digits, F.lit(1), lead), feistel_text(F.substr(digits, lead + 1, F.length(digits)), key, "phone")))
     local = F.substring_index(m, "@", 1)
     email = F.concat(feistel_text(local, key, "email"), F.substr(m, F.length(local) + 1, F.length(m)))

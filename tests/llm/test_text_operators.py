@@ -69,6 +69,19 @@ def test_pii_formats_and_names(spark):
     assert [int(x) for x in a.split("/")] == [int(x) for x in b.split("/")] != [5, 2, 1985]
 
 
+def test_pii_neighbours(spark):
+    """What follows an IBAN is none of it; joined phone numbers are the printed ones; dates with dots."""
+    texts = ["pay BE68 5390 0754 7034 FOR you, BE68 5390 0754 7034 2024 now, BE68539007547034.", "call +14155550100 or +1 415 555 0100, +49301234567 or +49 30 1234567, not +1234567", "on 31.12.1999 and 31/12/1999, 1.2.2001. not 31.2.1999 or 1.2.3.2001 or 31.12/1999"]
+    a, b, c = (r["text"] for r in pii.pseudonymise(docs(spark, texts), key="one").orderBy("doc_id").collect())
+    m = re.match(r"pay (BE\d\d \d{4} \d{4} \d{4}) FOR you, (BE\d\d \d{4} \d{4} \d{4}) 2024 now, (BE\d{14})\.$", a)
+    assert m and m[1] == m[2] != "BE68 5390 0754 7034" and m[1].replace(" ", "") == m[3]
+    assert int("".join(str(int(x, 36)) for x in m[3][4:] + m[3][:4])) % 97 == 1
+    m = re.match(r"call \+1(\d{10}) or \+1 (\d{3} \d{3} \d{4}), \+49(\d{9}) or \+49 (\d\d \d{7}), not \+1234567$", b)
+    assert m and m[1] == m[2].replace(" ", "") != "4155550100" and m[3] == m[4].replace(" ", "") != "301234567"
+    m = re.match(r"on (\d\d\.\d\d\.\d{4}) and (\d\d/\d\d/\d{4}), \d{1,2}\.\d{1,2}\.\d{4}\. not 31\.2\.1999 or 1\.2\.3\.2001 or 31\.12/1999$", c)
+    assert m and m[1].replace(".", "/") == m[2] != "31/12/1999"
+
+
 def test_pii_permutes(spark):
     """Small domains are mapped one to one and onto themselves."""
     n = spark.range(12 * 35).select(pii.feistel_number(F.col("id"), 12, 35, "k", "t").alias("x")).collect()
