@@ -35,3 +35,15 @@ def dangling(edges: DataFrame, names: DataFrame) -> DataFrame:
     """(src, dst, pos): targets that no page has, once each at their first place, self-links apart."""
     lost = edges.where("src <> dst").join(names.select(F.col("slug").alias("dst")).distinct(), "dst", "left_anti")
     return lost.groupBy("src", "dst").agg(F.min("pos").alias("pos"))
+
+
+def warnings(written: DataFrame, names: DataFrame) -> DataFrame:
+    """(slug, code, targets, line): links of written pages that no page has, in the text that results from writing, not only in what came in.
+
+    written: what ``gate.upserted`` gives, of which rows with a mode were written; names: the store's pages and the new ones.
+    Targets stand once each, in the order of their first places; pages without such links give no row.
+    """
+    lost = dangling(edges(written.where("mode is not null").select("slug", "body")), names)
+    rows = lost.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("pos", "dst"))).alias("found"))
+    targets = F.transform("found", lambda x: x["dst"])
+    return rows.select(F.col("src").alias("slug"), F.lit("dangling_link").alias("code"), targets.alias("targets"), F.concat(F.lit("links to pages that don't exist: "), F.array_join(targets, ", ")).alias("line"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.operators import cells, ireval, rank, rawtext, topk
-from folioscope.plans import analytics, retrieval
+from folioscope.plans import analytics, retrieval, surface
 from folioscope.plans import sqltext as S
 from folioscope.plans.registry import ORACLES, query
 from folioscope.plans.retrieval import built, pages, queries, read
@@ -78,4 +80,26 @@ def raw_delta(spark, sf_dir):
     return retrieval._interval(ireval.placed(both, F.col("x") - F.col("y")))
 
 
+_LISTS = "l_ AS (SELECT 'shipped' AS method, qid, rank, slug FROM a_ UNION ALL SELECT 'dense', qid, rank, slug FROM b_ UNION ALL SELECT 'hybrid', qid, rank, slug FROM z_ WHERE rank <= 10)"
+
+
+@query("hybrid_by_type", f"""WITH {S.PAGES}, {surface._HYBRID}, {_LISTS},
+n_ AS (SELECT qid, count(*) AS n FROM qrels_ GROUP BY qid), g_ AS (SELECT method, qid, sum(1 / log2(rank + 1)) AS dcg, min(rank) AS first FROM l_ JOIN qrels_ USING (qid, slug) GROUP BY ALL)
+SELECT method, coalesce(type, 'all') AS type, count(*) AS n, round(avg(ndcg), 6) AS ndcg, round(avg(rr), 6) AS rr FROM (
+  SELECT method, CASE WHEN n > 1 THEN 'ambiguous' ELSE 'known' END AS type, coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda r: 1 / log2(r + 1))) AS ndcg, coalesce(1 / first, 0) AS rr
+  FROM n_ CROSS JOIN (SELECT unnest(['shipped', 'dense', 'hybrid']) AS method) LEFT JOIN g_ USING (method, qid)) GROUP BY GROUPING SETS ((method, type), (method))""")
+def hybrid_by_type(spark, sf_dir):
+    """Words, vectors and both by kind of query, over the queries with relevant pages; words by tiers, vectors by cells."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    asked = vectors.join(queries(spark, sf_dir).select(F.col("qid").alias("id")), "id", "left_semi").select(F.col("id").alias("qid"), "v")
+    near = cells.cosine_topk(asked, cells.build(vectors.join(docs, "id", "left_semi")), 10)
+    dense = materialised(near.select("qid", "rank", F.concat(F.lit("doc-"), F.col("id").cast("string")).alias("slug")), "dense")
+    shipped, relevant = materialised(topk.bm25f_top(*built(spark, sf_dir), 10), "shipped"), materialised(retrieval.qrels(spark, sf_dir), "qrels")
+    kinds = relevant.groupBy("qid").agg(F.when(F.count("*") > 1, "ambiguous").otherwise("known").alias("type"))
+    lists = {"shipped": shipped, "dense": dense, "hybrid": rank.fused(shipped, dense)}
+    means = [ireval.by_type(ireval.metrics(kinds.select("qid"), x, relevant), kinds).select(F.lit(name).alias("method"), "type", "n", F.round("ndcg", 6).alias("ndcg"), F.round("rr", 6).alias("rr")) for name, x in lists.items()]
+    return reduce(DataFrame.union, means)
+
+
 assert analytics  # whose query of vectors has the same SQL
