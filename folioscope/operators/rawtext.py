@@ -56,10 +56,10 @@ def build(pages: DataFrame) -> Index:
     return Index(postings, lengths, postings.groupBy("term").agg(F.count("*").alias("df")), stats)
 
 
-def query_terms(queries: DataFrame, *, exact: bool = True) -> DataFrame:
+def query_terms(queries: DataFrame, *, exact: bool = True, parts: bool = True) -> DataFrame:
     """(qid, term): the engine's distinct terms of each query (qid, q) that are letters and numbers only, then without marks.
 
     Two terms that differ in marks only become the same term twice, and count twice.
     """
-    each = with_tokens(queries.select("qid", "q"), "q", "terms", exact=exact).select("qid", F.explode(F.array_distinct("terms")).alias("term"))
+    each = with_tokens(queries.select("qid", "q"), "q", "terms", exact=exact, parts=parts).select("qid", F.explode(F.array_distinct("terms")).alias("term"))
     return each.where(~F.col("term").rlike(BETWEEN)).select("qid", folded(F.col("term")).alias("term")).where("term <> ''")

@@ -24,7 +24,7 @@ def matches(index: Index, pages: DataFrame, queries: DataFrame, wanted: DataFram
     pages: slug, body, updated, created, superseded_by and, where paths are wanted (qid, path), sources.  A page that a
     path touches is found without any word, at score 0; a query without words and paths finds nothing.
     """
-    found = rank.bm25f(index, rank.query_terms(queries)).where("score > 0")
+    found = rank.bm25f(index, rank.query_terms(queries, parts=index.parts)).where("score > 0")
     if wanted is not None:
         found = found.join(rank.touched_paths(pages, wanted), ["qid", "slug"], "full").withColumn("score", F.coalesce("score", F.lit(0.0)))
     else:
