@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.operators.similar import best_match, budgeted_threshold
+from folioscope.storage import materialised
 
 
 def partners(pages: DataFrame) -> DataFrame:
@@ -32,7 +33,7 @@ def per_write(scores: DataFrame, pages: DataFrame, known: DataFrame, rate: float
     partner; all others may warn falsely, for ``rate`` of the pages at most.
     """
     best = pages.select("i").join(best_match(scores), "i", "left").join(known.select("i", "j", F.lit(True).alias("_p")).distinct(), ["i", "j"], "left")
-    rows = best.select("i", F.coalesce("score", F.lit(0.0)).alias("score"), F.col("_p").isNotNull().alias("right"))
+    rows = materialised(best.select("i", F.coalesce("score", F.lit(0.0)).alias("score"), F.col("_p").isNotNull().alias("right")), "writes")
     n = rows.count()
     at = budgeted_threshold(rows.where("not right").select("score"), F.lit(n), rate).select("threshold")
     reached = F.col("score") >= F.col("threshold")
