@@ -58,3 +58,15 @@ def test_index_of_written_counts(spark, pages):
     whole = index.build(pages)
     again = index.of_counts(whole.postings.localCheckpoint(), whole.lengths.localCheckpoint())
     assert sorted(map(tuple, again.df.collect())) == sorted(map(tuple, whole.df.collect())) and again.stats.collect() == whole.stats.collect()
+
+
+def test_first_slugs_of_words_give_the_first_of_queries(spark, pages):
+    asked = rank.query_terms(spark.createDataFrame([(1, "ord3 end"), (2, "word39"), (3, "p2"), (4, "nowhere")], "qid int, q string"))
+    whole = {}
+    for r in rank.grep_or(pages, asked).collect():
+        whole.setdefault(r["qid"], []).append(r["slug"])
+    for k in (1, 3, 50):
+        first = rank.grep_or(pages, asked, k)
+        got = first.collect()
+        assert sorted((r["qid"], r["slug"]) for r in got) == sorted((q, s) for q, own in whole.items() for s in sorted(own)[:k])
+        assert ["word"] not in shuffled(first)  # words were brought down to their first pages before
