@@ -1,11 +1,12 @@
 """What the shared steps of ranking, judging and comparing send through shuffles."""
 
 import re
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import index, rank, similar
+from folioscope.operators import graph, index, rank, similar
 from folioscope.plans import retrieval
 
 
@@ -70,3 +71,19 @@ def test_first_slugs_of_words_give_the_first_of_queries(spark, pages):
         got = first.collect()
         assert sorted((r["qid"], r["slug"]) for r in got) == sorted((q, s) for q, own in whole.items() for s in sorted(own)[:k])
         assert ["word"] not in shuffled(first)  # words were brought down to their first pages before
+
+
+def test_one_pass_over_the_graph_serves_all_caps(spark, monkeypatch):
+    edges = spark.createDataFrame([(f"a{i}", f"b{i % 3}") for i in range(20)] + [("x", "y"), ("y", "x")], "src string, dst string")
+    cited = spark.createDataFrame([(i % 4, f"{'ab'[i % 2]}{i % 7}") for i in range(30)], "slug int, source string")
+    files = spark.createDataFrame([(f"a{i}",) for i in range(20)] + [(f"b{i}",) for i in range(5)] + [("x",), ("z",)], "path string")
+    calls, own = [], graph.neighbours
+    monkeypatch.setattr(graph, "neighbours", lambda *a: calls.append(a) or own(*a))
+    got = graph.probe(files, edges, cited, (None, 6, 0)).collect()
+    assert len(calls) == 1
+    for row, cap in zip(sorted(got, key=lambda r: r["place"]), (None, 6, 0), strict=True):
+        sizes = [r["n_pages"] for r in graph.reach(files, edges, cited, cap).collect()]
+        found = [r["found"] for r in graph.leave_one_out(edges, cited, cap).collect()]
+        some = [n for n in sizes if n]
+        assert row["reach"] == pytest.approx(len(some) / len(sizes)) and row["median_group"] == (statistics.median(some) if some else 0)
+        assert row["n_cases"] == len(found) and row["recall"] == pytest.approx(sum(found) / len(found))
