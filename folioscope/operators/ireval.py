@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.storage import checked_broadcast
+from folioscope.storage import checked_broadcast, materialised
 
 
 def judged(queries: DataFrame, ranked: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -40,8 +40,10 @@ def resampled(values: DataFrame, rounds: int = 1000) -> DataFrame:
     """Mean and 95 % bootstrap interval of values (place from 0 to n - 1, value): means of ``rounds`` resamples, sorted, at 25 and 974 thousandths.
 
     Draws come from integer arithmetic that any engine repeats, so intervals are those of this generator.  The number
-    of judged queries is small by nature; each round draws by a join on the place, nothing is gathered.
+    of judged queries is small by nature; each round draws by a join on the place, nothing is gathered. The values are written
+    first, since several steps read them and what they come from may be a ranking of all pages.
     """
+    values = materialised(values, "values")
     n = values.agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
     spark = values.sparkSession
     draws = spark.range(rounds).withColumnRenamed("id", "rep").join(checked_broadcast(values.select(F.col("place").alias("draw")))).join(F.broadcast(n.select("n")))

@@ -51,7 +51,8 @@ _RAW_TOP = S.top(S.FTS.replace("hits_", "rawhits_"))
 
 
 def _raw_best(spark, sf_dir):
-    found = rank.fts_bm25(rawtext.build(pages(spark, sf_dir)), rawtext.query_terms(queries(spark, sf_dir), parts=False))
+    terms = materialised(rawtext.query_terms(queries(spark, sf_dir), parts=False), "raw-terms")
+    found = rank.fts_bm25(rawtext.asked(pages(spark, sf_dir), terms), terms)
     return rank.top(found.withColumn("score", F.round("score", 6)), 10).select("qid", "rank", "slug", "score")
 
 

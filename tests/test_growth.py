@@ -6,7 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import graph, index, rank, similar
+from folioscope.operators import graph, index, rank, rawtext, similar
 from folioscope.plans import retrieval
 
 
@@ -87,3 +87,21 @@ def test_one_pass_over_the_graph_serves_all_caps(spark, monkeypatch):
         some = [n for n in sizes if n]
         assert row["reach"] == pytest.approx(len(some) / len(sizes)) and row["median_group"] == (statistics.median(some) if some else 0)
         assert row["n_cases"] == len(found) and row["recall"] == pytest.approx(sum(found) / len(found))
+
+
+def test_plain_index_of_what_is_asked(spark, pages):
+    terms = spark.createDataFrame([(1, "common"), (2, "word7"), (2, "common"), (3, "none")], "qid int, term string")
+    part, whole = rawtext.asked(pages, terms), rawtext.build(pages)
+    assert {r["term"] for r in part.postings.collect()} == {"common", "word7"}
+    assert part.stats.collect() == whole.stats.collect() and part.lengths.count() == 40
+    assert sorted(map(tuple, rank.fts_bm25(part, terms).collect())) == sorted(map(tuple, rank.fts_bm25(whole, terms).collect()))
+    assert "Aggregate" not in part.postings._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_follow_the_pairs_of_queries_and_pages(spark, pages, monkeypatch):
+    ix = index.build(pages)
+    terms = rank.query_terms(spark.createDataFrame([(i, f"common word{i}") for i in range(20)], "qid int, q string"))
+    want = sorted(map(tuple, rank.bm25f(ix, terms).collect()))
+    monkeypatch.setattr(rank, "PAIRS", 10)
+    many = rank.bm25f(ix, terms)
+    assert many.rdd.getNumPartitions() >= 40 * 20 // 10 and sorted(map(tuple, many.collect())) == want
