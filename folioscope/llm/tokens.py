@@ -11,7 +11,7 @@ import base64
 import os
 import re
 import unicodedata
-from itertools import chain
+from collections.abc import Callable
 
 import numpy as np
 
@@ -34,6 +34,17 @@ _BYTES = {b: b for b in _PRINTED} | {b: 256 + k for k, b in enumerate(sorted({*r
 _loaded: dict = {}
 
 
+class _Stretches(dict):
+    """The ids, as bytes of int32, of stretches of text without white space; those not met before are cut into pre-tokens."""
+
+    def __init__(self, of_word: Callable[[str], bytes]) -> None:
+        self.of_word = of_word
+
+    def __missing__(self, stretch: str) -> bytes:
+        found = self[stretch] = b"".join(map(self.of_word, _WORD_PATTERN.findall(stretch)))
+        return found
+
+
 class WordBpe:
     """Ids by the lower-casing BPE with word ends; ``ends`` says which pre-tokens end a sentence."""
 
@@ -42,24 +53,30 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.ids: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
+        self.ids = _Stretches(self._of_word)
         vocabulary = self.library.get_vocab()
         self.stops = {i for w, i in vocabulary.items() if w.removesuffix("</w>")[-1:] in (".", "!", "?")}
 
+    def _of_word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            ids = (t.id for t in self.library.model.tokenize(word.encode().decode("latin-1").translate(_BYTES)))
+            found = self.words[word] = np.fromiter(ids, dtype=np.int32).tobytes()
+        return found
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text as int32, without special tokens."""
-        odd = [bool(_ODD.search(t)) or not unicodedata.is_normalized("NFC", t) for t in texts]
-        words = [[] if o else _WORD_PATTERN.findall(t.lower()) for t, o in zip(texts, odd, strict=True)]
-        known = self.ids
-        if len(known) > MEMORY:
-            known.clear()
-        tokenize = self.library.model.tokenize
-        for ws in words:
-            for w in ws:
-                if w not in known:
-                    known[w] = tuple(t.id for t in tokenize(w.encode().decode("latin-1").translate(_BYTES)))
-        one = lambda t: self.library.encode(t, add_special_tokens=False).ids
-        return [np.array(one(t), dtype=np.int32) if o else np.fromiter(chain.from_iterable(map(known.__getitem__, ws)), dtype=np.int32) for t, o, ws in zip(texts, odd, words, strict=True)]
+        """The ids of each text as int32, without special tokens.
+
+        No pre-token holds white space, so those of a text are those of its stretches between white space, which are looked up whole.
+        """
+        for known in (self.ids, self.words):
+            if len(known) > MEMORY:
+                known.clear()
+        of = self.ids.__getitem__
+        one = lambda t: np.array(self.library.encode(t, add_special_tokens=False).ids, dtype=np.int32)
+        odd = lambda t: bool(_ODD.search(t)) or not unicodedata.is_normalized("NFC", t)
+        return [one(t) if odd(t) else np.frombuffer(b"".join(map(of, t.lower().split())), dtype=np.int32) for t in texts]
 
 
 class ByteBpe:
