@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import lean, materialised, plain_words, texts, window_hashes
+from folioscope.storage import small_batches
 
 #: Words of benchmark items that are sent at once.
 SLICE_WORDS = 500_000
@@ -119,6 +120,7 @@ def _slices(benchmark: DataFrame, least: int) -> Iterator[tuple[Seeds, bool]]:
 
 def _passes(rows: DataFrame, benchmark: DataFrame, least: int, step) -> DataFrame:
     """Rows after step(seeds) for each slice; between slices they are written, so only one slice is anywhere at a time."""
+    small_batches(rows.sparkSession)
     for seeds, more in _slices(benchmark, least):
         sent = rows.sparkSession.sparkContext.broadcast(seeds)
         rows = rows.mapInArrow(lean(step(sent)), rows.schema)

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import lean, materialised, partitions, shingle_set, size_checked_broadcast, texts, with_row_keys
+from folioscope.storage import small_batches
 
 #: Shingles gathered in a task before frequent ones are looked for.
 CHUNK = 1_000_000
@@ -458,6 +459,7 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 75, row: s
     An empty table gives an empty result.  A null doc_id counts as larger than all others within its class.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     keyed = docs if row else with_row_keys(docs, "_jaccard_row")
     text = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row or "_jaccard_row").cast("string").alias("row"), F.col("text").cast("string").alias("text"))
     profile = materialised(text.mapInArrow(lean(_profile(n)), "doc_id long, row string, key long, n long, hash long, count long"), "profile")

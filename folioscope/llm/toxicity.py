@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import _splitmix, lean, materialised, mix, texts
+from folioscope.storage import small_batches
 
 ORDER = 8
 DISCOUNT = 0.75
@@ -292,6 +293,7 @@ def _shares(codes: np.ndarray, at: np.ndarray, lower: DataFrame) -> np.ndarray:
 def _fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     """The model of all labelled documents of the sample, and the weights of its features."""
     spark = docs.sparkSession
+    small_batches(spark)
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(fold != 2)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)

@@ -3,9 +3,12 @@
 import re
 import statistics
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope import storage
+from folioscope.llm import decontaminate
 from folioscope.operators import graph, index, rank, rawtext, similar
 from folioscope.plans import retrieval
 
@@ -105,3 +108,18 @@ def test_tasks_follow_the_pairs_of_queries_and_pages(spark, pages, monkeypatch):
     monkeypatch.setattr(rank, "PAIRS", 10)
     many = rank.bm25f(ix, terms)
     assert many.rdd.getNumPartitions() >= 40 * 20 // 10 and sorted(map(tuple, many.collect())) == want
+
+
+def test_long_texts_go_to_workers_by_bytes(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(0, 2_000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("0123456789"), 1_000).alias("text"))
+
+    def largest(seeds):
+        def run(batches):
+            for batch in batches:
+                yield pa.record_batch([pa.array([batch.nbytes]), pa.array([""])], names=["doc_id", "text"])
+
+        return run
+
+    sizes = [r["doc_id"] for r in decontaminate._passes(docs, spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string"), 5, largest).collect()]
+    assert sum(sizes) > 20_000_000 and max(sizes) < 1.1 * storage.BATCH
