@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from folioscope.functions.markdown import sections
 from folioscope.functions.text import collapse, entropy, is_slug, strip
+from folioscope.storage import small_batches
 
 THIN = 200
 KINDS = ("decision", "bug", "concept", "howto")
@@ -163,6 +164,7 @@ def merged(pages: DataFrame) -> DataFrame:
         rows = [(n or "", [], []) if o is None else merge_bodies(o, n or "") for o, n in zip(old, new, strict=True)]
         return pd.DataFrame({"body": [r[0] for r in rows], "replaced": [r[1] for r in rows], "appended": [r[2] for r in rows]})
 
+    small_batches(pages.sparkSession)
     out = pages.withColumn("_m", one("old", "new"))
     mode = F.when(F.col("old").isNull(), "create").when(F.col("old") == F.col("_m.body"), "unchanged").otherwise("merge")
     return out.select(*pages.columns, "_m.body", "_m.replaced", "_m.appended", mode.alias("mode"))
