@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioscope.storage import small_batches
+
 # fixed values: endings of script files, in the order in which they are tried
 SCRIPTS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
 LANGUAGES = {"python": (".py",), "ts/js": SCRIPTS, "rust": (".rs",)}
@@ -160,6 +162,7 @@ def statements(files: DataFrame) -> DataFrame:
     Names that no repository holds have a null key; a name may have several keys, that of the least preference first. Texts that
     are null or can't be parsed have no statements.
     """
+    small_batches(files.sparkSession)
     known = files.withColumn("language", _language(F.col("path")))
     of = lambda name, read: read(known.where(F.col("language") == name))
     return of("python", _python).unionByName(of("ts/js", _scripts)).unionByName(of("rust", _rust))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope import storage
 from folioscope.llm import decontaminate
-from folioscope.operators import graph, index, rank, rawtext, similar
+from folioscope.operators import gate, graph, imports, index, rank, rawtext, similar
 from folioscope.plans import retrieval
 
 
@@ -123,3 +123,10 @@ def test_long_texts_go_to_workers_by_bytes(spark):
 
     sizes = [r["doc_id"] for r in decontaminate._passes(docs, spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string"), 5, largest).collect()]
     assert sum(sizes) > 20_000_000 and max(sizes) < 1.1 * storage.BATCH
+
+
+@pytest.mark.parametrize("operator", [lambda files: imports.statements(files), lambda files: gate.merged(files.select(F.col("path").alias("slug"), F.col("text").alias("old"), F.col("text").alias("new")))])
+def test_operators_on_texts_bound_what_a_worker_gets(spark, operator):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert operator(spark.createDataFrame([("a.py", "import b\n")], "path string, text string")).count() == 1
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(storage.BATCH)
