@@ -18,13 +18,14 @@ def _empty() -> Column:
     return F.array().cast(_NONE)
 
 
-def matches(index: Index, pages: DataFrame, queries: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+def matches(index: Index, pages: DataFrame, queries: DataFrame, wanted: DataFrame | None = None, scored: DataFrame | None = None) -> DataFrame:
     """(qid, slug, score, touching, touched, thin, updated, superseded_by): all pages that a query's words or paths find.
 
     pages: slug, body, updated, created, superseded_by and, where paths are wanted (qid, path), sources.  A page that a
     path touches is found without any word, at score 0; a query without words and paths finds nothing.
+    scored: the queries' scores as ``rank.bm25f`` gives them, if they are known.
     """
-    found = rank.bm25f(index, rank.query_terms(queries, parts=index.parts)).where("score > 0")
+    found = (rank.bm25f(index, rank.query_terms(queries, parts=index.parts)) if scored is None else scored).where("score > 0")
     if wanted is not None:
         found = found.join(rank.touched_paths(pages, wanted), ["qid", "slug"], "full").withColumn("score", F.coalesce("score", F.lit(0.0)))
     else:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioscope import storage
 from folioscope.llm import decontaminate
 from folioscope.operators import gate, graph, imports, index, rank, rawtext, segments, similar
-from folioscope.plans import retrieval
+from folioscope.plans import retrieval, surface
 
 
 def shuffled(df):
@@ -156,3 +156,11 @@ def test_keys_too_many_to_send(spark, monkeypatch, most):
     monkeypatch.setattr(storage, "MAX_DIGESTS", most[1])
     rows, some = spark.range(50).selectExpr("id as k", "repeat('x', 10) as text"), spark.range(40, 60).selectExpr("id as k", "1 as other")
     assert sorted(r["k"] for r in storage.where_in(rows, some, ["k"]).collect()) == list(range(40, 50))
+
+
+def test_methods_that_rank_by_the_same_scores_share_them(spark, monkeypatch):
+    calls, own = [], rank.bm25f
+    monkeypatch.setattr(rank, "bm25f", lambda *a, **k: calls.append(a) or own(*a, **k))
+    got = surface.touch_methods(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1 and sorted(r["method"] for r in got.collect()) == ["path as text", "touching"]
+    assert not [keys for keys in shuffled(surface._touch(spark, "/root/testdata/sf0.001")[0]) if "doc_id" in keys]  # texts stay where they are
