@@ -158,6 +158,13 @@ def test_keys_too_many_to_send(spark, monkeypatch, most):
     assert sorted(r["k"] for r in storage.where_in(rows, some, ["k"]).collect()) == list(range(40, 50))
 
 
+def test_blocks_of_vectors_have_a_task_each(spark):
+    vectors = spark.range(300).selectExpr("id", "array(cast(id as double), 1D) as v")
+    found = similar.cosine_topk(vectors.where("id < 3").selectExpr("id as qid", "v"), vectors, 2)
+    parts = 2 * spark.sparkContext.defaultParallelism
+    assert f"hashpartitioning(a, b, {parts})" in re.sub(r"#\d+", "", found._jdf.queryExecution().executedPlan().toString()) and found.count() == 6
+
+
 def test_methods_that_rank_by_the_same_scores_share_them(spark, monkeypatch):
     calls, own = [], rank.bm25f
     monkeypatch.setattr(rank, "bm25f", lambda *a, **k: calls.append(a) or own(*a, **k))
