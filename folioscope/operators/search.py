@@ -21,7 +21,7 @@ def _empty() -> Column:
 def matches(index: Index, pages: DataFrame, queries: DataFrame, wanted: DataFrame | None = None, scored: DataFrame | None = None) -> DataFrame:
     """(qid, slug, score, touching, touched, thin, updated, superseded_by): all pages that a query's words or paths find.
 
-    pages: slug, body, updated, created, superseded_by and, where paths are wanted (qid, path), sources.  A page that a
+    pages: slug, body (or thin, where that is known), updated, created, superseded_by and, where paths are wanted (qid, path), sources.  A page that a
     path touches is found without any word, at score 0; a query without words and paths finds nothing.
     scored: the queries' scores as ``rank.bm25f`` gives them, if they are known.
     """
@@ -30,7 +30,8 @@ def matches(index: Index, pages: DataFrame, queries: DataFrame, wanted: DataFram
         found = found.join(rank.touched_paths(pages, wanted), ["qid", "slug"], "full").withColumn("score", F.coalesce("score", F.lit(0.0)))
     else:
         found = found.withColumn("touching", F.lit(None).cast(_NONE))
-    own = pages.select("slug", is_thin(F.col("body")).alias("thin"), effective_date(F.col("updated"), F.col("created")).alias("updated"), "superseded_by")
+    thin = F.col("thin") if "thin" in pages.columns else is_thin(F.col("body"))
+    own = pages.select("slug", thin.alias("thin"), effective_date(F.col("updated"), F.col("created")).alias("updated"), "superseded_by")
     rows = found.join(own, "slug").withColumn("touched", F.col("touching").isNotNull())
     return rows.withColumns({"touching": F.coalesce("touching", _empty()), "score": rank.demoted(F.col("score"), F.col("superseded_by"))})
 
@@ -40,9 +41,7 @@ def hits(found: DataFrame, k: int = 10, roots: DataFrame | None = None) -> DataF
 
     roots: ``rank.tree_roots`` of the pages; without them they are taken from the hits' own pointers.
     """
-    thick = found.where(~F.col("thin"))
-    roots = rank.tree_roots(thick.select("slug", "superseded_by").distinct()) if roots is None else roots
-    return rank.lifted_top(thick, k, rank.total_order(), roots).drop("rank").withColumnRenamed("lifted", "rank").select("qid", "rank", "slug", "score", "updated", "superseded_by", "touching")
+    return rank.lifted_top(found.where(~F.col("thin")), k, rank.total_order(), roots).drop("rank").withColumnRenamed("lifted", "rank").select("qid", "rank", "slug", "score", "updated", "superseded_by", "touching")
 
 
 def skipped(found: DataFrame) -> DataFrame:

@@ -150,3 +150,18 @@ def test_index_is_stored_with_its_version(spark, tmp_path):
 def test_demotion(spark):
     got = spark.createDataFrame([(1.0, "x"), (1.0, None), (1.0, "")], "s double, by string").select(rank.demoted(F.col("s"), F.col("by")).alias("d")).collect()
     assert [r["d"] for r in got] == [0.5, 1.0, 1.0]
+
+
+def test_hits_are_made_once(spark):
+    from folioscope.operators import search
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(slug):
+        seen.add(1)
+        return slug
+
+    rows = [(q, f"p{i}", float(i % 7), [], False, False, "1", f"p{i + 1}" if i % 3 == 0 else None) for q in range(2) for i in range(20)]
+    found = spark.createDataFrame(rows, "qid int, slug string, score double, touching array<string>, touched boolean, thin boolean, updated string, superseded_by string")
+    assert search.hits(found.withColumn("slug", F.udf(read, "string")("slug")), 3).count() == 6
+    assert seen.value == len(rows)
