@@ -75,3 +75,15 @@ def test_plain_words(spark):
     assert {(r["title_tf"], r["body_tf"]) for r in index.postings.where("term = 'x'").collect()} == {(0, 0)}
     terms = rawtext.query_terms(spark.createDataFrame([(1, "café cafe use_agent")], "qid int, q string"))
     assert sorted(r["term"] for r in terms.collect()) == ["agent", "cafe", "cafe", "use"]
+
+
+def test_weak_words_and_candidates_meet_where_their_page_is_dealt_to(spark, monkeypatch):
+    """Before, the weak words' rows were joined with the queries first, and pairs of query and page were shuffled."""
+    monkeypatch.setattr(topk, "SEEDS", 5)
+    place = f"{shared_dir(spark)}/bounded-{uuid.uuid4().hex}"
+    index = segments.opened(spark, segments.refresh(corpus(spark, 60, 3), place))
+    terms = rank.query_terms(spark.createDataFrame([(1, "the w1"), (2, "the of w2 w3")], "qid int, q string"))
+    dealt, by_page = [], rank.by_page
+    monkeypatch.setattr(rank, "by_page", lambda rows, *more: dealt.append(rows.columns) or by_page(rows, *more))
+    assert topk.bm25f_top(index, terms, 1).count() == 2
+    assert len(dealt) == 3 and "qid" in dealt[2]
